@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-__all__ = ["connected_components", "drop_shared", "map_rows", "read_table", "shared_dir", "write_shared"]
+from ..deploy import ship
+
+__all__ = ["connected_components", "drop_shared", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, through Spark's reader only."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +41,7 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     The table goes when the driver's file system is closed, or with ``drop_shared``.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/lociflow-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     target, files = _path(spark, path)
@@ -58,13 +62,22 @@ def drop_shared(df: DataFrame) -> None:
     files.delete(target, True)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes, so that what Python makes of one stays small; a row is never cut."""
+    for batch in batches:
+        rows = max(1, size * batch.num_rows // max(batch.get_total_buffer_size(), 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, columns: list, schema: T.StructType, factory: Callable[[], Callable[..., list]]) -> DataFrame:
     """``mapInArrow`` over ``columns``: ``factory()`` runs once per task and returns a function from column lists to column lists."""
+    ship(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = factory()
-        for batch in batches:
+        for batch in small_batches(batches):
             out = work(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_shared, map_rows, read_table, shared_dir, write_shared
+from .common import drop_shared, map_rows, read_table, shared_dir, small_batches, write_shared
 from .word_ids import WordIds
 
 __all__ = ["decode_values", "encode_values", "op8_token_files", "read_token_files", "tokenize", "write_token_files"]
@@ -84,7 +84,7 @@ def _frequencies(tokens: DataFrame, width: int) -> list[tuple[int, int]]:
 
     def count(batches):
         total = np.zeros(1, np.int64)
-        for b in batches:
+        for b in small_batches(batches, 8_000_000):
             got = np.bincount(np.frombuffer(b"".join(x for x in b.column(0).to_pylist() if x), f"<u{width}"))
             if len(got) > len(total):
                 got, total = total, got.astype(np.int64)
@@ -164,7 +164,7 @@ def write_token_files(tokens: DataFrame, path: str, partitions: int | None = Non
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([_pack(held, at)], pa.binary())], names=BLOCK.names)
 
-        for b in batches:
+        for b in small_batches(batches):
             for d, p, n, control, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and (p != part or size + n > BLOCK_TOKENS):
                     yield flush()
