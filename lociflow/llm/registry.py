@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op5_byte_bpe import op5_byte_bpe
 from .op6_packing import op6_packing
+from .op7_toxicity import op7_toxicity
 from .op8_token_files import op8_token_files
+from . import op9_licenses
 from .op10_secrets import op10_secret_scan
 
 __all__ = ["oracle_sql", "queries"]
@@ -18,10 +20,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_byte_bpe": op5_byte_bpe,
         "op6_packing": op6_packing,
+        "op7_toxicity": op7_toxicity,
         "op8_token_files": op8_token_files,
+        "op9_license_scan": op9_licenses.op9_license_scan,
         "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_scan": op9_licenses.ORACLE}
