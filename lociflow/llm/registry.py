@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op4_bitsliced, op9_licenses
 from .op5_byte_bpe import op5_byte_bpe
 from .op6_packing import op6_packing
 from .op7_toxicity import op7_toxicity
 from .op8_token_files import op8_token_files
-from . import op9_licenses
 from .op10_secrets import op10_secret_scan
 
 __all__ = ["oracle_sql", "queries"]
@@ -18,6 +18,7 @@ __all__ = ["oracle_sql", "queries"]
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_bitsliced_topk": op4_bitsliced.op4_bitsliced_topk,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_packing": op6_packing,
         "op7_toxicity": op7_toxicity,
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": op9_licenses.ORACLE}
+    return {"op4_bitsliced_topk": op4_bitsliced.ORACLE, "op9_license_scan": op9_licenses.ORACLE}
