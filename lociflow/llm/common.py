@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..deploy import ship
 
-__all__ = ["connected_components", "drop_shared", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
+__all__ = ["connected_components", "drop_shared", "local_components", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,22 @@ def map_rows(df: DataFrame, columns: list, schema: T.StructType, factory: Callab
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of 0..n-1 reaches over the links (a[k], b[k]): labels spread and jump until none changes."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    return root
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Components of an undirected graph given as ``edges(a, b)`` long pairs: rows ``(node, component)``.
 

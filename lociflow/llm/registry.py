@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_bitsliced, op9_licenses
+from . import op2_multi_index, op4_bitsliced, op9_licenses
 from .op5_byte_bpe import op5_byte_bpe
 from .op6_packing import op6_packing
 from .op7_toxicity import op7_toxicity
@@ -18,6 +18,7 @@ __all__ = ["oracle_sql", "queries"]
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_embedding_links": op2_multi_index.op2_embedding_links,
         "op4_bitsliced_topk": op4_bitsliced.op4_bitsliced_topk,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_packing": op6_packing,
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_bitsliced_topk": op4_bitsliced.ORACLE, "op9_license_scan": op9_licenses.ORACLE}
+    return {"op2_embedding_links": op2_multi_index.ORACLE, "op4_bitsliced_topk": op4_bitsliced.ORACLE, "op9_license_scan": op9_licenses.ORACLE}
