@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_jaccard import op1_jaccard_join
 from . import op2_multi_index, op4_bitsliced, op9_licenses
 from .op5_byte_bpe import op5_byte_bpe
 from .op6_packing import op6_packing
@@ -18,6 +19,7 @@ __all__ = ["oracle_sql", "queries"]
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_embedding_links": op2_multi_index.op2_embedding_links,
         "op4_bitsliced_topk": op4_bitsliced.op4_bitsliced_topk,
         "op5_byte_bpe": op5_byte_bpe,
