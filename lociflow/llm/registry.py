@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_jaccard import op1_jaccard_join
 from . import op2_multi_index, op4_bitsliced, op9_licenses
+from .op3_suffix_dedup import op3_suffix_dedup
 from .op5_byte_bpe import op5_byte_bpe
 from .op6_packing import op6_packing
 from .op7_toxicity import op7_toxicity
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op2_embedding_links": op2_multi_index.op2_embedding_links,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_bitsliced_topk": op4_bitsliced.op4_bitsliced_topk,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_packing": op6_packing,
