@@ -1,10 +1,72 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, secrets, packing."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and returns a DataFrame; all but the last return
+the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and reads them again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociflow.llm.common import read_table, write_shared
+from lociflow.llm.op1_jaccard import BROADCAST_IDS, jaccard_links
+from lociflow.llm.op3_suffix_dedup import remove_repeats
+from lociflow.llm.op6_packing import pack_pieces, token_pieces
+from lociflow.llm.op7_toxicity import THRESHOLD, fit_toxicity, with_toxicity
+from lociflow.llm.op10_secrets import with_redacted
+
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
+
+#: Tokenisers and learned scores can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
+    """``docs`` with another text, and ``n_chars`` of it where there is such a column."""
+    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go; the model is fitted on the labels of this stage's own documents."""
+    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return with_toxicity(docs, model, name="__toxicity").filter(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; rows of one id are one document."""
+    gone = write_shared(jaccard_links(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has too are cut out; halves of characters at the cuts go as well."""
+    found = remove_repeats(docs).select("rest.*", F.col("kept").cast("string").alias("__kept"), "n_removed")
+    valid = F.when(F.is_valid_utf8("__kept"), F.col("__kept")).otherwise(F.translate(F.make_valid_utf8("__kept"), "\ufffd", ""))
+    text = F.when(F.col("n_removed") > 0, valid).otherwise(F.col("text"))
+    return _with_text(found, docs.columns, text)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each secret becomes a mark; documents without one are as they were."""
+    return _with_text(with_redacted(docs, name="__redacted"), docs.columns, F.col("__redacted"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return pack_pieces(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secrets", secrets), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_shared(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..deploy import ship
 
-__all__ = ["connected_components", "drop_shared", "local_components", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
+__all__ = ["add_columns", "connected_components", "drop_shared", "local_components", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,26 @@ def map_rows(df: DataFrame, columns: list, schema: T.StructType, factory: Callab
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, column: str, added: T.StructType, factory: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """``df`` with the columns ``added``, made by ``factory()`` from lists of ``column``; the others pass untouched.
+
+    Columns of ``df`` with the added names are replaced.
+    """
+    ship(df.sparkSession)
+    df = df.drop(*added.names)
+    schema = T.StructType([*df.schema.fields, *added.fields])
+    arrow, place = to_arrow_schema(schema), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = factory()
+        for batch in small_batches(batches):
+            out = work(batch.column(place).to_pylist())
+            new = [pa.array(v, f.type) for v, f in zip(out, list(arrow)[batch.num_columns :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), *new], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of 0..n-1 reaches over the links (a[k], b[k]): labels spread and jump until none changes."""
     root = np.arange(n)

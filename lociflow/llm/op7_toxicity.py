@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, read_table, small_batches, write_shared
+from .common import add_columns, map_rows, read_table, small_batches, write_shared
 
-__all__ = ["LevenshteinAutomaton", "Lexicon", "ToxicityModel", "fit_toxicity", "held_out", "op7_toxicity", "score_toxicity"]
+__all__ = ["LevenshteinAutomaton", "Lexicon", "ToxicityModel", "fit_toxicity", "held_out", "op7_toxicity", "score_toxicity", "with_toxicity"]
 
 #: Labelled rows that the lexicon and the weights are fitted on at most: those first in hash order of their ids.
 FIT_ROWS = 8_000
@@ -287,6 +287,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return map_rows(docs, [docs[id_col].cast("long"), docs[text_col]], SCORES, factory)
 
 
+def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with a score column, in one narrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def factory():
+        model = shared.value
+        return lambda texts: [model.score(np.array([model.lexicon.features(t) for t in texts], float).reshape(-1, N_FEATURES)).tolist()]
+
+    return add_columns(docs, text_col, T.StructType([T.StructField(name, T.DoubleType())]), factory)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every whole text of ``documents``, learned from the labels that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
