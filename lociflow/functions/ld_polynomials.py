@@ -1,0 +1,84 @@
+"""Unbiased two-locus statistics from the nine genotype counts.
+
+Each statistic is a polynomial in genotype frequencies. Its unbiased form replaces a monomial by falling factorials of the
+counts over that of the total. The polynomials are expanded once, with exact fractions.
+"""
+
+from __future__ import annotations
+
+from fractions import Fraction
+from functools import cache
+
+import numpy as np
+
+__all__ = ["STATISTICS", "terms", "unbiased"]
+
+STATISTICS = {"d": 2, "d2": 4, "dz": 4, "pi2": 4}
+
+
+def _add(*polys: dict, signs=None) -> dict:
+    out: dict = {}
+    for p, sign in zip(polys, signs or [1] * len(polys), strict=True):
+        for k, c in p.items():
+            out[k] = out.get(k, 0) + sign * c
+    return {k: c for k, c in out.items() if c}
+
+
+def _times(p: dict, q: dict) -> dict:
+    out: dict = {}
+    for a, x in p.items():
+        for b, y in q.items():
+            k = tuple(i + j for i, j in zip(a, b, strict=True))
+            out[k] = out.get(k, 0) + x * y
+    return {k: c for k, c in out.items() if c}
+
+
+def _scale(p: dict, c) -> dict:
+    return {k: v * c for k, v in p.items()}
+
+
+def _haplotype(whole: int, halves: tuple[int, int]) -> dict:
+    unit = lambda i: tuple(int(k == i) for k in range(9))
+    return {unit(whole): Fraction(1), unit(halves[0]): Fraction(1, 2), unit(halves[1]): Fraction(1, 2), unit(4): Fraction(1, 4)}
+
+
+@cache
+def terms(name: str) -> tuple[tuple[tuple[int, ...], float], ...]:
+    """(powers of the nine frequencies, coefficient) of a statistic."""
+    ab = {"AB": _haplotype(0, (1, 3)), "Ab": _haplotype(2, (1, 5)), "aB": _haplotype(6, (3, 7)), "ab": _haplotype(8, (5, 7))}
+    delta = _add(_times(ab["AB"], ab["ab"]), _times(ab["Ab"], ab["aB"]), signs=(1, -1))
+    big_a, a = _add(ab["AB"], ab["Ab"]), _add(ab["aB"], ab["ab"])
+    big_b, b = _add(ab["AB"], ab["aB"]), _add(ab["Ab"], ab["ab"])
+    if name == "d":
+        poly = _scale(delta, 2)
+    elif name == "d2":
+        poly = _scale(_times(delta, delta), 4)
+    elif name == "dz":
+        poly = _scale(_times(_times(delta, _add(b, big_b, signs=(1, -1))), _add(a, big_a, signs=(1, -1))), 2)
+    elif name == "pi2":
+        poly = _times(_times(big_a, a), _times(big_b, b))
+    else:
+        raise ValueError(f"unknown statistic: {name}")
+    return tuple((k, float(c)) for k, c in sorted(poly.items()))
+
+
+def unbiased(counts: np.ndarray, name: str) -> np.ndarray:
+    """The statistic of each row of ``counts`` (rows, 9); NaN with fewer individuals than its degree."""
+    counts = np.asarray(counts, float)
+    degree = STATISTICS[name]
+    falling = np.ones((degree + 1, *counts.shape))
+    for k in range(1, degree + 1):
+        falling[k] = falling[k - 1] * (counts - k + 1)
+    out = np.zeros(len(counts))
+    for powers, coefficient in terms(name):
+        part = np.full(len(counts), coefficient)
+        for i, k in enumerate(powers):
+            if k:
+                part = part * falling[k, :, i]
+        out += part
+    n = counts.sum(1)
+    total = np.ones(len(counts))
+    for k in range(degree):
+        total = total * (n - k)
+    with np.errstate(all="ignore"):
+        return np.where(n >= degree, out / total, np.nan)

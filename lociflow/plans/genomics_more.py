@@ -1 +1,209 @@
-"""More queries."""
+"""Queries of distances, introgression, linkage, outliers and ordination."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..genotypes import portable_hash
+from ..operators import distances, introgression, linkage, outliers, resampling
+from .bridge import BRIDGE, bridge
+from .genomics import HASH, _add, _rounded
+
+_STEP = 1_000_003
+
+
+def _hash(key: str, seed: int) -> str:
+    return HASH.format(k=f"({key})", s=seed)
+
+
+# -- Fst and Nei -------------------------------------------------------------------------------------------------------
+#: Side-by-side counts ``pp(keys.., pop1, pop2, locus_id, n1, n2, cA1, .., hT2)`` from ``cells(keys.., side pair..)``.
+_COUNTS = ", ".join(f"sum((a1 = '{b}')::INT + (a2 = '{b}')::INT) AS c{b}, sum((a1 <> a2 AND (a1 = '{b}' OR a2 = '{b}'))::INT) AS h{b}" for b in "ACGT")
+_SIDES = ", ".join(f"coalesce(x1.{v}, 0)::DOUBLE AS {v}1, coalesce(x2.{v}, 0)::DOUBLE AS {v}2" for v in ["n", *(f"{x}{b}" for b in "ACGT" for x in "ch")])
+_PP = f""", pa AS (SELECT population, locus_id, count(*) AS n, {_COUNTS} FROM calls WHERE gt IS NOT NULL GROUP BY 1, 2),
+pops AS (SELECT a.population AS pop1, b.population AS pop2 FROM (SELECT DISTINCT population FROM smp) a JOIN (SELECT DISTINCT population FROM smp) b ON a.population < b.population),
+pp AS (SELECT pop1, pop2, l.locus_id, {_SIDES} FROM (SELECT DISTINCT locus_id FROM pa) l CROSS JOIN pops LEFT JOIN pa x1 ON x1.population = pop1 AND x1.locus_id = l.locus_id LEFT JOIN pa x2 ON x2.population = pop2 AND x2.locus_id = l.locus_id)"""
+
+
+def _wc(table: str, keys: str) -> str:
+    """Components ``wc(keys.., a, b, c)`` of rows of ``table``."""
+    alleles = " UNION ALL ".join(f"SELECT {keys}, n1, n2, c{b}1 AS c1, c{b}2 AS c2, h{b}1 AS h1, h{b}2 AS h2 FROM {table}" for b in "ACGT")
+    return f""", al AS ({alleles}),
+    al2 AS (SELECT *, n1 + n2 AS nt, n1 + n2 - (n1 * n1 + n2 * n2) / (n1 + n2) AS nc, c1 / (2 * n1) AS p1, c2 / (2 * n2) AS p2, (c1 - h1) / 2 AS m1, (c2 - h2) / 2 AS m2 FROM al),
+    al3 AS (SELECT *, (n1 * p1 + n2 * p2) / nt AS pbar, (n1 * p1 - m1 + n2 * p2 - m2) / nt AS msg, (n1 * (p1 - 2 * p1 * p1) + m1 + n2 * (p2 - 2 * p2 * p2) + m2) / (nt - 2) AS msi FROM al2 WHERE n1 > 0 AND n2 > 0 AND nt > 2 AND nc > 0),
+    al4 AS (SELECT *, 2 * (n1 * (p1 - pbar) * (p1 - pbar) + n2 * (p2 - pbar) * (p2 - pbar)) AS msp, c1 + c2 > 0 AS seen FROM al3),
+    wc AS (SELECT {keys}, CASE WHEN count(*) FILTER (seen) < 2 THEN 0.0 ELSE sum((msp - msi) / (2 * nc)) FILTER (seen) END AS a, CASE WHEN count(*) FILTER (seen) < 2 THEN 0.0 ELSE sum((msi - msg) / 2) FILTER (seen) END AS b,
+        CASE WHEN count(*) FILTER (seen) < 2 THEN 0.0 ELSE sum(msg) FILTER (seen) END AS c FROM al4 GROUP BY ALL)"""
+
+
+_WC = _PP + _wc("pp", "pop1, pop2, locus_id")
+_FST = "CASE WHEN sum(a + b + c) = 0 THEN 0.0 ELSE sum(a) / sum(a + b + c) END"
+_add("fst_components_per_locus", lambda s, d: _rounded(distances.fst_components(bridge(s, d)), "a", "b", "c"), _WC + " SELECT pop1, pop2, pp.locus_id AS locus_idx, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(c, 6) + 0.0 AS c FROM pp LEFT JOIN wc USING (pop1, pop2, locus_id)")
+_add("fst_observed", lambda s, d: _rounded(distances.fst_observed(bridge(s, d)), "fst"), _WC + f" SELECT pop1, pop2, round({_FST}, 6) AS fst FROM wc GROUP BY 1, 2")
+_add(
+    "fst_symmetric_table",
+    lambda s, d: _rounded(distances.symmetric_table(distances.fst_observed(bridge(s, d)), "fst"), "fst"),
+    _WC + f", f AS (SELECT pop1, pop2, {_FST} AS fst FROM wc GROUP BY 1, 2) SELECT pop1, pop2, round(fst, 6) AS fst FROM f UNION ALL SELECT pop2, pop1, round(fst, 6) FROM f UNION ALL SELECT DISTINCT population, population, 0.0 FROM smp",
+)
+_add("fst_per_locus", lambda s, d: _rounded(distances.per_locus_fst(bridge(s, d)), "fst"), _WC + " SELECT pop1, pop2, pp.locus_id AS locus_idx, round(CASE WHEN a + b + c <> 0 THEN a / (a + b + c) END, 6) + 0.0 AS fst FROM pp LEFT JOIN wc USING (pop1, pop2, locus_id)")
+_REPS = 20
+_DRAWS = f", w AS (SELECT r AS rep, {_hash(f'r * {_STEP} + j', 5)} % 200 AS slot, count(*) AS w FROM range({_REPS}) x(r), range(200) y(j) GROUP BY 1, 2)"
+_add(
+    "fst_bootstrap_ci",
+    lambda s, d: _rounded(distances.fst_bootstrap(bridge(s, d), _REPS, 5), "lower", "upper"),
+    _WC + _DRAWS + ", b AS (SELECT pop1, pop2, rep, CASE WHEN sum(w * (a + b + c)) = 0 THEN 0.0 ELSE sum(w * a) / sum(w * (a + b + c)) END AS fst FROM wc JOIN w ON slot = locus_id GROUP BY 1, 2, 3) SELECT pop1, pop2, round(quantile_cont(fst, 0.025), 6) AS lower, round(quantile_cont(fst, 0.975), 6) AS upper FROM b GROUP BY 1, 2",
+)
+_PREPS = 9
+_LABELS = f""", ps AS (SELECT pop1, pop2, sample_id, population FROM pops JOIN smp ON population IN (pop1, pop2)),
+ranked AS (SELECT pop1, pop2, r AS rep, sample_id, population, row_number() OVER (PARTITION BY pop1, pop2, r ORDER BY population, sample_id) AS own, row_number() OVER (PARTITION BY pop1, pop2, r ORDER BY {_hash(f'r * {_STEP} + sample_id', 3)}, sample_id) AS nw FROM ps CROSS JOIN range({_PREPS}) x(r)),
+lab AS (SELECT a.pop1, a.pop2, a.rep, a.sample_id, CASE WHEN b.population = a.pop1 THEN 1 ELSE 2 END AS side FROM ranked a JOIN ranked b ON a.pop1 = b.pop1 AND a.pop2 = b.pop2 AND a.rep = b.rep AND a.nw = b.own),
+sd AS (SELECT pop1, pop2, rep, locus_id, side, count(*) AS n, {_COUNTS} FROM calls JOIN lab USING (sample_id) WHERE gt IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+pq AS (SELECT pop1, pop2, rep, locus_id, {", ".join(f"coalesce(sum({v}) FILTER (side = {k}), 0)::DOUBLE AS {v}{k}" for v in ["n", *(f"{x}{b}" for b in "ACGT" for x in "ch")] for k in (1, 2))} FROM sd GROUP BY 1, 2, 3, 4)"""
+_WCP = _wc("pq", "pop1, pop2, rep, locus_id").replace("al AS", "bl AS").replace("FROM al)", "FROM bl)").replace("al2", "bl2").replace("al3", "bl3").replace("al4", "bl4").replace("wc AS", "wcp AS")
+_add(
+    "fst_permutation_p",
+    lambda s, d: _rounded(distances.fst_permutation(bridge(s, d), _PREPS, 3), "fst", "p"),
+    _WC + _LABELS + _WCP + f", o AS (SELECT pop1, pop2, {_FST} AS fst FROM wc GROUP BY 1, 2), q AS (SELECT pop1, pop2, rep, {_FST} AS f FROM wcp GROUP BY 1, 2, 3) SELECT pop1, pop2, round(fst, 6) AS fst, round((count(*) FILTER (f >= fst - 1e-12) + 1) / (count(f) + 1)::DOUBLE, 6) AS p FROM o JOIN q USING (pop1, pop2) GROUP BY pop1, pop2, fst",
+)
+_J = lambda i, j: " + ".join(f"c{b}{i} / (2 * n{i}) * c{b}{j} / (2 * n{j})" for b in "ACGT")
+_NEI = _PP + f", nj AS (SELECT pop1, pop2, locus_id, {_J(1, 2)} AS jxy, {_J(1, 1)} AS jx, {_J(2, 2)} AS jy FROM pp WHERE n1 > 0 AND n2 > 0)"
+_ID = "-ln(least(sum({w} * jxy) / sqrt(sum({w} * jx) * sum({w} * jy)), 1.0))"
+_add("nei_observed", lambda s, d: _rounded(distances.nei_observed(bridge(s, d)), "nei"), _NEI + f" SELECT pop1, pop2, round({_ID.format(w=1)}, 6) + 0.0 AS nei FROM nj GROUP BY 1, 2")
+_add(
+    "nei_bootstrap_ci",
+    lambda s, d: _rounded(distances.nei_bootstrap(bridge(s, d), _REPS, 5), "lower", "upper"),
+    _NEI + _DRAWS + f", b AS (SELECT pop1, pop2, rep, {_ID.format(w='w')} AS nei FROM nj JOIN w ON slot = locus_id GROUP BY 1, 2, 3) SELECT pop1, pop2, round(quantile_cont(nei, 0.025), 6) AS lower, round(quantile_cont(nei, 0.975), 6) AS upper FROM b GROUP BY 1, 2",
+)
+
+# -- AMOVA -------------------------------------------------------------------------------------------------------------
+_REGIONS = {"AFRICA": "south", "AMERICA": "west", "ASIA": "east", "EUROPE": "west", "MIDDLE EAST": "south"}
+
+
+def _regions(s):
+    return s.createDataFrame(list(_REGIONS.items()), "population string, region string")
+
+
+_M = "(CASE {0} WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 END)"
+_AMOVA = f""", rg(population, region) AS (VALUES {", ".join(map(str, _REGIONS.items()))}),
+cc AS (SELECT locus_id, region, population, {_M.format("a1")} | {_M.format("a2")} AS m FROM calls JOIN rg USING (population) WHERE gt IS NOT NULL),
+""" + ", ".join(
+    f"""{n}c AS (SELECT locus_id, {k} m, count(*) AS n FROM cc GROUP BY ALL), {n}p AS (SELECT x.locus_id, {", ".join(f"x.{v}" for v in k.replace(" ", "").split(",") if v)}{"," if k else ""} sum(x.n * y.n) AS s FROM {n}c x JOIN {n}c y USING (locus_id{"".join(f", {v}" for v in k.replace(" ", "").split(",") if v)}) WHERE x.m < y.m AND (x.m & y.m) = 0 GROUP BY ALL),
+{n} AS (SELECT g.*, coalesce(2.0 * s, 0)::DOUBLE AS s2, CASE WHEN size > 1 THEN coalesce(2.0 * s, 0)::DOUBLE / (size * (size - 1)) ELSE 0 END AS mean FROM (SELECT locus_id, {k} sum(n)::DOUBLE AS size FROM {n}c GROUP BY ALL) g LEFT JOIN {n}p USING (locus_id{"".join(f", {v}" for v in k.replace(" ", "").split(",") if v)}))"""
+    for n, k in (("t", ""), ("r", "region,"), ("p", "region, population,"))
+) + """, br AS (SELECT locus_id, count(*) AS nr, sum(r.size * (r.mean - t.mean) ** 2) AS ssr FROM r JOIN t USING (locus_id) GROUP BY 1),
+bp AS (SELECT locus_id, count(*) AS np, sum(p.size * (p.mean - r.mean) ** 2) AS ssp, sum(p.s2 - p.s2 * p.s2 / (p.size * p.size)) AS ssw FROM p JOIN r USING (locus_id, region) GROUP BY 1),
+ss AS (SELECT sum(ssr) AS ssr, sum(ssp) AS ssp, sum(ssw) AS ssw, sum(nr - 1) AS dfr, sum(np - nr) AS dfp, sum(t.size - np) AS dfw FROM t JOIN br USING (locus_id) JOIN bp USING (locus_id)),
+sz AS (SELECT region, population, count(*)::DOUBLE AS n FROM smp JOIN rg USING (population) GROUP BY 1, 2),
+nc AS (SELECT (sum(n) - (SELECT sum(v * v) FROM (SELECT sum(n) AS v FROM sz GROUP BY region)) / sum(n)) / (count(DISTINCT region) - 1) AS ncr, (sum(n) - sum(n * n) / sum(n)) / (count(*) - count(DISTINCT region)) AS ncp FROM sz),
+sg AS (SELECT *, greatest((ssr / dfr - ssp / dfp) / ncr, 0) AS vr, greatest((ssp / dfp - ssw / dfw) / ncp, 0) AS vp, greatest(ssw / dfw, 0) AS vw FROM ss, nc)
+"""
+_add(
+    "amova_components",
+    lambda s, d: _rounded(distances.amova(bridge(s, d), _regions(s)), "ssr", "ssp", "ssw", "sigma_r", "sigma_p", "sigma_w", "phi_rt", "phi_pr", "phi_pt").select("*", *[]),
+    _AMOVA + "SELECT round(ssr, 6) AS ssr, round(ssp, 6) AS ssp, round(ssw, 6) AS ssw, dfr::BIGINT AS dfr, dfp::BIGINT AS dfp, dfw::BIGINT AS dfw, round(vr, 6) AS sigma_r, round(vp, 6) AS sigma_p, round(vw, 6) AS sigma_w, round(vr / (vr + vp + vw), 6) AS phi_rt, round(vp / (vp + vw), 6) AS phi_pr, round((vr + vp) / (vr + vp + vw), 6) AS phi_pt FROM sg",
+)
+_add("amova_bootstrap", lambda s, d: distances.amova_bootstrap(bridge(s, d), _regions(s), 20, 5))
+
+# -- D statistics ------------------------------------------------------------------------------------------------------
+_FOUR = ["AFRICA", "AMERICA", "ASIA", "MIDDLE EAST"]
+_FIVE = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def _freq(roles: list[str]) -> str:
+    n = len(roles)
+    return f""", dz AS (SELECT population, locus_id, CASE WHEN gt IS NULL THEN NULL ELSE (a1 <> ref)::INT + (a2 <> ref)::INT END AS z FROM calls JOIN (SELECT locus_id, ref FROM loc) USING (locus_id)),
+    rm AS (SELECT locus_id, {", ".join(f"avg(z) FILTER (population = '{r}') / 2 AS m{k}" for k, r in enumerate(roles))} FROM dz GROUP BY 1),
+    rf AS (SELECT locus_id, {", ".join(f"CASE WHEN m{n - 1} > 0.5 THEN 1 - m{k} ELSE m{k} END AS p{k}" for k in range(n))} FROM rm WHERE {" AND ".join(f"m{k} IS NOT NULL" for k in range(n))} AND abs(m{n - 1} - 0.5) > 1e-12)"""
+
+
+def _pattern(text: str) -> str:
+    return " * ".join(f"p{k}" if c == "B" else f"(1 - p{k})" for k, c in enumerate(text))
+
+
+def _sides(method: str) -> str:
+    return ", ".join(f"{' + '.join(map(_pattern, patterns))} AS {side}_{name}" for name, both in introgression.METHODS[method].items() for side, patterns in zip("lr", both, strict=True))
+
+
+def _values(method: str) -> str:
+    return ", ".join(f"round((sum(l_{n}) - sum(r_{n})) / nullif(sum(l_{n}) + sum(r_{n}), 0), 6) AS {n}" for n in introgression.METHODS[method])
+
+
+for _name, _method, _roles in (("patterson_d", "patterson", _FOUR), ("partitioned_d", "partitioned", _FIVE), ("dfoil", "dfoil", _FIVE)):
+    _add(_name, lambda s, d, m=_method, r=_roles: _rounded(introgression.d_statistics(bridge(s, d), r, m), *introgression.METHODS[m]), _freq(_roles) + f", sp AS (SELECT {_sides(_method)} FROM rf) SELECT count(*) AS n_sites, {_values(_method)} FROM sp")
+_add(
+    "dstat_per_combination",
+    lambda s, d: _rounded(introgression.d_per_combination(bridge(s, d), _FOUR, "patterson", 2), "D"),
+    f""", ms AS (SELECT population, sample_id, count(*) - count(gt) AS n_missing FROM calls GROUP BY 1, 2), ch AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY population ORDER BY n_missing, sample_id) <= 2),
+    dz AS (SELECT c.population, c.sample_id, c.locus_id, ((a1 <> ref)::INT + (a2 <> ref)::INT) / 2.0::DOUBLE AS z FROM calls c JOIN (SELECT locus_id, ref FROM loc) USING (locus_id) JOIN ch ON ch.sample_id = c.sample_id WHERE gt IS NOT NULL),
+    q AS (SELECT a.locus_id, a.sample_id AS s0, b.sample_id AS s1, c.sample_id AS s2, o.sample_id AS s3, a.z AS m0, b.z AS m1, c.z AS m2, o.z AS m3 FROM dz a JOIN dz b USING (locus_id) JOIN dz c USING (locus_id) JOIN dz o USING (locus_id)
+        WHERE a.population = '{_FOUR[0]}' AND b.population = '{_FOUR[1]}' AND c.population = '{_FOUR[2]}' AND o.population = '{_FOUR[3]}' AND o.z <> 0.5),
+    rf AS (SELECT s0, s1, s2, s3, {", ".join(f"CASE WHEN m3 > 0.5 THEN 1 - m{k} ELSE m{k} END AS p{k}" for k in range(4))} FROM q), sp AS (SELECT s0, s1, s2, s3, {_sides("patterson")} FROM rf)
+    SELECT concat_ws('-', s0, s1, s2, s3) AS combination, count(*) AS n_sites, {_values("patterson")} FROM sp GROUP BY s0, s1, s2, s3""",
+)
+_add(
+    "dstat_jackknife",
+    lambda s, d: _rounded(introgression.d_jackknife(bridge(s, d), _FOUR, "patterson", 20), "value", "se", "z"),
+    _freq(_FOUR) + f""", sp AS (SELECT (row_number() OVER (ORDER BY locus_id) - 1) // 20 AS blk, count(*) OVER () AS n, {_sides("patterson")} FROM rf), b AS (SELECT blk, sum(l_D) AS l, sum(r_D) AS r FROM sp WHERE blk < n // 20 GROUP BY 1),
+    t AS (SELECT sum(l) AS tl, sum(r) AS tr FROM b), j AS (SELECT ((tl - l) - (tr - r)) / ((tl - l) + (tr - r)) AS v FROM b, t), e AS (SELECT sqrt((count(*) - 1) * (count(*) - 1) / count(*)::DOUBLE) * stddev_samp(v) AS se FROM j)
+    SELECT 'D' AS statistic, round((tl - tr) / (tl + tr), 6) AS value, round(se, 6) AS se, round((tl - tr) / (tl + tr) / se, 6) AS z FROM t, e""",
+)
+_add("dstat_significance", lambda s, d: introgression.d_significance(bridge(s, d), _FIVE, "dfoil", 20, 5))
+_add(
+    "least_missing_samples",
+    lambda s, d: introgression.least_missing_samples(bridge(s, d), 3),
+    "SELECT population, sample_id AS sample_idx, n_missing, rank FROM (SELECT *, (row_number() OVER (PARTITION BY population ORDER BY n_missing, sample_id))::INT AS rank FROM (SELECT population, sample_id, count(*) - count(gt) AS n_missing FROM calls GROUP BY 1, 2)) WHERE rank <= 3",
+)
+
+
+def _pvalues(s, d):
+    return bridge(s, d).loci.select("locus_idx", (F.pow(portable_hash(F.col("locus_idx"), 11) / 2147483647.0, 3.0)).alias("p"))
+
+
+_P = f", pv AS (SELECT locus_id AS locus_idx, ({_hash('locus_id', 11)} / 2147483647.0::DOUBLE) ** 3 AS p FROM loc)"
+_BH = _P + ", bh AS (SELECT *, least(1.0, min(p * n / r) OVER (ORDER BY p DESC)) AS q FROM (SELECT *, count(*) OVER () AS n, count(*) OVER () - rank() OVER (ORDER BY p DESC) + 1 AS r FROM pv))"
+_add("bh_correction", lambda s, d: _rounded(resampling.adjust_pvalues(_pvalues(s, d), "p", "fdr_bh"), "p", "p_adj"), _BH + " SELECT locus_idx, round(p, 6) AS p, round(q, 6) AS p_adj FROM bh")
+_add("holm_correction", lambda s, d: _rounded(resampling.adjust_pvalues(_pvalues(s, d), "p", "holm"), "p", "p_adj"), _P + " SELECT locus_idx, round(p, 6) AS p, round(least(1.0, max(x) OVER (ORDER BY p)), 6) AS p_adj FROM (SELECT *, p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) AS x FROM pv)")
+_add("bonferroni_correction", lambda s, d: _rounded(resampling.adjust_pvalues(_pvalues(s, d), "p", "bonferroni"), "p", "p_adj"), _P + " SELECT locus_idx, round(p, 6) AS p, round(least(1.0, p * count(*) OVER ()), 6) AS p_adj FROM pv")
+_add(
+    "significance_counts",
+    lambda s, d: introgression.significance_counts(resampling.adjust_pvalues(resampling.adjust_pvalues(_pvalues(s, d), "p", "bonferroni").withColumnRenamed("p_adj", "p_bonferroni"), "p", "fdr_bh").withColumnRenamed("p_adj", "p_fdr")),
+    _BH + " SELECT CASE WHEN p * n < 0.05 THEN 'Bonferroni' WHEN q < 0.05 THEN 'FDR' WHEN p < 0.05 THEN 'Raw' ELSE 'NS' END AS category, count(*) AS n FROM bh GROUP BY 1",
+)
+
+# -- linkage -----------------------------------------------------------------------------------------------------------
+_LD = f""", zz AS (SELECT c.sample_id, c.locus_id, l.chrom AS grp, (a1 <> l.ref)::INT + (a2 <> l.ref)::INT AS z FROM calls c JOIN loc l USING (locus_id) WHERE population = 'AMERICA' AND gt IS NOT NULL AND c.locus_id % 17 <> 0),
+ok AS (SELECT locus_id FROM zz GROUP BY 1 HAVING max((z = 1)::INT) = 1 OR (min(z) = 0 AND max(z) = 2)), bl AS (SELECT locus_id, (row_number() OVER (ORDER BY {_hash('locus_id', 2)}, locus_id) - 1) % 10 AS blk FROM ok),
+ce AS (SELECT * FROM zz JOIN bl USING (locus_id)),
+tl AS (SELECT a.locus_id AS locus_a, b.locus_id AS locus_b, a.blk AS block_a, b.blk AS block_b, {", ".join(f"count(*) FILTER (3 * a.z + b.z = {k}) AS n{k}" for k in range(9))}, count(*) AS n
+    FROM ce a JOIN ce b ON a.sample_id = b.sample_id AND a.locus_id < b.locus_id AND a.blk <> b.blk AND a.grp <> b.grp GROUP BY 1, 2, 3, 4),
+hp AS (SELECT *, n0 + (n1 + n3) / 2.0::DOUBLE + n4 / 4.0::DOUBLE AS x1, n2 + (n1 + n5) / 2.0::DOUBLE + n4 / 4.0::DOUBLE AS x2, n6 + (n3 + n7) / 2.0::DOUBLE + n4 / 4.0::DOUBLE AS x3, n8 + (n5 + n7) / 2.0::DOUBLE + n4 / 4.0::DOUBLE AS x4 FROM tl),
+ud AS (SELECT *, CASE WHEN n > 1 THEN 2 * (x1 * x4 - x2 * x3) / (n * (n - 1)) END AS d FROM hp)"""
+
+
+def _counts(s, d):
+    return linkage.two_locus_counts(bridge(s, d), ["AMERICA"], n_blocks=10, seed=2)
+
+
+_NS = ", ".join(f"n{k}" for k in range(9))
+_add("ld_two_locus_counts", lambda s, d: _counts(s, d).select("locus_a", "locus_b", *linkage.STATES), _LD + f" SELECT locus_a, locus_b, {_NS} FROM tl")
+_add("ld_unbiased_d", lambda s, d: _rounded(linkage.unbiased_d(_counts(s, d)).select("locus_a", "locus_b", "n", "d"), "d"), _LD + " SELECT locus_a, locus_b, n, round(d, 6) + 0.0 AS d FROM ud")
+_add(
+    "ld_block_sums",
+    lambda s, d: _rounded(linkage.block_sums(linkage.unbiased_d(_counts(s, d)), ("d",)).select("block_a", "block_b", "n_pairs", "min_n", "sum_n", "sum_d"), "sum_d"),
+    _LD + " SELECT least(block_a, block_b)::INT AS block_a, greatest(block_a, block_b)::INT AS block_b, count(*) AS n_pairs, min(n) AS min_n, sum(n)::BIGINT AS sum_n, round(sum(d), 6) + 0.0 AS sum_d FROM ud WHERE n >= 4 GROUP BY 1, 2",
+)
+_add(
+    "ld_budget_allocation",
+    lambda s, d: linkage.budget_allocation(_counts(s, d), 5000),
+    _LD + """, bs AS (SELECT least(block_a, block_b) * 1000 + greatest(block_a, block_b) AS pair, count(*) AS n FROM tl GROUP BY 1), e AS (SELECT *, n * 5000 / (SELECT sum(n) FROM bs)::DOUBLE AS x FROM bs)
+    SELECT pair, n, (floor(x) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, pair) <= 5000 - (SELECT sum(floor(x)) FROM e) THEN 1 ELSE 0 END)::BIGINT AS share FROM e""",
+)
+_add("ld_unbiased_full", lambda s, d: linkage.with_statistics(_counts(s, d)))
+_add("ld_ne_bootstrap", lambda s, d: linkage.ld_summary(linkage.block_sums(linkage.with_statistics(_counts(s, d))), 20, 5))
+
+# -- outliers, ordination ----------------------------------------------------------------------------------------------
+_add("fst_outliers_knn", lambda s, d: outliers.fst_outliers_knn(bridge(s, d), alpha=0.5, correction=None, min_z=1.0, seed=1))
+_add("fst_outliers_permutation", lambda s, d: outliers.fst_outliers_permutation(bridge(s, d), 19, alpha=0.1, correction=None, seed=1))
+_add("pca_scores", lambda s, d: outliers.pca(bridge(s, d), 2))
+
+assert BRIDGE
