@@ -88,7 +88,7 @@ def write_vcf(frame: GenotypeFrame, path: str, header: list[str] | None = None)
     lines = cells.groupBy("locus_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "v"))), lambda x: x["v"]), "\t").alias("cells"), F.count("gt").alias("ns"))
     has = lambda c, other: sequences.clean_vcf_id(F.col(c)) if c in frame.loci.columns else other
     loci = frame.loci.join(lines, "locus_idx")
-    info = F.when(F.size("info") > 0, F.array_join(F.transform(F.map_entries("info"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")).otherwise(".") if "info" in frame.loci.columns else F.concat(F.lit("NS="), F.col("ns"))
+    info = F.when(F.size("info") > 0, F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"] == ".", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))), ";")).otherwise(".") if "info" in frame.loci.columns else F.concat(F.lit("NS="), F.col("ns"))
     fixed = [F.col("chrom"), F.col("pos").cast("string"), has("id", F.concat(F.lit("locus"), F.col("locus_idx") + 1)), F.coalesce("ref", F.lit("N")), F.when(F.size("alt") > 0, F.array_join("alt", ",")).otherwise("."), has("qual", F.lit(".")), F.coalesce(F.col("filter"), F.lit("PASS")) if "filter" in frame.loci.columns else F.lit("PASS"), info, F.lit("GT"), F.col("cells")]
     names = [r["sample_id"] for r in frame.samples.orderBy("sample_idx").collect()]
     top = [h for h in header or ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'] if not h.startswith("#CHROM")]
