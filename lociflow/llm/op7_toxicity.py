@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .common import add_columns, map_rows, read_table, small_batches, write_shared
 
-__all__ = ["LevenshteinAutomaton", "Lexicon", "ToxicityModel", "fit_toxicity", "held_out", "op7_toxicity", "score_toxicity", "with_toxicity"]
+__all__ = ["LevenshteinTrie", "Lexicon", "ToxicityModel", "fit_toxicity", "held_out", "op7_toxicity", "score_toxicity", "with_toxicity"]
 
 #: Labelled rows that the lexicon and the weights are fitted on at most: those first in hash order of their ids.
 FIT_ROWS = 8_000
@@ -36,36 +36,84 @@ _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile(r"[\"“”„«»]")
 
 
-class LevenshteinAutomaton:
-    """Accepts strings within ``distance`` edits of ``word``; a state is a tuple of (place, edits) pairs, none implied by another."""
+class LevenshteinTrie:
+    """The Levenshtein automata of all entries of a trie at once, made deterministic as words walk it.
 
-    def __init__(self, word: str, distance: int):
-        self.word, self.distance = word, distance
-
-    def start(self) -> frozenset[tuple[int, int]]:
-        return self._closed({(0, 0)})
-
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        best: dict[int, int] = {}
-        for place, edits in states:
-            for skip in range(self.distance - edits + 1):
-                if place + skip <= len(self.word) and edits + skip < best.get(place + skip, self.distance + 1):
-                    best[place + skip] = edits + skip
-        return frozenset(best.items())
-
-    def step(self, state: frozenset[tuple[int, int]], char: str) -> frozenset[tuple[int, int]]:
-        """The state after ``char``; empty where nothing can match any more."""
-        out = set()
-        for place, edits in state:
-            if place < len(self.word) and self.word[place] == char:
-                out.add((place + 1, edits))
-            if edits < self.distance:
-                out.add((place, edits + 1))
-                out.add((place + 1, edits + 1))
-        return self._closed({x for x in out if x[0] <= len(self.word)})
+    A state is the set of (trie node, edits so far) that some spelling of an entry may be in. Each state and letter is
+    worked out once and then remembered, so a word costs a look-up a letter, and most words die after a few. An entry
+    allows one edit, two from 8 letters on.
+    """
 
-    def edits(self, state: frozenset[tuple[int, int]]) -> int | None:
-        return min((e for p, e in state if p == len(self.word)), default=None)
+    def __init__(self, weights: dict[str, float], limit: int = 200_000):
+        self.children: list[dict[str, int]] = [{}]
+        self.weight: list[float | None] = [None]
+        self.own, self.reach, self.limit = [0], [0], limit
+        for word, weight in weights.items():
+            allowed, at = 1 + (len(word) >= 8), 0
+            self.reach[0] = max(self.reach[0], allowed)
+            for c in word:
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.weight.append(None)
+                    self.own.append(0)
+                    self.reach.append(0)
+                at = self.children[at][c]
+                self.reach[at] = max(self.reach[at], allowed)
+            self.weight[at], self.own[at] = weight, allowed
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[frozenset, int] = {frozenset(): 0}
+        self.states: list[frozenset] = [frozenset()]
+        self.steps: dict[tuple[int, str], int] = {}
+        self.best: list[float | None] = [None]
+        self.start = self._state({0: 0} if self.reach[0] else {})
+
+    def _state(self, edits: dict[int, int]) -> int:
+        """The number of a state, after letters of entries that a word may lack."""
+        todo = list(edits.items())
+        while todo:
+            node, e = todo.pop()
+            if edits[node] < e:
+                continue
+            for child in self.children[node].values():
+                if e + 1 <= self.reach[child] and e + 1 < edits.get(child, 99):
+                    edits[child] = e + 1
+                    todo.append((child, e + 1))
+        key = frozenset(edits.items())
+        if key not in self.ids:
+            self.ids[key] = len(self.states)
+            self.states.append(key)
+            self.best.append(max((self.weight[n] for n, e in key if self.weight[n] is not None and e <= self.own[n]), default=None))
+        return self.ids[key]
+
+    def _step(self, state: int, char: str) -> int:
+        edits: dict[int, int] = {}
+
+        def put(node: int, e: int) -> None:
+            if e <= self.reach[node] and e < edits.get(node, 99):
+                edits[node] = e
+
+        for node, e in self.states[state]:
+            put(node, e + 1)
+            for c, child in self.children[node].items():
+                put(child, e + (c != char))
+        return self._state(edits)
+
+    def find(self, word: str) -> float | None:
+        """The heaviest entry that the word may be a spelling of."""
+        if len(self.steps) > self.limit:
+            self._forget()
+        state, steps = self.start, self.steps
+        for c in word:
+            after = steps.get((state, c))
+            if after is None:
+                after = steps[state, c] = self._step(state, c)
+            if not after:
+                return None
+            state = after
+        return self.best[state]
 
 
 @dataclass
@@ -75,32 +123,16 @@ class Lexicon:
     words: dict[str, float]
     stems: dict[str, float]
     memo: dict[str, tuple[float, int] | None] = field(default_factory=dict, repr=False)
-    trie: dict = field(default_factory=dict, repr=False)
+    trie: LevenshteinTrie | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
-        for word, weight in self.words.items():
-            if len(word) >= 4:
-                node = self.trie
-                for c in word:
-                    node = node.setdefault(c, {})
-                node[""] = weight
+        self.trie = LevenshteinTrie({w: v for w, v in self.words.items() if len(w) >= 4})
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "stems": self.stems, "memo": {}, "trie": self.trie}
+        return {"words": self.words, "stems": self.stems}
 
-    def near(self, word: str) -> float | None:
-        """Weight of the heaviest entry one edit from ``word``, two from 8 letters on: the automaton walks the trie."""
-        machine = LevenshteinAutomaton(word, 1 + (len(word) >= 8))
-        best, todo = None, [(self.trie, machine.start())]
-        while todo:
-            node, state = todo.pop()
-            for c, child in node.items():
-                if c == "":
-                    if machine.edits(state) is not None and (best is None or child > best):
-                        best = child
-                elif after := machine.step(state, c):
-                    todo.append((child, after))
-        return best
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
     def find(self, word: str) -> tuple[float, int] | None:
         if word in self.memo:
@@ -114,7 +146,7 @@ class Lexicon:
             stems = [self.stems[word[:k]] for k in STEMS if k < len(word) and word[:k] in self.stems]
             if stems:
                 out = (max(stems), 1)
-            elif 4 <= len(word) <= 40 and (weight := self.near(word)) is not None:
+            elif 4 <= len(word) <= 40 and (weight := self.trie.find(word)) is not None:
                 out = (weight, 2)
         self.memo[word] = out
         return out
@@ -180,9 +212,17 @@ TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("stem
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and stems by label, at most 3 for each document, summed over the task."""
+    """Counts of words and stems by label, at most 3 for each document, summed over parts of the task."""
     counts: tuple[Counter, Counter, Counter] = Counter(), Counter(), Counter()
-    for b in small_batches(batches):
+
+    def flush() -> pa.RecordBatch:
+        keys = list(set(counts[0]) | set(counts[1]))
+        out = pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.bool_()), *(pa.array([c[t] for t in keys], pa.int64()) for c in counts)], names=TERMS.names)
+        for c in counts:
+            c.clear()
+        return out
+
+    for b in small_batches(batches, 500_000):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = Counter(_WORD.findall((text or "").lower()))
             own: Counter = Counter()
@@ -196,10 +236,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[0 if toxic else 1][t] += min(n, 3)
             if toxic:
                 counts[2].update(own.keys())
-    keys = list(set(counts[0]) | set(counts[1]))
-    for at in range(0, len(keys), 50_000):
-        part = keys[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.string()), pa.array([s for _, s in part], pa.bool_()), *(pa.array([c[t] for t in part], pa.int64()) for c in counts)], names=TERMS.names)
+        if len(counts[0]) + len(counts[1]) > 100_000:
+            yield flush()
+    yield flush()
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
