@@ -43,9 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has too are cut out; halves of characters at the cuts go as well."""
-    found = remove_repeats(docs).select("rest.*", F.col("kept").cast("string").alias("__kept"), "n_removed")
-    valid = F.when(F.is_valid_utf8("__kept"), F.col("__kept")).otherwise(F.translate(F.make_valid_utf8("__kept"), "\ufffd", ""))
-    text = F.when(F.col("n_removed") > 0, valid).otherwise(F.col("text"))
+    found = remove_repeats(docs).select("rest.*", F.col("kept").cast("string").alias("__kept"))
+    text = F.when(F.is_valid_utf8("__kept"), F.col("__kept")).otherwise(F.translate(F.make_valid_utf8("__kept"), "\ufffd", ""))
     return _with_text(found, docs.columns, text)
 
 

@@ -20,7 +20,7 @@ __all__ = ["first_places", "op3_suffix_dedup", "remove_repeats"]
 #: Bytes of a string that must not repeat, and of the grams that are sampled from it.
 STRING, GRAM = 50, 28
 #: Bytes of text in a unit of documents, which is what one task holds.
-UNIT_BYTES = 16_000_000
+UNIT_BYTES = 14_000_000
 #: Strings that a window holds at most, and different windows that one sampled gram may have before they are dealt out singly.
 PIECE, HOT_WINDOWS = STRING - GRAM + 1, 1_024
 CHUNK_BYTES = 1_000_000
@@ -98,9 +98,10 @@ class Windows:
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
         value = least[self.start]
         self.key = self._key(value)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(hashes))])
-        body = sums[self.start + self.n + PIECE - 1] - sums[self.start]
-        self.tag = _mixed(body ^ hashes[self.start] * np.uint64(3) ^ self.n.astype(np.uint64)) >> np.uint64(25)
+        # Three grams cover a window of at most 72 bytes.
+        last = self.start + self.n + PIECE - 2
+        body = hashes[self.start] * np.uint64(3) ^ hashes[self.start + PIECE - 1] * np.uint64(5) ^ hashes[last] * np.uint64(7)
+        self.tag = _mixed(body ^ self.n.astype(np.uint64)) >> np.uint64(25)
         self.hashes = hashes
 
     def _key(self, value: np.ndarray) -> np.ndarray:
@@ -229,12 +230,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are shuffled once (the three steps over units share that exchange). A hot passage costs one entry for each
     unit, whatever its number of documents. Hashes only deal out and merge windows; strings are compared in full.
 
-    Null texts are empty and have nothing to remove. A null id is after all others; equal ids never remove from each
-    other. All other columns are kept as they are, in ``rest``. An empty table gives no rows.
+    Null texts are empty, have nothing to remove and stay null in ``kept``. A null id is after all others; equal ids never
+    remove from each other. All columns but the text are kept as they are, in ``rest``. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    rest = F.struct(*[docs[c] for c in docs.columns]) if docs.columns else F.lit(None)
+    rest = F.struct(*[docs[c] for c in docs.columns if c != text_col])
     order = F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1))
     facts = docs.agg(F.sum(F.octet_length(docs[text_col])).alias("b"), F.count("*").alias("n")).first()
     buckets = max(1, -(-(facts["b"] or 0) // UNIT_BYTES))
@@ -251,20 +252,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             low, high = F.get(bounds, nth - 1), F.get(bounds, nth)
             share = F.coalesce(F.floor((order - low - 1) / (high - low) * within), F.lit(0))
             unit = nth * within + F.least(share, F.lit(within - 1))
-    units = docs.select(unit.cast("int").alias("unit"), order.alias("order"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"), rest.alias("rest"))
+    units = docs.select(unit.cast("int").alias("unit"), order.alias("order"), docs[text_col].cast("binary").alias("text"), rest.alias("rest"))
     b64 = np.uint64(buckets)
 
     def tell(docs: pa.Table) -> pa.Table:
         number = docs.column("unit")[0].as_py()
         found = [(w.key, w.tag, o[w.doc]) for _, o, w in _chunks(docs, buckets)]
         key, tag, own = (np.concatenate(x) for x in zip(*found, strict=True))
-        rank = np.lexsort((tag, key))
-        key, tag, own = key[rank], tag[rank], own[rank]
         if not len(key):
             return _table([], KEYS)
+        rank = np.argsort(key)
+        key, tag, own = key[rank], tag[rank], own[rank]
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
         many = np.repeat(many, np.diff(np.append(heads, len(key))))
+        # Equal windows that follow each other are told once; a few may stand apart, which does no harm.
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])
         key, tag = key[once], tag[once] * np.uint64(2) + many[once]
         return _table([(b, number, _short(key[p] // b64), _short(tag[p])) for b, p in _parts(key % b64)], KEYS)
@@ -274,8 +276,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         h, v = _long(rows.column("h").to_pylist()), _long(rows.column("v").to_pylist())
         unit = np.repeat(np.asarray(rows.column("unit")), [len(x.as_py()) // 5 for x in rows.column("h")])
         many, v = (v & np.uint64(1)).astype(bool), v >> np.uint64(1)
+        # Most grams are in one window of one unit: they are left before the full sort.
+        rank = np.argsort(h)
+        edge = np.concatenate([[True], h[rank][1:] != h[rank][:-1], [True]])
+        rank = rank[~(edge[1:] & edge[:-1]) | many[rank]]
+        h, v, unit, many = h[rank], v[rank], unit[rank], many[rank]
         rank = np.lexsort((unit, v, h))
         h, v, unit, many = h[rank], v[rank], unit[rank], many[rank]
+        if not len(h):
+            return _table([], SHARED)
         heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(heads, len(h)))
         spread = lambda x: np.repeat(x, sizes)
@@ -363,6 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(docs: pa.Table, shared: pa.Table) -> pa.Table:
         columns: list[list] = [[None] * docs.num_rows for _ in range(5)]
+        there = docs.column("text").is_valid().to_pylist()
         keys, status = known(shared)
         masks = shared.filter(pa.compute.is_valid(shared.column("mask")))
         pair = lambda key, tag: _mixed(key * np.uint64(0x9E3779B97F4A7C15) + tag)
@@ -419,7 +429,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed = int(c.sum())
                 kept = w.data[a:b][~c].tobytes() if removed else w.data[a:b].tobytes()
                 spans = int((c[1:] & ~c[:-1]).sum() + c[0]) if removed else 0
-                for column, value in zip(columns, (int(b - a), removed, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for column, value in zip(columns, (int(b - a), removed, spans, hashlib.sha256(kept).hexdigest(), kept if there[row] else None), strict=True):
                     column[row] = value
         kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
         return pa.table([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), docs.column("rest")], names=out.names)
