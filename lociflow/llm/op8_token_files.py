@@ -61,13 +61,13 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     kind = f"<u{width}"
 
     def factory():
-        words = WordIds.load(path)
+        words = WordIds.load(path, width)
         if width < 4 and words.tokenizer.get_vocab_size() > 1 << 8 * width:
             raise ValueError("ids of this vocabulary need a width of 4")
         end = np.asarray([end_id], kind).tobytes()
 
         def work(ids, texts):
-            blobs = [np.frombuffer(b, "<u4").astype(kind).tobytes() + end for b in words.encode(texts)]
+            blobs = [b + end for b in words.encode(texts)]
             return [ids, [len(b) // width for b in blobs], blobs]
 
         return work

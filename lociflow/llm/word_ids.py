@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 __all__ = ["WordIds"]
 
@@ -13,59 +12,95 @@ __all__ = ["WordIds"]
 _SPACES = re.compile(r"[ \t\n\r]+")
 #: What Python splits at and the tokenizer does not.
 _CONTROLS = re.compile("[\x0b\x0c\x1c-\x1f]")
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[tuple[str, int], WordIds] = {}
+#: Letters whose lower case and composition are plain; a word of them is one piece of the tokenizer's pattern.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Characters beyond ASCII of plain words as byte-level vocabularies write them: printable Latin-1 bytes stand for
+    themselves, the others for the characters from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(other)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned numbers of ``width`` bytes, 4 or 2.
 
     The vocabulary splits at white space before anything else, and its normalisation (composition, lower case) never
-    crosses white space, so a text's ids are the ids of its words in order. ``limit`` bounds the memo's entries.
+    crosses white space, so a text's ids are the ids of its words in order. ``limit`` bounds the memo's entries: it has
+    two generations, and words still in use move from the old one to the new one when the new one is full.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, width: int = 4, limit: int = 1_400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.limit, self.memo = limit, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model._resize_cache(0)  # words are remembered here
+        self.kind, self.limit, self.memo, self.old = f"<{'I' if width == 4 else 'H'}", limit, {}, {}
+        self.marks = {c: self._pack(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
 
     @classmethod
-    def load(cls, path: str) -> WordIds:
+    def load(cls, path: str, width: int = 4) -> WordIds:
         """One instance per Python worker, so that reused workers keep what they know."""
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        if (path, width) not in _LOADED:
+            _LOADED[path, width] = cls(path, width)
+        return _LOADED[path, width]
 
-    def _core(self, word: str) -> str:
-        return word.lower() if word.isascii() else word
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"{self.kind[0]}{len(ids)}{self.kind[1]}", *ids)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode unknown words; a word that ends in a letter and one full stop or comma is two known parts."""
-        ends, cores = {}, {}
+        """Encode unknown words; a word that ends in a letter and one mark of punctuation is two known parts."""
+        memo, old, plain, tokenize, pack, letters = self.memo, self.old, _PLAIN.fullmatch, self.model.tokenize, self._pack, self.letters
+        marks, rest = self.marks, []
         for w in words:
-            if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].lower()[-1].isalpha():  # the lower case of one letter ends in a mark
-                ends[w] = (self._core(w[:-1]), w[-1])
-                cores[ends[w][0]] = cores[w[-1]] = None
-            else:
-                ends[w] = (self._core(w), "")
-                cores[ends[w][0]] = None
-        memo = self.memo
-        new = [w for w in cores if w not in memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        for w, (core, end) in ends.items():
-            memo[w] = memo[core] + (memo[end] if end else b"")
+            ids = old.get(w)
+            if ids is None:
+                end = marks.get(w[-1])
+                # The lower case of one letter ends in a mark, hence the last character of it.
+                core = w[:-1] if end is not None and len(w) > 1 and w[-2].lower()[-1].isalpha() else w
+                if core is w:
+                    end = b""
+                low = core.lower() if core.isascii() else core
+                ids = memo.get(low)
+                if ids is None:
+                    ids = old.get(low)
+                    if ids is None:
+                        if not plain(core):
+                            rest.append((w, low, end))
+                            continue
+                        # One piece: the model alone gives what the whole tokenizer would.
+                        piece = low if low.isascii() else low.lower().translate(letters)
+                        ids = pack([t.id for t in tokenize(piece)])
+                    memo[low] = ids
+                ids += end
+            memo[w] = ids
+        if rest:
+            new = list(dict.fromkeys(low for _, low, _ in rest))
+            found = {low: pack(e.ids) for low, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            memo |= found
+            for w, low, end in rest:
+                memo[w] = found[low] + end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text is empty."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
+        if len(self.memo) > self.limit // 2:
+            self.memo, self.old = {}, self.memo
         split = [t.split() if t and t.isascii() and not _CONTROLS.search(t) else [w for w in _SPACES.split(t or "") if w] for t in texts]
         memo, new = self.memo, set()
         for words in split:
             new.update(words)
         new.difference_update(memo)
         self._learn(list(new))
-        return [b"".join([memo[w] for w in words]) for words in split]
+        out = [b"".join([memo[w] for w in words]) for words in split]
+        for w in new:
+            if len(w) > 64:  # very long words are not kept
+                for x in (w, w.lower(), w[:-1], w[:-1].lower()):
+                    memo.pop(x, None)
+        return out
