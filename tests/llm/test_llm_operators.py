@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lociflow.llm import op2_multi_index, op3_suffix_dedup, op4_bitsliced, op9_licenses
+from lociflow.llm import op1_jaccard, op2_multi_index, op3_suffix_dedup, op4_bitsliced, op9_licenses
 from lociflow.llm.common import connected_components
 from lociflow.llm.op1_jaccard import jaccard_links, shingle_sets
 from lociflow.llm.op5_byte_bpe import decode_ids, encode_documents
@@ -76,6 +76,18 @@ def test_jaccard(spark, small, docs):
     assert jaccard_links(docs.limit(0)).count() == 0
 
 
+def test_jaccard_hot_buckets(spark, monkeypatch):
+    """Tiny limits: buckets are split by Spark, compared in pairs of parts, and clusters are verified in chunks."""
+    monkeypatch.setattr(op1_jaccard, "TASK_BUCKET", 4)
+    monkeypatch.setattr(op1_jaccard, "CHUNK_SETS", 3)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :])) for i in range(1, 30)] + [(100, " ".join(words)), (101, " ".join(words))]
+    got = {r["doc_id"]: r for r in jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = _jaccard(rows)
+    assert {d: r["n_links"] for d, r in got.items()} == {d: len(links[d]) for d in got}
+    assert {r["component_id"] for r in got.values()} == {1}
+
+
 def test_embeddings(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0, 0.1, 0.0]), (3, [1.0, 0.1, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 0.0]), (7, [0.0, 1.0, None]), (None, [1.0, 0.0, 0.0]), (8, [0.0, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", F.lit(1))
