@@ -79,7 +79,7 @@ def adjust_pvalues(rows: DataFrame, p: str, method: str, *keys: str) -> DataFram
         # Rank from below of the last of equal values.
         rows = rows.withColumn("__x", F.col(p) * n / (n - rank + 1)).withColumn("__x", F.when(same > 0, F.col("__x")))
         adjusted = F.least(F.lit(1.0), F.min("__x").over(Window.partitionBy(*group).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("p_adj", adjusted).drop("__x")
+    return rows.withColumn("p_adj", F.when(F.col(p).isNotNull(), adjusted)).drop("__x")
 
 
 def largest_remainder(rows: DataFrame, weight: str, total: int, order: str) -> DataFrame:
