@@ -19,6 +19,8 @@ __all__ = ["BitSlicedBlock", "op4_bitsliced_topk", "quantise", "top_k"]
 
 #: Rows of an index block, and queries that meet a block in one task.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
+#: Query blocks that meet an index block in one task.
+TASK_GROUPS = 16
 SCALE = 256
 
 
@@ -159,17 +161,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both come from ``quantise``. A row is never its own candidate; equal scores go to the smaller vec_id; a query with
     fewer candidates gets all. Vectors shorter than others are taken as padded with zeros. Rows are dealt by a hash of
     their id into blocks of about ``BLOCK_ROWS``, queries into blocks of about ``BLOCK_QUERIES``, and each query block
-    goes to each index block as one row: all rows are searched, in blocks, and a task holds one block and a few query
-    blocks. Each meeting gives ``k`` rows a query, of which the best ``k`` over all blocks are kept. Repeated ids are
+    goes to each index block as one row: all rows are searched, in blocks, and a task holds one block and at most
+    ``TASK_GROUPS`` query blocks. Each meeting gives ``k`` rows a query, of which the best ``k`` over all blocks are kept. Repeated ids are
     separate candidates. Scores must fit in 64 bits. Returns (query_id, rank, vec_id, score).
     """
     spark = vectors.sparkSession
     ship(spark)
     vectors, queries = write_shared(vectors, "vectors"), write_shared(queries, "queries")
     n_blocks, n_groups = max(1, math.ceil(vectors.count() / BLOCK_ROWS)), max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(-1).alias("group"), F.array(F.struct("vec_id", "v")).alias("members"))
+    batches = F.explode(F.sequence(F.lit(0), F.lit((n_groups - 1) // TASK_GROUPS)))
+    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), batches.alias("batch"), F.lit(-1).alias("group"), F.array(F.struct("vec_id", "v")).alias("members"))
     grouped = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int").alias("group")).agg(F.collect_list(F.struct("vec_id", "v")).alias("members"))
-    sent = grouped.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "group", "members")
+    sent = grouped.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.floor(F.col("group") / TASK_GROUPS).cast("int").alias("batch"), "group", "members")
 
     def search(table: pa.Table) -> pa.Table:
         index = pa.compute.less(table.column("group"), 0)
@@ -194,7 +197,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return pa.table([pa.array(c, pa.int64()) for c in out], names=FOUND.names)
 
     both = rows.unionByName(sent)
-    found = both.groupBy("block").applyInArrow(search, FOUND)
+    found = both.groupBy("block", "batch").applyInArrow(search, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
