@@ -1,4 +1,4 @@
-"""License scans in DataFrame functions only: exact phrases, and an exact set-similarity join of text lines with notices."""
+"""License scans in DataFrame functions only: exact phrases, and an exact set-similarity join of lines and word windows with notices."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ NOTICES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-#: Share of a notice's distinct words that a line must hold.
+#: Share of a notice's distinct words that a block must hold.
 CONTAINMENT = 0.85
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,12 +46,17 @@ def _normal(c: Column) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, containment: float = CONTAINMENT) -> DataFrame:
     """Phrases and notices in every whole text.
 
-    The words of all notices are counted over all documents and ordered from rare to frequent. A line (the block) can
+    The words of all notices are counted over all documents and ordered from rare to frequent. A block can
     only reach the threshold for a notice if it holds one of the notice's first words in that order (prefix filter), has
     enough words (length filter) and enough are left on both sides after the first common one (positional filter); what
     passes is verified by intersection. So a frequent word never makes a candidate. The driver gets one count for each
     word of the notices. One narrow scan besides that count, and one shuffle of a short row for each document.
 
+    Blocks are the lines and, since notices are often wrapped, all runs of ``ceil(words of the notice / containment)``
+    words, whatever line ends are in them. Every such run lies in one of the tiles of twice the longest run that start
+    at its multiples; tiles with a first word of some notice go through the filters as lines do, and those that pass are
+    verified run by run.
+
     A null text is empty. Repeated rows give a row each, null ids stay null, an empty table gives no rows. Other columns
     are not read.
     """
@@ -64,12 +69,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = rows.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))).alias("w")).groupBy("w").count()
     counts = {r["w"]: r["count"] for r in seen.collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    sets = [(label, [w for w in order if w in set(text.split())]) for label, text in notices]
+    sets = [(label, [w for w in order if w in set(text.split())], math.ceil(len(text.split()) / containment - 1e-9)) for label, text in notices]
+    longest = max((span for *_, span in sets), default=1)
     prefixes = []
-    for k, (label, own) in enumerate(sets):
+    for k, (label, own, span) in enumerate(sets):
         need = math.ceil(containment * len(own) - 1e-9)
-        prefixes += [(w, label, k, i, own, own[:i], need) for i, w in enumerate(own[: len(own) - need + 1])]
-    table = spark.createDataFrame(prefixes, "w string, label string, notice int, i int, own array<string>, earlier array<string>, need int")
+        prefixes += [(w, label, k, i, own, own[:i], need, span) for i, w in enumerate(own[: len(own) - need + 1])]
+    table = spark.createDataFrame(prefixes, "w string, label string, notice int, i int, own array<string>, earlier array<string>, need int, span int")
     firsts = [w for w in order if any(w == p[0] for p in prefixes)]
     alive = [w for w in firsts if counts.get(w, 0)]
 
@@ -82,6 +88,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         parts.alias("parts"),
         F.array_join(F.array_compact(F.array(*(F.when(F.contains("flat", F.lit(f" {p} ")), F.lit(label)) for p, label in sorted(PHRASES, key=lambda x: x[1])))), ",").alias("base_labels"),
         (F.when(F.col("flat").rlike(" (?:" + "|".join(alive) + ") "), F.split("lower", "\n")) if alive else F.lit(None).cast("array<string>")).alias("lines"),
+        # A text of one line is its own block, which holds what its runs hold.
+        (F.when(F.contains("lower", F.lit("\n")) & F.col("flat").rlike(" (?:" + "|".join(alive) + ") "), F.split(F.trim("flat"), " ")) if alive else F.lit(None).cast("array<string>")).alias("all"),
     )
     facts = scanned.select(
         "row",
@@ -92,17 +100,25 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(F.size("parts") > 1, F.col("n_words") - _spaces(F.element_at("parts", -1))).cast("long").alias("last_word"),
         "base_labels",
         "lines",
+        "all",
+        F.array_compact(F.transform("all", lambda w, i: F.when(w.isin(alive), F.floor(i / longest).cast("int")))).alias("tiles"),
     )
-    facts = facts.select("row", F.struct("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").alias("facts"), F.explode_outer("lines").alias("line"))
-    blocks = facts.withColumn("words", F.when(F.col("line").isNotNull(), F.array_remove(F.array_distinct(F.split(_normal(F.col("line")), " ")), "")))
-    # The line's notice words in the common order; nothing else counts for containment.
+    tiles = F.filter(F.array_distinct(F.concat("tiles", F.transform("tiles", lambda t: t - 1))), lambda t: t >= 0)
+    texts = F.transform("lines", lambda x: F.struct(F.split(_normal(x), " ").alias("words"), F.lit(False).alias("tile")))
+    runs = F.coalesce(F.transform(tiles, lambda t: F.struct(F.slice("all", t * longest + 1, F.lit(2 * longest)).alias("words"), F.lit(True).alias("tile"))), F.array().cast("array<struct<words:array<string>,tile:boolean>>"))
+    facts = facts.select("row", F.struct("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").alias("facts"), F.explode_outer(F.concat(texts, runs)).alias("block"))
+    blocks = facts.withColumn("words", F.array_remove(F.array_distinct("block.words"), "")).withColumn("tile", F.when(F.col("block.tile"), F.col("block.words")))
+    # The block's notice words in the common order; nothing else counts for containment.
     blocks = blocks.withColumn("known", F.array_intersect(F.array(*map(F.lit, order)), "words"))
     starts = F.array_intersect("known", F.array(*map(F.lit, firsts)))
-    probes = blocks.select("row", "facts", "known", F.size("words").alias("size"), F.explode_outer(starts).alias("w"))
+    probes = blocks.select("row", "facts", "known", "tile", F.size("words").alias("size"), F.explode_outer(starts).alias("w"))
     rest = F.least(F.size("own") - F.col("i") - 1, F.size("known") - F.array_position("known", F.col("w")))
     passes = (F.col("size") >= F.col("need")) & (1 + rest >= F.col("need")) & ~F.arrays_overlap("earlier", "known")
     # The notices' prefixes are some dozens of rows.
     joined = probes.join(F.broadcast(table), "w", "left").withColumn("common", F.when(passes, F.size(F.array_intersect("own", "known"))))
+    places = F.sequence(F.lit(1), F.greatest(F.size("tile") - F.col("span") + 1, F.lit(1)))
+    held = F.array_max(F.transform(places, lambda i: F.size(F.array_intersect("own", F.slice("tile", i, F.col("span"))))))
+    joined = joined.withColumn("common", F.when((F.col("common") >= F.col("need")) & F.col("tile").isNotNull(), held).otherwise(F.col("common")))
     hit = F.col("common") >= F.col("need")
     found = joined.groupBy("row").agg(F.first("facts").alias("facts"), F.collect_set(F.when(hit, F.col("label"))).alias("more"), F.max(F.when(hit, F.col("common") / F.size("own"))).alias("best"))
     base = F.filter(F.split("facts.base_labels", ","), lambda x: x != "")

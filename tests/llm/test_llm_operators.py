@@ -204,6 +204,18 @@ def test_licenses_and_secrets_edges(spark, docs):
     assert (row["n_base"], row["first_word"], row["last_word"], row["base_labels"], row["labels"]) == (2, 3, 12, "gpl,mit", "gpl,mit")
 
 
+def test_wrapped_notices(spark):
+    texts = {
+        "bsd": "x\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n",
+        "mit": "plain\n" * 50 + "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files",
+        "apache-2.0": "you may not use this file except\nin compliance with the License.\n * You may obtain a copy\n * of the License at",
+        "mpl-2.0": "This Source Code Form is subject to\nthe terms of the Mozilla Public\n// License, v. 2.0.",
+    }
+    far = texts["bsd"].replace("modification", "y " * 40 + "modification")  # too far apart for one run
+    rows = op9_licenses.scan_licenses(spark.createDataFrame([*texts.items(), ("", far), ("", "redistribution and\nuse")], "doc_id string, text string")).collect()
+    assert sorted((r["labels"], r["score"]) for r in rows) == sorted([(k, 1.0) for k in texts] + [("", 0.0)] * 2)
+
+
 def test_toxicity(spark, docs):
     d = "/root/testdata/sf0.1"
     all_docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
