@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,12 @@ QUOTED = 0.25
 # Words that report what somebody said.
 REPORTING = frozenset("said says wrote called quote quoted quoting word term insult insulted".split())
 
+#: Entries with fewer letters are only met as they are: an edit of them is a part of too many words.
+MIN_FUZZY = 4
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words, and what one or two digits or marks join to one token.
+_TOKEN = re.compile(r"[^\W\d_]++(?:[\d_*@$!|#+.'’~^%&-]{1,2}+[^\W\d_]++)*+")
+_JOINTS = re.compile(r"[\W\d_]+")
 _QUOTES = re.compile(r"[\"“”„«»]")
 
 
@@ -41,28 +46,44 @@ class LevenshteinTrie:
 
     A state is the set of (trie node, edits so far) that some spelling of an entry may be in. Each state and letter is
     worked out once and then remembered, so a word costs a look-up a letter, and most words die after a few. An entry
-    allows one edit, two from 8 letters on.
+    allows one edit, two from 8 letters on. ``stems`` are entries that one letter more at least must follow.
     """
 
-    def __init__(self, weights: dict[str, float], limit: int = 200_000):
+    def __init__(self, weights: dict[str, float], limit: int = 200_000, stems: dict[str, float] | None = None):
         self.children: list[dict[str, int]] = [{}]
         self.weight: list[float | None] = [None]
+        #: What follows a stem: a node that any letter leads to, and stays in.
+        self.tail: list[int] = [0]
         self.own, self.reach, self.limit = [0], [0], limit
         for word, weight in weights.items():
-            allowed, at = 1 + (len(word) >= 8), 0
-            self.reach[0] = max(self.reach[0], allowed)
-            for c in word:
-                if c not in self.children[at]:
-                    self.children[at][c] = len(self.children)
-                    self.children.append({})
-                    self.weight.append(None)
-                    self.own.append(0)
-                    self.reach.append(0)
-                at = self.children[at][c]
-                self.reach[at] = max(self.reach[at], allowed)
+            at, allowed = self._insert(word)
             self.weight[at], self.own[at] = weight, allowed
+        for stem, weight in (stems or {}).items():
+            at, allowed = self._insert(stem)
+            self.tail[at] = tail = self._node()
+            self.tail[tail] = tail
+            self.weight[tail], self.own[tail], self.reach[tail] = weight, allowed, allowed
         self._forget()
 
+    def _node(self) -> int:
+        self.children.append({})
+        self.weight.append(None)
+        self.tail.append(0)
+        self.own.append(0)
+        self.reach.append(0)
+        return len(self.children) - 1
+
+    def _insert(self, entry: str) -> tuple[int, int]:
+        """The entry's last node and the edits it allows."""
+        allowed, at = 1 + (len(entry) >= 8), 0
+        self.reach[0] = max(self.reach[0], allowed)
+        for c in entry:
+            if c not in self.children[at]:
+                self.children[at][c] = self._node()
+            at = self.children[at][c]
+            self.reach[at] = max(self.reach[at], allowed)
+        return at, allowed
+
     def _forget(self) -> None:
         self.ids: dict[frozenset, int] = {frozenset(): 0}
         self.states: list[frozenset] = [frozenset()]
@@ -97,6 +118,8 @@ class LevenshteinTrie:
 
         for node, e in self.states[state]:
             put(node, e + 1)
+            if self.tail[node]:
+                put(self.tail[node], e)
             for c, child in self.children[node].items():
                 put(child, e + (c != char))
         return self._state(edits)
@@ -118,18 +141,26 @@ class LevenshteinTrie:
 
 @dataclass
 class Lexicon:
-    """Whole words and stems with weights. ``find`` gives a word's (weight, kind), kinds: 0 word, 1 stem, 2 misspelt word."""
+    """Whole words and stems with weights. ``find`` gives a word's (weight, kind), kinds: 0 word, 1 stem, 2 misspelling of either.
+
+    ``covered`` are words and ``covered_stems`` stems that begin with a stem: met as they are they are that stem's, only
+    their misspellings are their own. ``known`` are words of clean texts, and in how many: they are no misspellings.
+    """
 
     words: dict[str, float]
     stems: dict[str, float]
-    memo: dict[str, tuple[float, int] | None] = field(default_factory=dict, repr=False)
-    trie: LevenshteinTrie | None = field(default=None, repr=False)
+    covered: dict[str, float] = field(default_factory=dict)
+    covered_stems: dict[str, float] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)
+    memo: dict[str | tuple[str], tuple[float, int] | None] = field(default_factory=dict, init=False, repr=False)
+    trie: LevenshteinTrie | None = field(default=None, init=False, repr=False)
 
     def __post_init__(self) -> None:
-        self.trie = LevenshteinTrie({w: v for w, v in self.words.items() if len(w) >= 4})
+        long = lambda entries: {t: v for t, v in entries.items() if len(t) >= MIN_FUZZY}
+        self.trie = LevenshteinTrie(long(self.covered | self.words), stems=long(self.covered_stems | self.stems))
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "stems": self.stems}
+        return {"words": self.words, "stems": self.stems, "covered": self.covered, "covered_stems": self.covered_stems, "known": self.known}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
@@ -146,17 +177,45 @@ class Lexicon:
             stems = [self.stems[word[:k]] for k in STEMS if k < len(word) and word[:k] in self.stems]
             if stems:
                 out = (max(stems), 1)
-            elif 4 <= len(word) <= 40 and (weight := self.trie.find(word)) is not None:
+            elif MIN_FUZZY <= len(word) <= 40 and word not in self.known and (weight := self.trie.find(word)) is not None:
                 out = (weight, 2)
         self.memo[word] = out
         return out
 
+    def find_token(self, token: str) -> tuple[float, int] | None:
+        """A token that digits or marks are in: as a misspelling with them as letters, or without them."""
+        key = (token,)
+        if key not in self.memo:
+            weights = [self.trie.find(token)] if MIN_FUZZY <= len(token) <= 40 else []
+            if len(bare := _JOINTS.sub("", token)) >= MIN_FUZZY and (found := self.find(bare)):
+                weights.append(found[0])
+            weight = max((w for w in weights if w is not None), default=None)
+            self.memo[key] = None if weight is None else (weight, 2)
+        return self.memo[key]
+
+    def hits(self, lower: str) -> tuple[list[str], list[tuple[int, float, int]]]:
+        """All words, and (place, weight, kind) of the hits. A joined token is looked at where none of its words is a hit."""
+        words: list[str] = []
+        hits = []
+        find = self.find
+        for token in _TOKEN.findall(lower):
+            if token.isalpha():
+                if found := find(token):
+                    hits.append((len(words), *found))
+                words.append(token)
+                continue
+            parts = _WORD.findall(token)
+            own = [(k, *found) for k, w in enumerate(parts, len(words)) if (found := find(w))]
+            if not own and len(parts) > 1 and (found := self.find_token(token)):
+                own = [(len(words), *found)]
+            hits += own
+            words += parts
+        return words, hits
+
     def features(self, text: str | None) -> list[float]:
         """Sums of hits by kind, their density, the densest window and its share; a null text is empty."""
         lower = (text or "").lower()
-        words = _WORD.findall(lower)
-        find = self.find
-        hits = [(k, *found) for k, w in enumerate(words) if (found := find(w))]
+        words, hits = self.hits(lower)
         sums = [0.0, 0.0, 0.0]
         best = 0.0
         if hits:
@@ -172,6 +231,15 @@ class Lexicon:
         n = max(len(words), 1)
         return [math.log1p(sums[0]), math.log1p(sums[1]), math.log1p(sums[2]), math.log1p(100 * sums[0] / n), math.log1p(100 * sums[1] / n), math.log1p(100 * sums[2] / n), math.log1p(best), math.log1p(len(words))]
 
+    def misspelt(self, text: str | None) -> str:
+        """The text with another second letter in each word that is a hit as it is."""
+
+        def other(m: re.Match) -> str:
+            w = m[0]
+            return w[0] + ("x" if w[1] != "x" else "z") + w[2:] if len(w) >= MIN_FUZZY and (found := self.find(w)) and found[1] < 2 else w
+
+        return _WORD.sub(other, (text or "").lower())
+
     @staticmethod
     def _quoted(lower: str, words: list[str], places: list[int]) -> list[bool]:
         """Is each hit between two quotation marks of one line, or after a reporting word within the window?"""
@@ -208,12 +276,12 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("stem", T.BooleanType()), T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType()), T.StructField("docs", T.LongType())])
+TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("stem", T.BooleanType()), T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("clean", T.LongType())])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words and stems by label, at most 3 for each document, summed over parts of the task."""
-    counts: tuple[Counter, Counter, Counter] = Counter(), Counter(), Counter()
+    counts: tuple[Counter, Counter, Counter, Counter] = Counter(), Counter(), Counter(), Counter()
 
     def flush() -> pa.RecordBatch:
         keys = list(set(counts[0]) | set(counts[1]))
@@ -236,6 +304,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[0 if toxic else 1][t] += min(n, 3)
             if toxic:
                 counts[2].update(own.keys())
+            else:
+                counts[3].update(t for t in own if not t[1])
         if len(counts[0]) + len(counts[1]) > 100_000:
             yield flush()
     yield flush()
@@ -243,7 +313,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     """Words and stems that toxic texts of ``sample(text, toxic)`` hold far more often, at most ``max_terms``."""
-    counts = sample.select("text", "toxic").mapInArrow(_terms, TERMS).groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "docs")))
+    counts = sample.select("text", "toxic").mapInArrow(_terms, TERMS).groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "docs", "clean")))
     counts = write_shared(counts, "terms")
     totals = counts.filter("not stem").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     p, n = max(totals["p"] or 0, 1), max(totals["n"] or 0, 1)
@@ -263,7 +333,24 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
                 longest[term[:k]] = max(longest.get(term[:k], 0), r["pos"])
     kept = {t: float(r["odds"]) for t, r in stems.items() if longest.get(t, 0) < 0.8 * r["pos"]}
     covered = lambda w: any(w[:k] in kept for k in STEMS if k < len(w))
-    return Lexicon({t: float(r["odds"]) for t, r in words.items() if not covered(t)}, {t: w for t, w in kept.items() if not covered(t)})
+    plain, under, stems, longer = {}, {}, {}, {}
+    for t, r in words.items():
+        (under if covered(t) else plain)[t] = float(r["odds"])
+    for t, w in kept.items():
+        (longer if covered(t) else stems)[t] = w
+    lexicon = Lexicon(plain, stems, under, longer)
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def factory():
+        find = shared.value.find
+        return lambda terms, clean: [terms, [c if (found := find(t)) and found[1] == 2 else None for t, c in zip(terms, clean, strict=True)]]
+
+    # Of the sample's words, only what the automaton takes for misspellings.
+    known = map_rows(counts.filter("not stem and clean > 0"), ["term", "clean"], KNOWN, factory).filter("clean is not null").collect()
+    return replace(lexicon, known={r["term"]: r["clean"] for r in known})
+
+
+KNOWN = T.StructType([T.StructField("term", T.StringType()), T.StructField("clean", T.LongType())])
 
 
 FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
@@ -272,7 +359,8 @@ FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("l
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, ridge: float = 1.0) -> ToxicityModel:
     """Fit lexicon and weights on at most ``fit_rows`` labelled rows that are not held out.
 
-    The rows come first in hash order of their ids, so the choice does not depend on the layout. With no labelled row of
+    The rows come first in hash order of their ids, so the choice does not depend on the layout. As hardly any of them
+    has misspellings to learn from, the weights are fitted on each row as it is and with its hits misspelt. With no labelled row of
     one of the classes the score is that share everywhere.
     """
     spark = docs.sparkSession
@@ -286,11 +374,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     shared = spark.sparkContext.broadcast(lexicon)
 
     def factory():
-        return lambda ids, toxic, texts: [ids, toxic, [shared.value.features(t) for t in texts]]
+        # A clean text's own words are known for what other clean texts hold.
+        lexicon = shared.value
+        others = replace(lexicon, known={w: n for w, n in lexicon.known.items() if n > 1})
+        both = lambda x, t: x.features(t) + x.features(x.misspelt(t))
+        return lambda ids, toxic, texts: [ids, toxic, [both(lexicon if y else others, t) for y, t in zip(toxic, texts, strict=True)]]
 
     rows = map_rows(sample, ["label_id", "toxic", "text"], FEATURES, factory).orderBy("doc_id").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES)
-    y = np.array([r["label"] for r in rows], float)
+    y = np.repeat(np.array([r["label"] for r in rows], float), 2)
     mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     scale[scale < 1e-9] = 1.0
     a = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])

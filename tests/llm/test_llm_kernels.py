@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import pickle
 import random
 from collections import Counter, defaultdict
 
@@ -189,6 +190,21 @@ def test_lexicon_and_context():
     assert lexicon.features(None) == lexicon.features("") == [0.0] * 8
 
 
+def test_misspelt_entries_under_stems():
+    lexicon = Lexicon({"idiot": 4.0}, {"scumba": 3.0}, {"scumbag": 5.0})
+    assert lexicon.find("scumbags") == (3.0, 1)  # as it is: the stem's
+    assert lexicon.find("scunbag") == (5.0, 2)
+    assert lexicon.find("skumbaloon") == (3.0, 2)  # an edit in the stem, and more letters after it
+    assert lexicon.find("skunbaloon") is None
+    assert pickle.loads(pickle.dumps(lexicon)).find("scunbag") == (5.0, 2)
+    assert Lexicon({"idiot": 4.0}, {}, known={"idiom": 3}).find("idiom") is None
+    for text in ("you id1ot", "you i-d-i-o-t", "you id_iot", "you sc*mbag"):
+        words, hits = lexicon.hits(text)
+        assert [(k, kind) for k, _, kind in hits] == [(1, 2)]
+    assert lexicon.hits("an id-card, it's a well-known lot")[1] == []
+    assert [h[0] for h in lexicon.hits("what.idiot")[1]] == [1]
+
+
 def test_secrets():
     text = 'x PassWord = "abc" token=secret:abcdefgh1 AKIA0123456789ABCD ' + "0123456789abcdef" * 2 + " api_key: Zq8-"
     base, added = find_secrets(text)
