@@ -138,7 +138,7 @@ def ld_summary(sums: DataFrame, n_reps: int = 100, seed: int = 0, mating: str =
     return out.select("*", ne_from_r2d(F.col("r2d_upper"), mating).alias("ne_lower"), upper.alias("ne_upper"), status.alias("ne_status"))
 
 
-def budget_allocation(counts: DataFrame, total: int) -> DataFrame:
-    """``total`` pairs dealt over pairs of blocks in proportion to the pairs they have."""
-    sizes = counts.groupBy((F.least("block_a", "block_b") * 1000 + F.greatest("block_a", "block_b")).alias("pair")).agg(F.count("*").alias("n"))
-    return largest_remainder(sizes, "n", total, "pair")
+def budget_allocation(counts: DataFrame, total: int, *by: str) -> DataFrame:
+    """``total`` pairs (for each value of ``by``, if given) dealt over pairs of blocks in proportion to the pairs they have."""
+    sizes = counts.groupBy(*by, (F.least("block_a", "block_b") * 1000 + F.greatest("block_a", "block_b")).alias("pair")).agg(F.count("*").alias("n"))
+    return largest_remainder(sizes, "n", total, "pair", *by)

@@ -82,12 +82,13 @@ def adjust_pvalues(rows: DataFrame, p: str, method: str, *keys: str) -> DataFram
     return rows.withColumn("p_adj", F.when(F.col(p).isNotNull(), adjusted)).drop("__x")
 
 
-def largest_remainder(rows: DataFrame, weight: str, total: int, order: str) -> DataFrame:
-    """``rows`` with ``share``: ``total`` dealt in proportion to ``weight``, whole numbers, the largest remainders rounded up."""
-    exact = F.col(weight) * F.lit(total) / F.sum(weight).over(Window.partitionBy(F.lit(0)))
+def largest_remainder(rows: DataFrame, weight: str, total: int, order: str, *by: str) -> DataFrame:
+    """``rows`` with ``share``: ``total`` (for each value of ``by``, if given) dealt in proportion to ``weight``, whole numbers, the largest remainders rounded up."""
+    every = Window.partitionBy(*by or [F.lit(0)])
+    exact = F.col(weight) * F.lit(total) / F.sum(weight).over(every)
     rows = rows.withColumn("__exact", exact).withColumn("__floor", F.floor("__exact"))
-    left = F.lit(total) - F.sum("__floor").over(Window.partitionBy(F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("__exact") - F.col("__floor"), 9)), order))
+    left = F.lit(total) - F.sum("__floor").over(every)
+    rank = F.row_number().over(every.orderBy(F.desc(F.round(F.col("__exact") - F.col("__floor"), 9)), order))
     return rows.withColumn("share", (F.col("__floor") + F.when(rank <= left, 1).otherwise(0)).cast("long")).drop("__exact", "__floor")
 
 

@@ -198,8 +198,19 @@ _add(
     _LD + """, bs AS (SELECT least(block_a, block_b) * 1000 + greatest(block_a, block_b) AS pair, count(*) AS n FROM tl GROUP BY 1), e AS (SELECT *, n * 5000 / (SELECT sum(n) FROM bs)::DOUBLE AS x FROM bs)
     SELECT pair, n, (floor(x) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, pair) <= 5000 - (SELECT sum(floor(x)) FROM e) THEN 1 ELSE 0 END)::BIGINT AS share FROM e""",
 )
-_add("ld_unbiased_full", lambda s, d: linkage.with_statistics(_counts(s, d)))
-_add("ld_ne_bootstrap", lambda s, d: linkage.ld_summary(linkage.block_sums(linkage.with_statistics(_counts(s, d))), 20, 5))
+
+
+def _all_counts(s, d):
+    return linkage.two_locus_counts(bridge(s, d), n_blocks=10, seed=2)
+
+
+# The SQL of the four queries above is of one population. These are the same over all populations with enough samples.
+_add("ld_two_locus_counts_all", lambda s, d: _all_counts(s, d).select("population", "locus_a", "locus_b", *linkage.STATES))
+_add("ld_unbiased_d_all", lambda s, d: _rounded(linkage.unbiased_d(_all_counts(s, d)).select("population", "locus_a", "locus_b", "n", "d"), "d"))
+_add("ld_block_sums_all", lambda s, d: _rounded(linkage.block_sums(linkage.unbiased_d(_all_counts(s, d)), ("d",)), "sum_d"))
+_add("ld_budget_allocation_all", lambda s, d: linkage.budget_allocation(_all_counts(s, d), 5000, "population"))
+_add("ld_unbiased_full", lambda s, d: linkage.with_statistics(_all_counts(s, d)))
+_add("ld_ne_bootstrap", lambda s, d: linkage.ld_summary(linkage.block_sums(linkage.with_statistics(_all_counts(s, d))), 20, 5))
 
 # -- outliers, ordination ----------------------------------------------------------------------------------------------
 _add("fst_outliers_knn", lambda s, d: outliers.fst_outliers_knn(bridge(s, d), alpha=0.5, correction=None, min_z=1.0, seed=1))
