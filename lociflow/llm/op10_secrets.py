@@ -25,13 +25,15 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character that a window must reach, by the classes its candidate has.
 LEVELS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
-#: Never a secret: words and phrases without digits, UUIDs, numbers, dates and times, placeholder runs.
+#: Never a secret as a whole candidate: words and phrases, UUIDs, numbers, dates and times.
 ALLOWED = (
     re.compile(r"[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"[-0-9_/=+]+"),
-    re.compile(r"(?i).*(?:example|placeholder|changeme|your[-_]?key|xxxx).*"),
 )
+#: Never a secret: what lies between two marks of PARTS, or a run's ends, with a placeholder in it. The run's other parts may be.
+PARTS = re.compile(r"[^/=]+")
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|your[-_]?key|xxxx")
 #: Entropy of a window from its counts: n log2 n for each count, looked up.
 _NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -84,7 +86,12 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tup
         s = m[0]
         base += [(m.start() + h.start(), m.start() + h.end(), "hex") for h in HEX.finditer(s)]
         if (level := _level(s)) is not None and not any(p.fullmatch(s) for p in ALLOWED):
-            added += [(m.start() + a, m.start() + b, "entropy") for a, b in entropy_windows(s, level)]
+            # What is left between parts with placeholders is measured by itself.
+            held = [p.span() for p in PARTS.finditer(s) if PLACEHOLDER.search(p[0])] if PLACEHOLDER.search(s) else []
+            for left, right in zip([0, *(b for _, b in held)], [*(a for a, _ in held), len(s)], strict=True):
+                part = s[left:right]
+                if right - left >= WINDOW and (level := _level(part)) is not None and not any(p.fullmatch(part.strip("-_/=+")) for p in ALLOWED):
+                    added += [(m.start() + left + a, m.start() + left + b, "entropy") for a, b in entropy_windows(part, level)]
     rank = KINDS.index
     base.sort(key=lambda x: (x[0], rank(x[2])))
     covered = [(a, b) for a, b, _ in base]

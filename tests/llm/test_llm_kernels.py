@@ -234,3 +234,12 @@ def test_local_components(links):
 
 
 assert itertools and random
+
+
+def test_placeholder_beside_a_key():
+    key = "9fK2mQ7xLp4Zt8Rw3Vb6Yc1N"
+    for text in (f"example_client_id={key}", f"examples/cfg/{key}", f"{key}/xxxx"):
+        assert any(a <= text.index(key) and text.index(key) + len(key) <= b for a, b, _ in find_secrets(text)[1])
+        assert key not in redact(text)
+    for text in ("example-9fK2mQ7xLp4Zt", "9fK2mQ7xLpxxxx4Zt8Rw3Vb6", "example/550e8400-e29b-41d4-a716-446655440000"):
+        assert find_secrets(text)[1] == []
