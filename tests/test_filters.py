@@ -75,3 +75,8 @@ def test_search(spark):
     rows = frame_of(spark, ROWS).search_thresholds((0.4, 1.0), (0.0,), (2,), ("filter_missing", "filter_mac")).collect()
     assert len(rows) == 8
     assert {(r["missing"], r["exclude_het"], r["kept_count"]) for r in rows if r["step"] == 2} == {(0.4, True, 2), (0.4, False, 3), (1.0, True, 2), (1.0, False, 3)}
+
+
+def test_many_loci(spark):
+    frame = frame_of(spark, ["".join("AN"[j % 3 == 0] for j in range(3000)), "A" * 3000])
+    assert kept(frame.filter_missing(0.4).resolve()) == [j for j in range(3000) if j % 3]
