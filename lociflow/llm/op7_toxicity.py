@@ -242,10 +242,10 @@ class Lexicon:
 
     @staticmethod
     def _quoted(lower: str, words: list[str], places: list[int]) -> list[bool]:
-        """Is each hit between two quotation marks of one line, or after a reporting word within the window?"""
-        out = [any(w in REPORTING for w in words[max(0, k - 3) : k]) for k in places]
+        """Is each hit between two quotation marks, or after a reporting word within the window?"""
+        out = [any(w in REPORTING for w in words[max(0, k - WINDOW) : k]) for k in places]
         if _QUOTES.search(lower):
-            spans = [m.span() for m in re.finditer(r"[\"“„«][^\"“”„«»\n]{1,200}[\"”“»]", lower)]
+            spans = [m.span() for m in re.finditer(r"[\"“„«][^\"“”„«»]++[\"”“»]", lower)]
             if spans:
                 starts = [m.start() for m in _WORD.finditer(lower)]
                 j = 0

@@ -205,6 +205,20 @@ def test_misspelt_entries_under_stems():
     assert [h[0] for h in lexicon.hits("what.idiot")[1]] == [1]
 
 
+def test_wide_quotations():
+    def quoted(text: str) -> bool:
+        lexicon = Lexicon({"moron": 5.0}, {})
+        words, hits = lexicon.hits(text)
+        return lexicon._quoted(text, words, [h[0] for h in hits]) == [True]
+
+    assert quoted('"' + "plain words " * 30 + 'moron" he read')
+    assert quoted("“one line\nand a moron on the next” it was")
+    assert quoted("he said that you are all such a moron")
+    assert not quoted("he said that you are all of you without a doubt a moron")
+    assert not quoted('"a" moron "b"')
+    assert not quoted('a 5" pipe, moron')
+
+
 def test_secrets():
     text = 'x PassWord = "abc" token=secret:abcdefgh1 AKIA0123456789ABCD ' + "0123456789abcdef" * 2 + " api_key: Zq8-"
     base, added = find_secrets(text)
