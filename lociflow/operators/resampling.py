@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..deploy import ship
 from ..genotypes import portable_hash
+from ..shared import write_shared
 
 __all__ = ["adjust_pvalues", "chi2_tail", "dense_index", "jackknife_blocks", "largest_remainder", "locus_weights", "normal_tail", "percentile_interval", "permuted_labels"]
 
@@ -20,15 +21,21 @@ _STEP = 1_000_003
 
 
 def dense_index(loci: DataFrame, *order: str) -> DataFrame:
-    """``loci`` with ``slot`` 0, 1, ... in the given order: ranks within ranges plus the ranges' sizes before, so no task sorts all."""
+    """``loci`` with ``slot`` 0, 1, ... in the given order: places within sorted ranges plus the sizes of the ranges before.
+
+    The ranges are sorted and numbered once, in a table of the shared folder that all later readers see alike; ties keep
+    the order that they have there. No task sorts more than its range.
+    """
     spark = loci.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = loci.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    # The number is the task's in the upper bits and the place in the task's rows below.
+    dealt = loci.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = write_shared(dealt, "slots").withColumn("__part", F.shiftright("__at", 33))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.join(F.broadcast(sizes), "__part").withColumn("slot", F.col("__base") + rank - 1).drop("__part", "__base")
+    place = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return dealt.join(F.broadcast(sizes), "__part").withColumn("slot", F.col("__base") + place).drop("__part", "__base", "__at")
 
 
 def locus_weights(spark: SparkSession, n_loci: int, n_reps: int, seed: int = 0) -> DataFrame:
