@@ -12,7 +12,7 @@ from ..genotypes import GenotypeFrame
 from .resampling import dense_index, locus_weights, percentile_interval, permuted_labels
 
 __all__ = [
-    "amova", "amova_bootstrap", "fst_bootstrap", "fst_components", "fst_observed", "fst_permutation", "nei_bootstrap", "nei_components", "nei_observed", "nei_permutation", "per_locus_fst",
+    "amova", "amova_bootstrap", "fst_bootstrap", "fst_components", "fst_observed", "fst_permutation", "fst_permuted_per_locus", "nei_bootstrap", "nei_components", "nei_observed", "nei_permutation", "per_locus_fst",
     "population_alleles", "symmetric_table", "triangle_intervals",
 ]
 
@@ -37,33 +37,35 @@ def _pairs(table: DataFrame, populations: DataFrame, *keys: str) -> DataFrame:
     return joined.fillna(0, [f"{c}{k}" for c in values for k in (1, 2)])
 
 
-def _components(rows: DataFrame) -> DataFrame:
-    """Weir and Cockerham's a, b, c summed over alleles; 0 with one allele, null where not estimable."""
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+def _components(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., a, b, c): Weir and Cockerham's components summed over alleles; 0 with one allele, null where not estimable.
+
+    Each row becomes one of each base, so that the formulas stand in the plan once; rows of one key stay in their task.
+    """
+    counts = [F.struct(*(F.col(f"{x}{base}{k}").cast("double").alias(f"{x}{k}") for x in "ch" for k in (1, 2))) for base in BASES]
+    sides = [F.col(f"n{k}").cast("double").alias(f"n{k}") for k in (1, 2)]
+    c1, c2, h1, h2, n1, n2 = map(F.col, ("c1", "c2", "h1", "h2", "n1", "n2"))
     total = n1 + n2
+    p1, p2 = c1 / (2 * n1), c2 / (2 * n2)
+    m1, m2 = (c1 - h1) / 2, (c2 - h2) / 2
+    mean = (n1 * p1 + n2 * p2) / total
+    msg = (n1 * p1 - m1 + n2 * p2 - m2) / total
+    msi = (n1 * (p1 - 2 * p1 * p1) + m1 + n2 * (p2 - 2 * p2 * p2) + m2) / (total - 2)
+    msp = 2 * (n1 * (p1 - mean) * (p1 - mean) + n2 * (p2 - mean) * (p2 - mean))
     nc = total - (n1 * n1 + n2 * n2) / total
-    present = reduce(lambda x, y: x + y, (F.when(F.col(f"c{b}1") + F.col(f"c{b}2") > 0, 1).otherwise(0) for b in BASES))
-    parts: dict[str, list[Column]] = {"a": [], "b": [], "c": []}
-    for base in BASES:
-        c1, c2, h1, h2 = (F.col(f"{x}{base}{k}").cast("double") for x in "ch" for k in (1, 2))
-        p1, p2 = c1 / (2 * n1), c2 / (2 * n2)
-        m1, m2 = (c1 - h1) / 2, (c2 - h2) / 2
-        mean = (n1 * p1 + n2 * p2) / total
-        msg = (n1 * p1 - m1 + n2 * p2 - m2) / total
-        msi = (n1 * (p1 - 2 * p1 * p1) + m1 + n2 * (p2 - 2 * p2 * p2) + m2) / (total - 2)
-        msp = 2 * (n1 * (p1 - mean) * (p1 - mean) + n2 * (p2 - mean) * (p2 - mean))
-        seen = c1 + c2 > 0
-        for name, value in (("a", (msp - msi) / (2 * nc)), ("b", (msi - msg) / 2), ("c", msg)):
-            parts[name].append(F.when(seen, value).otherwise(0.0))
     fine = (n1 > 0) & (n2 > 0)
     usable = fine & (total > 2) & F.when(fine, nc > 0).otherwise(False)
-    return rows.select("*", *[F.when(usable, F.when(present < 2, 0.0).otherwise(reduce(lambda x, y: x + y, v))).alias(k) for k, v in parts.items()])
+    seen = c1 + c2 > 0
+    parts = {"a": (msp - msi) / (2 * nc), "b": (msi - msg) / 2, "c": msg}
+    alleles = rows.select(*keys, *sides, F.inline(F.array(*counts)))
+    sums = alleles.groupBy(*keys, "n1", "n2").agg(F.count_if(seen).alias("present"), *(F.sum(F.when(usable, F.when(seen, v).otherwise(0.0))).alias(k) for k, v in parts.items()))
+    return sums.select(*keys, *[F.when(usable, F.when(F.col("present") < 2, 0.0).otherwise(F.col(k))).alias(k) for k in parts])
 
 
 def fst_components(frame: GenotypeFrame) -> DataFrame:
     """(pop1, pop2, locus_idx, a, b, c)"""
     table = population_alleles(frame.with_population(), "population")
-    return _components(_pairs(table, frame.samples)).select("pop1", "pop2", "locus_idx", "a", "b", "c")
+    return _components(_pairs(table, frame.samples), "pop1", "pop2", "locus_idx")
 
 
 def _ratio(a: str = "a", total: str = "t") -> Column:
@@ -103,9 +105,12 @@ def _pair_samples(frame: GenotypeFrame) -> DataFrame:
     return both.join(s, (F.col("population") == F.col("pop1")) | (F.col("population") == F.col("pop2")))
 
 
-def _permuted(frame: GenotypeFrame, n_reps: int, seed: int) -> DataFrame:
-    """Allele counts of the two sides of each pair in each replicate, side by side, by locus."""
-    labels = permuted_labels(_pair_samples(frame), n_reps, seed, "pop1", "pop2")
+def _permuted(frame: GenotypeFrame, n_reps: int, seed: int, observed: bool = False) -> DataFrame:
+    """Allele counts of the two sides of each pair in each replicate, side by side, by locus; ``observed`` adds the labels as they are, as replicate -1."""
+    samples = _pair_samples(frame)
+    labels = permuted_labels(samples, n_reps, seed, "pop1", "pop2")
+    if observed:
+        labels = labels.unionByName(samples.withColumn("rep", F.lit(-1)))
     side = F.when(F.col("population") == F.col("pop1"), 1).otherwise(2)
     cells = frame.calls.join(frame.loci.select("locus_idx"), "locus_idx", "left_semi").join(labels.withColumn("side", side), "sample_idx")
     table = population_alleles(cells, "pop1", "pop2", "rep", "side")
@@ -115,13 +120,25 @@ def _permuted(frame: GenotypeFrame, n_reps: int, seed: int) -> DataFrame:
 
 def fst_permutation(frame: GenotypeFrame, n_reps: int = 99, seed: int = 0) -> DataFrame:
     """(pop1, pop2, fst, p): share of relabelled replicates at or above the observed value, both counts plus one."""
-    sums = _components(_permuted(frame, n_reps, seed)).groupBy("pop1", "pop2", "rep").agg(F.sum("a").alias("a"), F.sum(F.col("a") + F.col("b") + F.col("c")).alias("t"))
+    sums = _components(_permuted(frame, n_reps, seed), "pop1", "pop2", "rep", "locus_idx").groupBy("pop1", "pop2", "rep").agg(F.sum("a").alias("a"), F.sum(F.col("a") + F.col("b") + F.col("c")).alias("t"))
     reps = sums.select("pop1", "pop2", _ratio().alias("rep_fst"))
     joined = fst_observed(frame).join(reps, ["pop1", "pop2"])
     p = (F.count_if(F.col("rep_fst") >= F.col("fst") - 1e-12) + 1) / (F.count("rep_fst") + 1)
     return joined.groupBy("pop1", "pop2", "fst").agg(p.alias("p"))
 
 
+def fst_permuted_per_locus(frame: GenotypeFrame, n_reps: int, seed: int = 0) -> DataFrame:
+    """(pop1, pop2, locus_idx, fst, n, up, down, sd): observed Fst of a locus, and of its replicates with one: how many,
+    how many at or above and at or below the observed value, and their standard deviation. One aggregate gives both."""
+    bottom = F.col("a") + F.col("b") + F.col("c")
+    parts = _components(_permuted(frame, n_reps, seed, observed=True), "pop1", "pop2", "rep", "locus_idx")
+    own, other = (F.when(F.col("rep") < 0, F.col("r")), F.when(F.col("rep") >= 0, F.col("r")))
+    found = parts.select("pop1", "pop2", "rep", "locus_idx", F.when(bottom != 0, F.col("a") / bottom).alias("r")).filter("r is not null")
+    both = found.groupBy("pop1", "pop2", "locus_idx").agg(F.max(own).alias("fst"), F.collect_list(other).alias("reps"), F.stddev_pop(other).alias("sd")).filter("fst is not null")
+    count = lambda f: F.size(F.filter("reps", f))
+    return both.select("pop1", "pop2", "locus_idx", "fst", F.size("reps").alias("n"), count(lambda r: r >= F.col("fst") - 1e-12).alias("up"), count(lambda r: r <= F.col("fst") + 1e-12).alias("down"), "sd")
+
+
 def nei_components(frame: GenotypeFrame) -> DataFrame:
     """(pop1, pop2, locus_idx, jxy, jx, jy) of loci with calls in both."""
     return _nei(_pairs(population_alleles(frame.with_population(), "population"), frame.samples)).select("pop1", "pop2", "locus_idx", "jxy", "jx", "jy")
