@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..genotypes import portable_hash
+from ..functions.two_locus import sql_terms as two_locus_sql
 from ..operators import distances, introgression, linkage, outliers, resampling
-from .bridge import BRIDGE, bridge
+from .bridge import bridge
 from .genomics import HASH, _add, _rounded
 
 _STEP = 1_000_003
@@ -54,11 +55,17 @@ _add(
     _WC + _DRAWS + ", b AS (SELECT pop1, pop2, rep, CASE WHEN sum(w * (a + b + c)) = 0 THEN 0.0 ELSE sum(w * a) / sum(w * (a + b + c)) END AS fst FROM wc JOIN w ON slot = locus_id GROUP BY 1, 2, 3) SELECT pop1, pop2, round(quantile_cont(fst, 0.025), 6) AS lower, round(quantile_cont(fst, 0.975), 6) AS upper FROM b GROUP BY 1, 2",
 )
 _PREPS = 9
-_LABELS = f""", ps AS (SELECT pop1, pop2, sample_id, population FROM pops JOIN smp ON population IN (pop1, pop2)),
-ranked AS (SELECT pop1, pop2, r AS rep, sample_id, population, row_number() OVER (PARTITION BY pop1, pop2, r ORDER BY population, sample_id) AS own, row_number() OVER (PARTITION BY pop1, pop2, r ORDER BY {_hash(f'r * {_STEP} + sample_id', 3)}, sample_id) AS nw FROM ps CROSS JOIN range({_PREPS}) x(r)),
+
+
+def _labels(reps: int, seed: int) -> str:
+    return f""", ps AS (SELECT pop1, pop2, sample_id, population FROM pops JOIN smp ON population IN (pop1, pop2)),
+ranked AS (SELECT pop1, pop2, r AS rep, sample_id, population, row_number() OVER (PARTITION BY pop1, pop2, r ORDER BY population, sample_id) AS own, row_number() OVER (PARTITION BY pop1, pop2, r ORDER BY {_hash(f'r * {_STEP} + sample_id', seed)}, sample_id) AS nw FROM ps CROSS JOIN range({reps}) x(r)),
 lab AS (SELECT a.pop1, a.pop2, a.rep, a.sample_id, CASE WHEN b.population = a.pop1 THEN 1 ELSE 2 END AS side FROM ranked a JOIN ranked b ON a.pop1 = b.pop1 AND a.pop2 = b.pop2 AND a.rep = b.rep AND a.nw = b.own),
 sd AS (SELECT pop1, pop2, rep, locus_id, side, count(*) AS n, {_COUNTS} FROM calls JOIN lab USING (sample_id) WHERE gt IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 pq AS (SELECT pop1, pop2, rep, locus_id, {", ".join(f"coalesce(sum({v}) FILTER (side = {k}), 0)::DOUBLE AS {v}{k}" for v in ["n", *(f"{x}{b}" for b in "ACGT" for x in "ch")] for k in (1, 2))} FROM sd GROUP BY 1, 2, 3, 4)"""
+
+
+_LABELS = _labels(_PREPS, 3)
 _WCP = _wc("pq", "pop1, pop2, rep, locus_id").replace("al AS", "bl AS").replace("FROM al)", "FROM bl)").replace("al2", "bl2").replace("al3", "bl3").replace("al4", "bl4").replace("wc AS", "wcp AS")
 _add(
     "fst_permutation_p",
@@ -74,6 +81,13 @@ _add(
     lambda s, d: _rounded(distances.nei_bootstrap(bridge(s, d), _REPS, 5), "lower", "upper"),
     _NEI + _DRAWS + f", b AS (SELECT pop1, pop2, rep, {_ID.format(w='w')} AS nei FROM nj JOIN w ON slot = locus_id GROUP BY 1, 2, 3) SELECT pop1, pop2, round(quantile_cont(nei, 0.025), 6) AS lower, round(quantile_cont(nei, 0.975), 6) AS upper FROM b GROUP BY 1, 2",
 )
+_add(
+    "nei_permutation_p",
+    lambda s, d: _rounded(distances.nei_permutation(bridge(s, d), _PREPS, 3), "nei", "p"),
+    _NEI + _LABELS + f""", nq AS (SELECT pop1, pop2, rep, {_J(1, 2)} AS jxy, {_J(1, 1)} AS jx, {_J(2, 2)} AS jy FROM pq WHERE n1 > 0 AND n2 > 0),
+    o AS (SELECT pop1, pop2, {_ID.format(w=1)} AS nei FROM nj GROUP BY 1, 2), q AS (SELECT pop1, pop2, rep, {_ID.format(w=1)} AS f FROM nq GROUP BY 1, 2, 3)
+    SELECT pop1, pop2, round(nei, 6) + 0.0 AS nei, round((count(*) FILTER (f >= nei - 1e-12) + 1) / (count(f) + 1)::DOUBLE, 6) AS p FROM o JOIN q USING (pop1, pop2) GROUP BY pop1, pop2, nei""",
+)
 
 # -- AMOVA -------------------------------------------------------------------------------------------------------------
 _REGIONS = {"AFRICA": "south", "AMERICA": "west", "ASIA": "east", "EUROPE": "west", "MIDDLE EAST": "south"}
@@ -102,7 +116,17 @@ _add(
     lambda s, d: _rounded(distances.amova(bridge(s, d), _regions(s)), "ssr", "ssp", "ssw", "sigma_r", "sigma_p", "sigma_w", "phi_rt", "phi_pr", "phi_pt").select("*", *[]),
     _AMOVA + "SELECT round(ssr, 6) AS ssr, round(ssp, 6) AS ssp, round(ssw, 6) AS ssw, dfr::BIGINT AS dfr, dfp::BIGINT AS dfp, dfw::BIGINT AS dfw, round(vr, 6) AS sigma_r, round(vp, 6) AS sigma_p, round(vw, 6) AS sigma_w, round(vr / (vr + vp + vw), 6) AS phi_rt, round(vp / (vp + vw), 6) AS phi_pr, round((vr + vp) / (vr + vp + vw), 6) AS phi_pt FROM sg",
 )
-_add("amova_bootstrap", lambda s, d: distances.amova_bootstrap(bridge(s, d), _regions(s), 20, 5))
+_PHI = "{vr} / ({vr} + {vp} + {vw}) AS {x}phi_rt, {vp} / ({vp} + {vw}) AS {x}phi_pr, ({vr} + {vp}) / ({vr} + {vp} + {vw}) AS {x}phi_pt"
+_add(
+    "amova_bootstrap",
+    lambda s, d: _rounded(distances.amova_bootstrap(bridge(s, d), _regions(s), _REPS, 5), *(f"{x}phi_{y}" for x in ("", "p_") for y in ("rt", "pr", "pt"))),
+    _AMOVA + _DRAWS + f""", rw AS (SELECT rep, {", ".join(f"sum(w * {x}) AS {y}" for x, y in (("ssr", "ssr"), ("ssp", "ssp"), ("ssw", "ssw"), ("(nr - 1)", "dfr"), ("(np - nr)", "dfp"), ("(t.size - np)", "dfw")))}
+    FROM t JOIN br USING (locus_id) JOIN bp USING (locus_id) JOIN w ON slot = locus_id GROUP BY 1),
+    rs AS (SELECT greatest((ssr / dfr - ssp / dfp) / ncr, 0) AS vr, greatest((ssp / dfp - ssw / dfw) / ncp, 0) AS vp, greatest(ssw / dfw, 0) AS vw FROM rw, nc),
+    rq AS (SELECT {_PHI.format(vr="vr", vp="vp", vw="vw", x="b_")} FROM rs), ob AS (SELECT {_PHI.format(vr="vr", vp="vp", vw="vw", x="")} FROM sg)
+    SELECT {", ".join(f"round(phi_{y}, 6) AS phi_{y}, round(greatest(0.0001, least(0.9999, (count(*) FILTER (b_phi_{y} >= phi_{y}) + 1) / (count(b_phi_{y}) + 1)::DOUBLE)), 6) AS p_phi_{y}" for y in ("rt", "pr", "pt"))}
+    FROM rq, ob GROUP BY phi_rt, phi_pr, phi_pt""",
+)
 
 # -- D statistics ------------------------------------------------------------------------------------------------------
 _FOUR = ["AFRICA", "AMERICA", "ASIA", "MIDDLE EAST"]
@@ -147,7 +171,20 @@ _add(
     t AS (SELECT sum(l) AS tl, sum(r) AS tr FROM b), j AS (SELECT ((tl - l) - (tr - r)) / ((tl - l) + (tr - r)) AS v FROM b, t), e AS (SELECT sqrt((count(*) - 1) * (count(*) - 1) / count(*)::DOUBLE) * stddev_samp(v) AS se FROM j)
     SELECT 'D' AS statistic, round((tl - tr) / (tl + tr), 6) AS value, round(se, 6) AS se, round((tl - tr) / (tl + tr) / se, 6) AS z FROM t, e""",
 )
-_add("dstat_significance", lambda s, d: introgression.d_significance(bridge(s, d), _FIVE, "dfoil", 20, 5))
+_DFOIL = list(introgression.METHODS["dfoil"])
+_SIGNIFICANT = lambda s, d: introgression.d_significance(bridge(s, d), _FIVE, "dfoil", _REPS, 5)
+_add(
+    "dstat_bootstrap",
+    lambda s, d: _rounded(_SIGNIFICANT(s, d).select("statistic", "value", "std", "z", "chi2"), "value", "std", "z", "chi2"),
+    _freq(_FIVE) + f""", sp AS (SELECT row_number() OVER (ORDER BY locus_id) - 1 AS slot, count(*) OVER () AS n, {_sides("dfoil")} FROM rf),
+    dr AS (SELECT r AS rep, {_hash(f'r * {_STEP} + j', 5)} % n AS slot, count(*) AS w FROM range({_REPS}) x(r), (SELECT DISTINCT n FROM sp), LATERAL (SELECT unnest(range(n)) AS j) GROUP BY 1, 2),
+    rv AS (SELECT {", ".join(f"(sum(w * l_{n}) - sum(w * r_{n})) / nullif(sum(w * l_{n}) + sum(w * r_{n}), 0) AS {n}" for n in _DFOIL)} FROM sp JOIN dr USING (slot) GROUP BY rep),
+    ob AS (SELECT {", ".join(f"(sum(l_{n}) - sum(r_{n})) / nullif(sum(l_{n}) + sum(r_{n}), 0) AS {n}" for n in _DFOIL)} FROM sp),
+    lg AS ({" UNION ALL ".join(f"SELECT '{n}' AS statistic, (SELECT {n} FROM ob) AS value, (SELECT stddev_samp({n}) FROM rv) AS std" for n in _DFOIL)})
+    SELECT statistic, round(value, 6) AS value, round(std, 6) AS std, round(CASE WHEN std > 1e-12 THEN value / std END, 6) AS z, round(CASE WHEN std > 1e-12 THEN (value / std) * (value / std) END, 6) AS chi2 FROM lg""",
+)
+# DuckDB has no error function; tests hold the p-values against Python's.
+_add("dstat_significance", _SIGNIFICANT)
 _add(
     "least_missing_samples",
     lambda s, d: introgression.least_missing_samples(bridge(s, d), 3),
@@ -205,16 +242,77 @@ def _all_counts(s, d):
 
 
 # The SQL of the four queries above is of one population. These are the same over all populations with enough samples.
-_add("ld_two_locus_counts_all", lambda s, d: _all_counts(s, d).select("population", "locus_a", "locus_b", *linkage.STATES))
-_add("ld_unbiased_d_all", lambda s, d: _rounded(linkage.unbiased_d(_all_counts(s, d)).select("population", "locus_a", "locus_b", "n", "d"), "d"))
-_add("ld_block_sums_all", lambda s, d: _rounded(linkage.block_sums(linkage.unbiased_d(_all_counts(s, d)), ("d",)), "sum_d"))
-_add("ld_budget_allocation_all", lambda s, d: linkage.budget_allocation(_all_counts(s, d), 5000, "population"))
-_add("ld_unbiased_full", lambda s, d: linkage.with_statistics(_all_counts(s, d)))
-_add("ld_ne_bootstrap", lambda s, d: linkage.ld_summary(linkage.block_sums(linkage.with_statistics(_all_counts(s, d))), 20, 5))
+_LDA = (
+    _LD.replace("population = 'AMERICA' AND ", "population IN (SELECT population FROM smp GROUP BY 1 HAVING count(*) >= 4) AND ")
+    .replace("zz AS (SELECT c.sample_id,", "zz AS (SELECT c.population, c.sample_id,")
+    .replace("tl AS (SELECT a.locus_id", "tl AS (SELECT a.population, a.locus_id")
+    .replace("a.grp <> b.grp GROUP BY 1, 2, 3, 4)", "a.grp <> b.grp GROUP BY 1, 2, 3, 4, 5)")
+)
+_BLOCKS = "least(block_a, block_b)::INT AS block_a, greatest(block_a, block_b)::INT AS block_b"
+_add("ld_two_locus_counts_all", lambda s, d: _all_counts(s, d).select("population", "locus_a", "locus_b", *linkage.STATES), _LDA + f" SELECT population, locus_a, locus_b, {_NS} FROM tl")
+_add("ld_unbiased_d_all", lambda s, d: _rounded(linkage.unbiased_d(_all_counts(s, d)).select("population", "locus_a", "locus_b", "n", "d"), "d"), _LDA + " SELECT population, locus_a, locus_b, n, round(d, 6) + 0.0 AS d FROM ud")
+_add(
+    "ld_block_sums_all",
+    lambda s, d: _rounded(linkage.block_sums(linkage.unbiased_d(_all_counts(s, d)), ("d",)), "sum_d"),
+    _LDA + f" SELECT population, {_BLOCKS}, count(*) AS n_pairs, min(n) AS min_n, sum(n)::BIGINT AS sum_n, round(sum(d), 6) + 0.0 AS sum_d FROM ud WHERE n >= 4 GROUP BY 1, 2, 3",
+)
+_add(
+    "ld_budget_allocation_all",
+    lambda s, d: linkage.budget_allocation(_all_counts(s, d), 5000, "population"),
+    _LDA + """, bs AS (SELECT population, least(block_a, block_b) * 1000 + greatest(block_a, block_b) AS pair, count(*) AS n FROM tl GROUP BY 1, 2), e AS (SELECT *, n * 5000 / (sum(n) OVER (PARTITION BY population))::DOUBLE AS x FROM bs)
+    SELECT population, pair, n, (floor(x) + CASE WHEN row_number() OVER (PARTITION BY population ORDER BY round(x - floor(x), 9) DESC, pair) <= 5000 - sum(floor(x)) OVER (PARTITION BY population) THEN 1 ELSE 0 END)::BIGINT AS share FROM e""",
+)
+# The statistics as frequencies' products, their biased draws taken off: written out for the nine counts.
+_FULL = _LDA + f", sv AS (SELECT *, {', '.join(f'{e} AS v{k}' for k, e in enumerate(two_locus_sql()[0]))} FROM tl), us AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in two_locus_sql()[1].items())} FROM sv)"
+_STATISTICS = ["d", "d2", "dz", "pi2"]
+_add(
+    "ld_unbiased_full",
+    lambda s, d: linkage.with_statistics(_all_counts(s, d)).select("population", "locus_a", "locus_b", "n", *[F.when(~F.isnan(c), F.round(c, 6) + 0.0).alias(c) for c in _STATISTICS]),
+    _FULL + f" SELECT population, locus_a, locus_b, n, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _STATISTICS)} FROM us",
+)
+_NE = ["mean_n", "mean_d", "r2d", "rdz", "ne", "r2d_lower", "r2d_upper", "ne_lower", "ne_upper"]
+_NE_OF = "CASE WHEN {0} > 0 THEN 1 / (3 * {0}) END"
+_add(
+    "ld_ne_bootstrap",
+    lambda s, d: _rounded(linkage.ld_summary(linkage.two_locus_sums(bridge(s, d), n_blocks=10, seed=2, max_pairs=None), _REPS, 5), *_NE),
+    _FULL + f""", bk AS (SELECT population, {_BLOCKS}, count(*) AS n_pairs, sum(n) AS sum_n, {', '.join(f'sum({c}) AS s_{c}' for c in _STATISTICS)} FROM us WHERE n >= 4 GROUP BY 1, 2, 3),
+    sl AS (SELECT *, row_number() OVER (ORDER BY block_a, block_b) - 1 AS slot, count(*) OVER () AS m FROM (SELECT DISTINCT block_a, block_b FROM bk)),
+    dr AS (SELECT r AS rep, {_hash(f'r * {_STEP} + j', 5)} % m AS slot, count(*) AS w FROM range({_REPS}) x(r), (SELECT DISTINCT m FROM sl), LATERAL (SELECT unnest(range(m)) AS j) GROUP BY 1, 2),
+    rr AS (SELECT population, rep, sum(w * s_d2) / sum(w * s_pi2) AS r2d FROM bk JOIN sl USING (block_a, block_b) JOIN dr USING (slot) GROUP BY 1, 2),
+    ci AS (SELECT population, quantile_cont(r2d, 0.025) AS lo, quantile_cont(r2d, 0.975) AS hi FROM rr GROUP BY 1),
+    es AS (SELECT population, sum(n_pairs)::BIGINT AS n_pairs, sum(sum_n) / sum(n_pairs)::DOUBLE AS mean_n, sum(s_d) / sum(n_pairs) AS mean_d, sum(s_d2) / sum(s_pi2) AS r2d, sum(s_dz) / sum(s_pi2) AS rdz FROM bk GROUP BY 1)
+    SELECT population, n_pairs, round(mean_n, 6) AS mean_n, round(mean_d, 6) + 0.0 AS mean_d, round(r2d, 6) + 0.0 AS r2d, round(rdz, 6) + 0.0 AS rdz, round({_NE_OF.format("r2d")}, 6) AS ne, round(lo, 6) + 0.0 AS r2d_lower, round(hi, 6) + 0.0 AS r2d_upper,
+        round({_NE_OF.format("hi")}, 6) AS ne_lower, round(CASE WHEN lo > 0 THEN 1 / (3 * lo) ELSE 'inf'::DOUBLE END, 6) AS ne_upper, CASE WHEN NOT r2d > 0 THEN 'not estimable' WHEN lo <= 0 THEN 'unbounded' ELSE 'estimated' END AS ne_status
+    FROM es JOIN ci USING (population)""",
+)
+
+
+def _sampled(s, d):
+    return linkage.two_locus_counts(bridge(s, d), n_blocks=10, seed=2, max_pairs=2000)
+
+
+_add(
+    "ld_sampled_pairs",
+    lambda s, d: _sampled(s, d).select("population", "locus_a", "locus_b", *linkage.STATES),
+    _LDA + f""", bs AS (SELECT population, least(a.blk, b.blk) AS x, greatest(a.blk, b.blk) AS y, a.locus_id AS la, b.locus_id AS lb, {_hash(f'(a.locus_id * {_STEP} + b.locus_id)', 2)} AS h
+    FROM (SELECT DISTINCT population, locus_id, blk, grp FROM ce) a JOIN (SELECT DISTINCT population, locus_id, blk, grp FROM ce) b USING (population) WHERE a.locus_id < b.locus_id AND a.blk <> b.blk AND a.grp <> b.grp),
+    e AS (SELECT *, n * 2000 / (sum(n) OVER (PARTITION BY population))::DOUBLE AS q FROM (SELECT population, x, y, count(*) AS n FROM bs GROUP BY 1, 2, 3)),
+    sh AS (SELECT population, x, y, floor(q) + CASE WHEN row_number() OVER (PARTITION BY population ORDER BY round(q - floor(q), 9) DESC, x, y) <= 2000 - sum(floor(q)) OVER (PARTITION BY population) THEN 1 ELSE 0 END AS share FROM e),
+    pk AS (SELECT population, la, lb FROM bs JOIN sh USING (population, x, y) QUALIFY rank() OVER (PARTITION BY population, x, y ORDER BY h) <= share)
+    SELECT population, locus_a, locus_b, {_NS} FROM tl JOIN pk USING (population) WHERE la = locus_a AND lb = locus_b""",
+)
 
 # -- outliers, ordination ----------------------------------------------------------------------------------------------
 _add("fst_outliers_knn", lambda s, d: outliers.fst_outliers_knn(bridge(s, d), alpha=0.5, correction=None, min_z=1.0, seed=1))
-_add("fst_outliers_permutation", lambda s, d: outliers.fst_outliers_permutation(bridge(s, d), 19, alpha=0.1, correction=None, seed=1))
+_ORP = 19
+_OUT = _WC + _labels(_ORP, 1) + _WCP + f""", ob AS (SELECT pop1, pop2, locus_id, a / (a + b + c) AS fst FROM wc WHERE a + b + c <> 0), rr AS (SELECT pop1, pop2, locus_id, a / (a + b + c) AS r FROM wcp WHERE a + b + c <> 0),
+    ct AS (SELECT pop1, pop2, locus_id, fst, count(r) AS n, count(*) FILTER (r >= fst - 1e-12) AS up, stddev_pop(r) AS sd FROM ob LEFT JOIN rr USING (pop1, pop2, locus_id) GROUP BY 1, 2, 3, 4),
+    pv AS (SELECT *, CASE WHEN n < {_ORP} / 2.0 OR sd = 0 THEN 1.0 ELSE (up + 1) / (n + 1)::DOUBLE END AS p FROM ct),
+    qv AS (SELECT *, least(1.0, min(p * m / k) OVER (PARTITION BY pop1, pop2 ORDER BY p DESC)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY pop1, pop2) AS m, count(*) OVER (PARTITION BY pop1, pop2) - rank() OVER (PARTITION BY pop1, pop2 ORDER BY p DESC) + 1 AS k FROM pv))"""
+for _name, _kind, _column, _alpha in (("fst_outliers_permutation", None, "p", 0.1), ("fst_outliers_permutation_fdr", "fdr_bh", "q", 0.5)):
+    _add(
+        _name,
+        lambda s, d, k=_kind, a=_alpha: _rounded(outliers.fst_outliers_permutation(bridge(s, d), _ORP, alpha=a, correction=k, seed=1), "fst", "q_value"),
+        _OUT + f" SELECT locus_id AS locus_idx, pop1 || '_' || pop2 AS population_pair, round(fst, 6) AS fst, round({_column}, 6) AS q_value FROM qv WHERE {_column} <= {_alpha}",
+    )
 _add("pca_scores", lambda s, d: outliers.pca(bridge(s, d), 2))
-
-assert BRIDGE

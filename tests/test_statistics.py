@@ -7,8 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import frame_of
+from pyspark.sql import functions as F
 
-from lociflow.functions.ld_polynomials import unbiased
+from lociflow.functions.two_locus import unbiased
 from lociflow.operators import distances, introgression, linkage, outliers, resampling, statistics
 
 
@@ -43,8 +44,8 @@ def test_unbiased_statistics_against_all_samples():
         counts.append([k[i] for i in range(9)])
         weights.append(math.factorial(n) / math.prod(math.factorial(v) for v in k.values()) * math.prod(p[i] ** v for i, v in k.items()))
     for name, value in want.items():
-        assert np.dot(weights, unbiased(np.array(counts), name)) == pytest.approx(value, abs=1e-12)
-    assert np.isnan(unbiased(np.zeros((1, 9)), "d")[0])
+        assert np.dot(weights, unbiased(np.array(counts), name)[:, 0]) == pytest.approx(value, abs=1e-12)
+    assert np.isnan(unbiased(np.zeros((1, 9)), "d")[0, 0])
 
 
 def test_ld_counts_and_size(spark):
@@ -111,3 +112,68 @@ def test_tails(spark):
     df = spark.createDataFrame([(1.959963984540054,)], "z double")
     assert df.select(resampling.normal_tail(spark, F.col("z"))).first()[0] == pytest.approx(0.05)
     assert df.select(resampling.chi2_tail(spark, F.col("z") * F.col("z"))).first()[0] == pytest.approx(0.05)
+
+
+def test_dense_index_of_a_million(spark):
+    """One slot each, in order, whatever columns a branch needs."""
+    n = 1_000_000
+    loci = spark.range(n).select((F.col("id") * 7_919 % n).alias("k"), F.repeat(F.lit("x"), 60).alias("payload"))
+    slots = resampling.dense_index(loci, "k")
+    found = slots.agg(F.count("*").alias("n"), F.count_if(F.col("slot") == F.col("k")).alias("right")).first()
+    assert (found["n"], found["right"]) == (n, n)
+    # Ties: branches that read other columns see the same numbers.
+    tied = resampling.dense_index(loci.limit(20_000).withColumn("t", F.col("k") % 3), "t")
+    assert tied.select("slot", "k").join(tied.select("slot", F.col("k").alias("again"), F.length("payload")), "slot").filter("k = again").count() == 20_000
+
+
+def _ld_frame(spark, n_samples=30, n_loci=60):
+    rng = np.random.default_rng(8)
+    rows = ["".join(rng.choice(list("AAMCN"), n_loci)) for _ in range(n_samples)]
+    return frame_of(spark, rows, ["x"] * 12 + ["y"] * (n_samples - 12), chroms=[str(k % 5) for k in range(n_loci)])
+
+
+def test_ld_pair_budget(spark):
+    f = _ld_frame(spark)
+    pairs = lambda df: {(r["population"], r["locus_a"], r["locus_b"]): tuple(r[c] for c in linkage.STATES) for r in df.collect()}
+    every = pairs(linkage.two_locus_counts(f, seed=3))
+    some = pairs(linkage.two_locus_counts(f, seed=3, max_pairs=100))
+    assert {p: sum(k[0] == p for k in some) for p in "xy"} == {"x": 100, "y": 100}
+    assert all(every[k] == v for k, v in some.items())
+    assert pairs(linkage.two_locus_counts(f, seed=3, max_pairs=10**6)) == every
+
+
+def test_ld_sums_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "CHUNK_LOCI", 3)
+    f = _ld_frame(spark)
+    for options in ({}, {"max_pairs": 300}, {"overall": True}, {"blocks": f.loci.select("locus_idx", (F.col("locus_idx") % 4).alias("block"))}):
+        got = linkage.two_locus_sums(f, **({"max_pairs": None} | options)).collect()
+        want = linkage.block_sums(linkage.with_statistics(linkage.two_locus_counts(f, **options))).collect()
+        key = lambda r: (r["population"], r["block_a"], r["block_b"])
+        assert {key(r) for r in got} == {key(r) for r in want}
+        by = {key(r): r for r in want}
+        for r in got:
+            for c in r.__fields__[3:]:
+                assert r[c] == pytest.approx(by[key(r)][c], abs=1e-9)
+        assert ({r["population"] for r in got} == {"x", "y", "Overall"}) == ("overall" in options)
+
+
+def test_ld_node_bootstrap(spark):
+    sums = linkage.two_locus_sums(_ld_frame(spark), n_blocks=4)
+    rows = linkage.ld_bootstrap(sums, 6, 1, "node_cluster").collect()
+    assert {r["population"] for r in rows} == {"x", "y"}
+    draws = {(r["rep"], r["slot"]): r["w"] for r in resampling.locus_weights(spark, 4, 6, 1).collect()}
+    total = {(r["block_a"], r["block_b"]): r["sum_d2"] for r in sums.filter("population = 'x'").collect()}
+    pi = {(r["block_a"], r["block_b"]): r["sum_pi2"] for r in sums.filter("population = 'x'").collect()}
+    for r in rows:
+        if r["population"] == "x":
+            w = {k: draws.get((r["rep"], k[0]), 0) * draws.get((r["rep"], k[1]), 0) for k in total}
+            assert r["r2d"] == pytest.approx(sum(w[k] * total[k] for k in w) / sum(w[k] * pi[k] for k in w))
+
+
+def test_significance_of_statistics(spark):
+    """p-values against Python's error function."""
+    rng = np.random.default_rng(2)
+    f = frame_of(spark, ["".join(rng.choice(list("AMC"), 80)) for _ in range(20)], [p for p in "wxyz" for _ in range(5)])
+    for r in introgression.d_significance(f, list("wxyz"), "patterson", 20, 1).collect():
+        assert r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)))
+        assert r["p_chi2"] == pytest.approx(math.erfc(math.sqrt(r["chi2"] / 2)))
