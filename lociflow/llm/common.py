@@ -5,8 +5,6 @@ Everything here is distributed: no helper collects rows of a table to the driver
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..deploy import ship
+from ..shared import drop_folder, drop_shared, shared_dir, write_shared
 
-__all__ = ["add_columns", "connected_components", "drop_shared", "local_components", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
+__all__ = ["Memo", "add_columns", "connected_components", "drop_folder", "drop_shared", "local_components", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,42 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one is set only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lociflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The table goes when the driver's file system is closed, or with ``drop_shared``.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/lociflow-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    target, files = _path(spark, path)
-    files.deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def _path(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def drop_shared(df: DataFrame) -> None:
-    """Delete a table of ``write_shared`` that nothing reads any more."""
-    target, files = _path(df.sparkSession, df._shared_path)
-    files.delete(target, True)
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes, so that what Python makes of one stays small; a row is never cut."""
     for batch in batches:
@@ -105,6 +68,29 @@ def add_columns(df: DataFrame, column: str, added: T.StructType, factory: Callab
     return df.mapInArrow(run, schema)
 
 
+class Memo(dict):
+    """What ``learn`` gives for keys, remembered in two generations of half of ``limit`` entries each.
+
+    ``learn`` puts into the memo what is worth it. What is still in use moves from the old generation to the new one.
+    """
+
+    def __init__(self, learn: Callable, limit: int):
+        self.learn, self.limit, self.old = learn, limit, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            return self.learn(key)
+        self[key] = found
+        return found
+
+    def age(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of 0..n-1 reaches over the links (a[k], b[k]): labels spread and jump until none changes."""
     root = np.arange(n)
