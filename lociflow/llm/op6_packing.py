@@ -18,8 +18,8 @@ __all__ = ["BinTree", "op6_packing", "pack_pieces", "plan_bins", "token_pieces"]
 
 CAPACITY = 4096
 END_ID = 1
-#: Rows that a packing plan may have to be broadcast; beyond, it is joined by length.
-BROADCAST_STEPS = 1_000_000
+#: Rows that a packing plan may have to be broadcast; beyond, it is merged with the pieces, in runs of ``RANKS`` ranks.
+BROADCAST_STEPS, RANKS = 1_000_000, 1 << 20
 
 
 class BinTree:
@@ -106,7 +106,11 @@ PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pie
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Each document's ids and ``end_id``, cut into pieces of ``capacity`` tokens; only longer ones are cut. Null text: empty."""
+    """Each document's ids and ``end_id``, cut into pieces of ``capacity`` tokens; only longer ones are cut.
+
+    Null and empty texts are the end id alone; repeated rows and null ids are rows like others; an empty table gives no
+    rows; other columns are not read.
+    """
     end = np.asarray([end_id], "<u4").tobytes()
 
     def factory():
@@ -127,36 +131,36 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return map_rows(docs, [docs[id_col].cast("long"), docs[text_col]], PIECES, factory)
 
 
-PLAN = "length long, rank long, n long, bin long, place long"
+PLAN = "length long, run long, rank long, bin long, place long"
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, broadcast_steps: int = BROADCAST_STEPS, ranks: int = RANKS) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; all other columns stay.
 
-    The driver gets the histogram of lengths only (at most ``capacity`` rows) and plans the bins of the whole table on
-    it; ranks within a length come from counts by task and length, so one length may hold any share of the rows. Rows
-    are written to the shared folder first, so that ranks stay the same if an executor is lost.
+    Columns of these two names are replaced; other lengths, and nulls, are an error. Repeated rows are packed each; an
+    empty table gives no rows. The driver gets the histogram of lengths only (at most ``capacity`` rows) and plans the
+    bins of the whole table on it; ranks within a length come from counts by task and length, so one length may hold any
+    share of the rows. Rows are written to the shared folder first, so that ranks stay the same if an executor is lost.
     """
     spark = pieces.sparkSession
-    clash = set(pieces.columns) & {"sequence_id", "offset"}
-    if clash:
-        pieces = pieces.drop(*clash)
+    pieces = pieces.drop("sequence_id", "offset")
     mark = "__lociflow_"
+    length, salt, base, row, rank = (f"{mark}{x}" for x in ("length", "salt", "base", "row", "rank"))
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = write_shared(pieces.withColumn(f"{mark}salt", (F.spark_partition_id() % blocks).cast("int")), "pieces")
-    length = F.col("length").cast("long")
-    counts = kept.groupBy(length.alias("length"), F.col(f"{mark}salt").alias("salt")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = write_shared(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    kept = write_shared(pieces.withColumn(length, F.col("length").cast("long")).withColumn(salt, (F.spark_partition_id() % blocks).cast("int")), "pieces")
+    before = Window.partitionBy(length).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy(length, salt).agg(F.count("*").alias("n")).withColumn(base, F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = write_shared(counts, "lengths")
+    histogram = {r[length]: r["n"] for r in counts.groupBy(length).agg(F.sum("n").alias("n")).collect()}
     if any(not n or not 1 <= n <= capacity for n in histogram):
         raise ValueError(f"lengths must be between 1 and {capacity}")
     steps = np.asarray(plan_bins(histogram, capacity), np.int64).reshape(-1, 5)
     steps = steps[np.lexsort((steps[:, 1], steps[:, 0]))]
-    ranked = kept.withColumn(f"{mark}row", F.row_number().over(Window.partitionBy("length", f"{mark}salt").orderBy(*[F.col(c) for c in ("doc_id", "piece") if c in kept.columns] or [F.lit(0)])))
-    ranked = ranked.join(F.broadcast(counts.select(F.col("length").alias(f"{mark}len"), F.col("salt").alias(f"{mark}s"), "base").withColumnRenamed("base", f"{mark}base")) if len(histogram) * blocks <= BROADCAST_STEPS else counts.select(F.col("length").alias(f"{mark}len"), F.col("salt").alias(f"{mark}s"), F.col("base").alias(f"{mark}base")), (length == F.col(f"{mark}len")) & (F.col(f"{mark}salt") == F.col(f"{mark}s")))
-    ranked = ranked.withColumn(f"{mark}rank", F.col(f"{mark}base") + F.col(f"{mark}row") - 1).select(*pieces.columns, f"{mark}rank")
-    if len(steps) <= BROADCAST_STEPS:
+    within = Window.partitionBy(length, salt).orderBy(*[F.col(c) for c in ("doc_id", "piece") if c in kept.columns] or [F.lit(0)])
+    # The window's dealing and order serve the join too: only the counts are shuffled for it.
+    ranked = kept.withColumn(row, F.row_number().over(within)).join(counts.drop("n").hint("merge"), [length, salt])
+    ranked = ranked.withColumn(rank, F.col(base) + F.col(row) - 1).select(*pieces.columns, length, rank)
+    if len(steps) <= broadcast_steps:
         shared = spark.sparkContext.broadcast(steps)
         place = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -169,11 +173,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(key, lengths.to_numpy() * (1 << 40) + ranks.to_numpy(), "right") - 1
             return pd.DataFrame({"sequence_id": s[at, 3] + ranks.to_numpy() - s[at, 1], "offset": s[at, 4]})
 
-        found = ranked.withColumn(f"{mark}at", find(length, f"{mark}rank"))
+        found = ranked.withColumn(f"{mark}at", find(length, rank))
         return found.select(*pieces.columns, F.col(f"{mark}at.sequence_id").alias("sequence_id"), F.col(f"{mark}at.offset").alias("offset"))
-    plan = spark.createDataFrame(steps.tolist(), PLAN).select(*[F.col(c).alias(f"{mark}p_{c}") for c in ("length", "rank", "n", "bin", "place")])
-    on = (length == F.col(f"{mark}p_length")) & (F.col(f"{mark}rank") >= F.col(f"{mark}p_rank")) & (F.col(f"{mark}rank") < F.col(f"{mark}p_rank") + F.col(f"{mark}p_n"))
-    return ranked.join(plan, on).select(*pieces.columns, (F.col(f"{mark}p_bin") + F.col(f"{mark}rank") - F.col(f"{mark}p_rank")).alias("sequence_id"), F.col(f"{mark}p_place").alias("offset"))
+    # Steps that go on into a next run of ranks are told there again, so each rank finds the step before it in its own run.
+    runs = (steps[:, 1] + steps[:, 2] - 1) // ranks - steps[:, 1] // ranks + 1
+    own = np.repeat(np.arange(len(steps)), runs)
+    nth = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    run = steps[own, 1] // ranks + nth
+    first = np.maximum(steps[own, 1], run * ranks)
+    plan = spark.createDataFrame(np.stack([steps[own, 0], run, first, steps[own, 3] + first - steps[own, 1], steps[own, 4]], 1).tolist(), PLAN)
+    plan = plan.select(F.col("length").alias(length), F.col("run").alias(f"{mark}run"), F.col("rank").alias(rank), F.struct("rank", "bin", "place").alias(f"{mark}step"))
+    both = ranked.withColumn(f"{mark}run", F.floor(F.col(rank) / ranks)).withColumn(f"{mark}piece", F.lit(True)).unionByName(plan, allowMissingColumns=True)
+    order = Window.partitionBy(length, f"{mark}run").orderBy(rank, F.col(f"{mark}piece").asc_nulls_first())
+    found = both.withColumn(f"{mark}at", F.last(f"{mark}step", ignorenulls=True).over(order)).filter(f"{mark}piece")
+    return found.select(*pieces.columns, (F.col(f"{mark}at.bin") + F.col(rank) - F.col(f"{mark}at.rank")).alias("sequence_id"), F.col(f"{mark}at.place").alias("offset"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+
+from .common import Memo
 
 __all__ = ["WordIds"]
 
 #: White space that the tokenizer's own pattern and Python agree on; words between it are encoded on their own.
 _SPACES = re.compile(r"[ \t\n\r]+")
-#: What Python splits at and the tokenizer does not.
-_CONTROLS = re.compile("[\x0b\x0c\x1c-\x1f]")
+#: Other characters that Python's ``split`` takes for white space; texts with one are split by the pattern above.
+_OTHER_SPACES = ["\x0b", "\x0c", *map(chr, range(0x1C, 0x20)), "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+#: Marks that compose with no letter.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict[tuple[str, int], WordIds] = {}
 #: Letters whose lower case and composition are plain; a word of them is one piece of the tokenizer's pattern.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -27,23 +30,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned numbers of ``width`` bytes, 4 or 2.
+    """Ids of texts as little-endian unsigned numbers of ``width`` bytes, 4 or 2: the library's own, with its defaults.
 
     The vocabulary splits at white space before anything else, and its normalisation (composition, lower case) never
-    crosses white space, so a text's ids are the ids of its words in order. ``limit`` bounds the memo's entries: it has
-    two generations, and words still in use move from the old one to the new one when the new one is full.
+    crosses white space, so a text's ids are the ids of its words in order. Only the strings of added tokens are looked
+    for in the text itself; a text that holds one goes through the library whole. ``limit`` bounds the memo's entries: it
+    has two generations, and words still in use move from the old one to the new one when the new one is full.
     """
 
-    def __init__(self, path: str, width: int = 4, limit: int = 1_400_000):
+    def __init__(self, path: str, width: int = 4, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # A token that is looked for after normalisation could be in any text.
+        self.added = [""] if any(t.normalized for t in added) else [t.content for t in added]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.model._resize_cache(0)  # words are remembered here
-        self.kind, self.limit, self.memo, self.old = f"<{'I' if width == 4 else 'H'}", limit, {}, {}
-        self.marks = {c: self._pack(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        self.width, self.memo = width, Memo(self._learn, limit)
+        self.packed = [k.to_bytes(width, "little") for k in range(min(self.tokenizer.get_vocab_size(), 1 << 8 * width))]
+        self.tails: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str, width: int = 4) -> WordIds:
@@ -52,55 +59,45 @@ class WordIds:
             _LOADED[path, width] = cls(path, width)
         return _LOADED[path, width]
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"{self.kind[0]}{len(ids)}{self.kind[1]}", *ids)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode unknown words; a word that ends in a letter and one mark of punctuation is two known parts."""
-        memo, old, plain, tokenize, pack, letters = self.memo, self.old, _PLAIN.fullmatch, self.model.tokenize, self._pack, self.letters
-        marks, rest = self.marks, []
-        for w in words:
-            ids = old.get(w)
-            if ids is None:
-                end = marks.get(w[-1])
-                # The lower case of one letter ends in a mark, hence the last character of it.
-                core = w[:-1] if end is not None and len(w) > 1 and w[-2].lower()[-1].isalpha() else w
-                if core is w:
-                    end = b""
-                low = core.lower() if core.isascii() else core
-                ids = memo.get(low)
-                if ids is None:
-                    ids = old.get(low)
-                    if ids is None:
-                        if not plain(core):
-                            rest.append((w, low, end))
-                            continue
-                        # One piece: the model alone gives what the whole tokenizer would.
-                        piece = low if low.isascii() else low.lower().translate(letters)
-                        ids = pack([t.id for t in tokenize(piece)])
-                    memo[low] = ids
-                ids += end
-            memo[w] = ids
-        if rest:
-            new = list(dict.fromkeys(low for _, low, _ in rest))
-            found = {low: pack(e.ids) for low, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            memo |= found
-            for w, low, end in rest:
-                memo[w] = found[low] + end
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
+
+    def _learn(self, word: str) -> bytes:
+        """Ids of an unknown word; one that ends in a letter and marks of punctuation is two parts, as marks are one piece."""
+        memo = self.memo
+        if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+            low = word.lower()
+            if low != word and (low in memo or low in memo.old):
+                ids = memo[low]
+            else:
+                # One piece: the model alone gives what the whole tokenizer would.
+                packed = self.packed
+                ids = b"".join([packed[t.id] for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
+        # The lower case of one letter ends in a mark, hence the last character of it.
+        elif word[-1] in _MARKS and (core := word.rstrip(_MARKS)) and core[-1].lower()[-1].isalpha():
+            tail = word[len(core) :]
+            after = self.tails.get(tail)
+            if after is None:
+                after = self._whole(tail)
+                if len(tail) <= 3:  # of which there are few
+                    self.tails[tail] = after
+            ids = memo[core] + after
+        else:
+            ids = self._whole(word)
+        if len(word) <= 64:  # very long words are not kept
+            memo[word] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text is empty."""
-        if len(self.memo) > self.limit // 2:
-            self.memo, self.old = {}, self.memo
-        split = [t.split() if t and t.isascii() and not _CONTROLS.search(t) else [w for w in _SPACES.split(t or "") if w] for t in texts]
-        memo, new = self.memo, set()
-        for words in split:
-            new.update(words)
-        new.difference_update(memo)
-        self._learn(list(new))
-        out = [b"".join([memo[w] for w in words]) for words in split]
-        for w in new:
-            if len(w) > 64:  # very long words are not kept
-                for x in (w, w.lower(), w[:-1], w[:-1].lower()):
-                    memo.pop(x, None)
+        out, find = [], self.memo.__getitem__
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif any(a in text for a in self.added):
+                out.append(self._whole(text))
+            else:
+                self.memo.age()
+                words = [w for w in _SPACES.split(text) if w] if any(map(text.__contains__, _OTHER_SPACES)) else text.split()
+                out.append(b"".join(map(find, words)))
         return out
