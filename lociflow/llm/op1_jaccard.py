@@ -84,6 +84,11 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
+def _set_key(s: np.ndarray) -> bytes:
+    """24 bytes that tell sets apart."""
+    return np.array([_mixed(s ^ _ODD).sum(), _mixed(s + _ODD).sum(), len(s)], np.uint64).tobytes()
+
+
 _FACTORS = _mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 
 
@@ -103,10 +108,10 @@ def runs_for(threshold: float, recall: float, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** (depth + 1)))
 
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("mins", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("mins", T.BinaryType())])
 PATHS = T.StructType([T.StructField("path", T.LongType()), T.StructField("rep", T.LongType())])
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-SETS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("set", T.BinaryType())])
+SETS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("set", T.BinaryType())])
 FOUND = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
 
 
@@ -209,9 +214,9 @@ def _verified(ids: np.ndarray, copies: np.ndarray, left: list[np.ndarray], right
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, recall: float = TARGET_RECALL) -> DataFrame:
-    """Rows (doc_id, n_links, component_id, kept) for all rows of ``docs``: links are pairs with Jaccard >= ``threshold``.
+    """Rows (doc_id, n_links, component_id, kept, text_hash) for all rows of ``docs``: links are pairs with Jaccard >= ``threshold``.
 
-    1. Documents with equal shingle sets are one class with a count, gathered by a partial aggregate.
+    1. Documents with equal shingle sets are one class with a number and a count, gathered by a partial aggregate.
     2. Runs of chosen paths over the classes' minhash tokens: a run puts a class into the bucket of one sampled token;
        buckets beyond ``TASK_BUCKET`` are split on further tokens where that helps, and else compared in pairs of parts;
        a task splits its bucket on until parts are small. Sketches that agree enough, with ``SLACK`` standard errors
@@ -220,31 +225,32 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
        compared once, since a class has one cluster. Sums of links and forests of true links leave the tasks.
 
     ``n_links`` counts all other documents linked directly, copies included; ``component_id`` is the smallest doc_id that
-    links reach; ``kept`` marks it. Documents without words, null ids and null texts link with nothing. Repeated rows are
-    copies. An empty table gives no rows.
+    links reach; ``kept`` marks it; ``text_hash`` (xxhash64 of the text) tells rows of one id apart, which may be in
+    different classes. Documents without words, null ids and null texts link with nothing. Repeated rows are copies. Very
+    long texts are one set like others. Other columns of ``docs`` are not read, whatever their names. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def sketch():
-        def work(ids, texts):
+        def work(ids, hashes, texts):
             sets = shingle_sets(texts, words)
             full = [i for i, s in enumerate(sets) if len(s) and ids[i] is not None]
             mins = _minhashes([sets[i] for i in full]) if full else []
             keys, blobs = [None] * len(ids), [None] * len(ids)
             for i, m in zip(full, mins, strict=True):
-                s = sets[i]
-                keys[i] = np.array([_mixed(s ^ _ODD).sum(), _mixed(s + _ODD).sum(), len(s)], np.uint64).tobytes()
-                blobs[i] = m.tobytes()
-            return [ids, keys, [len(s) for s in sets], blobs]
+                keys[i], blobs[i] = _set_key(sets[i]), m.tobytes()
+            return [ids, hashes, keys, [len(s) for s in sets], blobs]
 
         return work
 
-    sketched = write_shared(map_rows(rows, ["doc_id", "text"], SKETCH, sketch), "sketches")
-    # The smallest id of a class brings its tokens along.
+    sketched = write_shared(map_rows(rows, ["doc_id", "text_hash", "text"], SKETCH, sketch), "sketches")
+    # The smallest id of a class brings its tokens along. Classes have numbers, since two may have one smallest id.
     classes = sketched.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "mins")).alias("m"), F.count("*").alias("copies"))
-    reps = write_shared(classes.select("key", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.mins").alias("mins"), "copies"), "classes")
+    reps = write_shared(classes.select("key", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("first"), F.col("m.n").alias("n"), F.col("m.mins").alias("mins"), "copies"), "classes")
 
     runs = runs_for(threshold, recall)
     need = math.ceil(TOKENS * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / TOKENS)))
@@ -291,11 +297,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = write_shared(_verify(rows, reps, clusters, threshold, words), "verified")
     parts = connected_components(found.filter("b is not null").select("a", "b"), "classes")
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    facts = reps.select("key", "rep", "copies").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    facts = facts.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "key").join(facts, "key", "left")
+    smallest = parts.join(reps.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    parts = parts.join(smallest, "component").select(F.col("node").alias("rep"), "component_id")
+    facts = reps.select("key", "rep", "first", "copies").join(links, "rep", "left").join(parts, "rep", "left")
+    facts = facts.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    out = sketched.select("doc_id", "text_hash", "key").join(facts, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -330,24 +338,30 @@ def _bucket_edges(held: DataFrame, need: int, name: str) -> DataFrame:
 
 def _verify(rows: DataFrame, reps: DataFrame, clusters: DataFrame, threshold: float, words: int) -> DataFrame:
     """Exact links within clusters: (a, null, n) sums and (a, b, 0) forest edges."""
-    sized = reps.select("rep", "n", "copies").join(clusters, "rep")
+    sized = reps.select("rep", "key", "first", "n", "copies").join(clusters, "rep")
     totals = sized.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.col("n") * 8).alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
     sized = write_shared(sized.join(totals.select("cluster", chunks.alias("chunks")), "cluster"), "chunks")
-    wanted = sized.select(F.col("rep").alias("doc_id"), "cluster", "chunks", "copies", "n")
+    firsts, wanted = sized.select(F.col("first").alias("doc_id")).distinct(), sized.select("key", "rep", "cluster", "chunks", "copies")
     if sized.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+        firsts, wanted = F.broadcast(firsts), F.broadcast(wanted)
 
-    # One row for each class: repeated rows of its smallest id are copies.
+    # Rows of an id may be of any class, so sets find theirs by key. Repeated rows of a task are one.
     def sets():
-        def work(ids, texts, *rest):
-            return [ids, [s.tobytes() for s in shingle_sets(texts, words)], *rest]
+        seen: set[bytes] = set()
+
+        def work(texts):
+            out: dict[bytes, bytes] = {}
+            for s in shingle_sets(texts, words):
+                key = _set_key(s)
+                if key not in seen:
+                    seen.add(key)
+                    out[key] = s.tobytes()
+            return [list(out), list(out.values())]
 
         return work
 
-    schema = T.StructType([*SETS.fields, T.StructField("cluster", T.LongType()), T.StructField("chunks", T.IntegerType()), T.StructField("copies", T.LongType()), T.StructField("n", T.LongType())])
-    full = map_rows(rows.join(wanted, "doc_id"), ["doc_id", "text", "cluster", "chunks", "copies", "n"], schema, sets)
-    full = full.filter(F.length("set") == F.col("n") * 8)
+    full = map_rows(rows.join(firsts, "doc_id", "left_semi"), ["text"], SETS, sets).join(wanted, "key")
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     spread = full.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies", "set")
