@@ -20,8 +20,8 @@ __all__ = ["LevenshteinTrie", "Lexicon", "ToxicityModel", "fit_toxicity", "held_
 
 #: Labelled rows that the lexicon and the weights are fitted on at most: those first in hash order of their ids.
 FIT_ROWS = 8_000
-#: Entries that a lexicon may have.
-MAX_TERMS = 3_000
+#: Times that a term counts in one text at most, so that no single text makes a term.
+TEXT_COUNTS = 3
 STEMS = range(3, 9)
 WINDOW = 8
 THRESHOLD = 0.7
@@ -177,7 +177,7 @@ class Lexicon:
             stems = [self.stems[word[:k]] for k in STEMS if k < len(word) and word[:k] in self.stems]
             if stems:
                 out = (max(stems), 1)
-            elif MIN_FUZZY <= len(word) <= 40 and word not in self.known and (weight := self.trie.find(word)) is not None:
+            elif MIN_FUZZY <= len(word) and word not in self.known and (weight := self.trie.find(word)) is not None:
                 out = (weight, 2)
         self.memo[word] = out
         return out
@@ -186,7 +186,7 @@ class Lexicon:
         """A token that digits or marks are in: as a misspelling with them as letters, or without them."""
         key = (token,)
         if key not in self.memo:
-            weights = [self.trie.find(token)] if MIN_FUZZY <= len(token) <= 40 else []
+            weights = [self.trie.find(token)] if MIN_FUZZY <= len(token) else []
             if len(bare := _JOINTS.sub("", token)) >= MIN_FUZZY and (found := self.find(bare)):
                 weights.append(found[0])
             weight = max((w for w in weights if w is not None), default=None)
@@ -272,15 +272,15 @@ class ToxicityModel:
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows that labels are not learned from: crc32 of the id as text leaves 1 when divided by 3."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Rows that labels are not learned from: crc32 of the id as text leaves 1 when divided by 3; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("stem", T.BooleanType()), T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("clean", T.LongType())])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and stems by label, at most 3 for each document, summed over parts of the task."""
+    """Counts of words and stems by label, at most ``TEXT_COUNTS`` for each document, summed over parts of the task."""
     counts: tuple[Counter, Counter, Counter, Counter] = Counter(), Counter(), Counter(), Counter()
 
     def flush() -> pa.RecordBatch:
@@ -295,13 +295,12 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Counter(_WORD.findall((text or "").lower()))
             own: Counter = Counter()
             for w, n in words.items():
-                if len(w) <= 40:
-                    own[w, False] += n
-                    for k in STEMS:
-                        if len(w) > k:
-                            own[w[:k], True] += n
+                own[w, False] += n
+                for k in STEMS:
+                    if len(w) > k:
+                        own[w[:k], True] += n
             for t, n in own.items():
-                counts[0 if toxic else 1][t] += min(n, 3)
+                counts[0 if toxic else 1][t] += min(n, TEXT_COUNTS)
             if toxic:
                 counts[2].update(own.keys())
             else:
@@ -311,8 +310,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
-    """Words and stems that toxic texts of ``sample(text, toxic)`` hold far more often, at most ``max_terms``."""
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """All words and stems that toxic texts of ``sample(text, toxic)`` hold far more often; the sample bounds their number."""
     counts = sample.select("text", "toxic").mapInArrow(_terms, TERMS).groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "docs", "clean")))
     counts = write_shared(counts, "terms")
     totals = counts.filter("not stem").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
@@ -322,7 +321,7 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / (total * of))).otherwise(0.0)
     # The likelihood ratio of the term's counts against the classes' shares: what chance hardly gives.
     counts = counts.withColumn("odds", odds).withColumn("g", 2 * (part(F.col("pos"), share) + part(F.col("neg"), 1 - share)))
-    rows = counts.filter(f"docs >= 4 and odds >= {MIN_ODDS} and g >= {MIN_RATIO}").orderBy(F.desc("g"), "term", "stem").limit(max_terms).collect()
+    rows = counts.filter(f"docs >= 4 and odds >= {MIN_ODDS} and g >= {MIN_RATIO}").orderBy(F.desc("g"), "term", "stem").collect()
     words = {r["term"]: r for r in rows if not r["stem"]}
     stems = {r["term"]: r for r in rows if r["stem"]}
     # A stem that is mostly one word, or mostly one longer stem, says no more than that does; nor does a word under a kept stem.
@@ -403,7 +402,11 @@ SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sco
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, score) with a score of 0 to 1 for each document; only the text is looked at. Null text: empty."""
+    """Rows (doc_id, score) with a score of 0 to 1 for each document; only the text is looked at.
+
+    Null texts are empty, and empty ones have a score too; repeated rows, null ids and texts of any length are rows like
+    others; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory():
@@ -419,7 +422,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxicity") -> DataFrame:
-    """``docs`` with a score column, in one narrow pass."""
+    """``docs`` with a score column, in one narrow pass; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory():
@@ -430,7 +433,11 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every whole text of ``documents``, learned from the labels that are not held out."""
+    """Scores of every whole text of ``documents``, learned from the labels that are not held out.
+
+    Null and empty texts, null ids (never held out, never labelled), repeated rows (each a row; one label an id) and texts
+    of any length are scored; an empty table gives no rows; other columns are not read.
+    """
     docs = read_table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, model)
