@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_shared, map_rows, read_table, shared_dir, small_batches, write_shared
+from .common import drop_folder, drop_shared, map_rows, read_table, shared_dir, small_batches, write_shared
 from .word_ids import WordIds
 
 __all__ = ["decode_values", "encode_values", "op8_token_files", "read_token_files", "tokenize", "write_token_files"]
@@ -19,6 +20,8 @@ MAGIC = b"LFTK\x01"
 END_ID = 1
 #: Tokens that a block holds at most, unless one document alone has more.
 BLOCK_TOKENS = 1 << 20
+#: Tokens of a part, which one task sorts and writes; beyond ``MOST_PARTS`` parts, these grow instead.
+PART_TOKENS, MOST_PARTS = 1 << 23, 1 << 16
 
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
 #: By control byte: bytes that each of its four values takes.
@@ -27,12 +30,27 @@ _LENGTHS = (_CODES + 1).astype(np.uint8)
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """``(control, data)``: two bits a value give its length of 1 to 4 bytes; the data bytes are little-endian."""
-    v = np.ascontiguousarray(values, "<u4")
+    control, data, _, _ = _encode(np.asarray(values, np.uint32), np.array([len(values)]))
+    return control.tobytes(), data.tobytes()
+
+
+def _encode(v: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of the values of some documents, with the places between documents in each. The control
+    bytes of each document start on a byte of their own."""
     code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = code
+    groups = -(-lengths // 4)
+    ends, group_ends = np.cumsum(lengths), np.cumsum(groups)
+    padded = np.zeros(4 * int(groups.sum()), np.uint8)
+    padded[np.arange(len(v)) + np.repeat(4 * (group_ends - groups) - ends + lengths, lengths)] = code
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
+    places = np.concatenate([[0], np.cumsum(code + 1, dtype=np.int64)])
+    data = np.empty(int(places[-1]), np.uint8)
+    data[places[:-1]] = v & np.uint32(0xFF)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(code >= k)
+        if len(more):
+            data[places[more] + k] = v[more] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control, data, np.concatenate([[0], group_ends]), places[np.concatenate([[0], ends])]
 
 
 def decode_values(control: bytes, data: bytes, slots: int | np.ndarray) -> np.ndarray:
@@ -50,13 +68,15 @@ def decode_values(control: bytes, data: bytes, slots: int | np.ndarray) -> np.nd
     return out
 
 
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids): little-endian unsigned ids of ``width`` bytes (2 or 4), ``end_id`` last. A null text is empty.
+    """Rows (doc_id, n_tokens, nth, ids): little-endian unsigned ids of ``width`` bytes (2 or 4), ``end_id`` last.
 
-    Two bytes hold every id of a vocabulary of at most 65,536; with a larger one, ``width`` must be 4.
+    ``nth`` numbers a task's rows, which tells rows of one id apart. Null and empty texts are the end id alone; very long
+    ones are encoded whole; repeated rows are rows of their own; null ids stay null; an empty table gives no rows; other
+    columns are not read. Two bytes hold every id of a vocabulary of at most 65,536; with a larger one, ``width`` is 4.
     """
     kind = f"<u{width}"
 
@@ -64,11 +84,11 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         words = WordIds.load(path, width)
         if width < 4 and words.tokenizer.get_vocab_size() > 1 << 8 * width:
             raise ValueError("ids of this vocabulary need a width of 4")
-        end = np.asarray([end_id], kind).tobytes()
+        end, seen = np.asarray([end_id], kind).tobytes(), itertools.count()
 
         def work(ids, texts):
             blobs = [b + end for b in words.encode(texts)]
-            return [ids, [len(b) // width for b in blobs], blobs]
+            return [ids, [len(b) // width for b in blobs], [next(seen) for _ in ids], blobs]
 
         return work
 
@@ -79,13 +99,19 @@ COUNTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.L
 BLOCK = T.StructType([T.StructField("first_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
 
+def _flat(blobs, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch of blobs, and how many each blob has."""
+    places = np.frombuffer(blobs.buffers()[1], "<i4")[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[places[0] : places[-1]].view(f"<u{width}"), np.diff(places).astype(np.int64) // width
+
+
 def _frequencies(tokens: DataFrame, width: int) -> list[tuple[int, int]]:
     """Counts of all ids, most frequent first; as many rows as the vocabulary has ids at most."""
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for b in small_batches(batches, 8_000_000):
-            got = np.bincount(np.frombuffer(b"".join(x for x in b.column(0).to_pylist() if x), f"<u{width}"))
+            got = np.bincount(_flat(b.column(0), width)[0])
             if len(got) > len(total):
                 got, total = total, got.astype(np.int64)
             total[: len(got)] += got
@@ -103,7 +129,7 @@ def _pack(docs: list[tuple[int | None, int, bytes, bytes]], start: int) -> bytes
 
     A document's control bytes start on a byte of their own, so the bytes of documents can be joined as they are.
     """
-    control, data = b"".join(d[2] for d in docs), b"".join(d[3] for d in docs)
+    control, data = (b"".join([d[k] for d in docs]) for k in (2, 3))
     head = MAGIC + struct.pack("<qqqq", start, len(docs), len(control), len(data))
     names = np.asarray([d[0] or 0 for d in docs], "<i8").tobytes() + bytes(d[0] is None for d in docs)
     return head + names + np.asarray([d[1] for d in docs], "<i8").tobytes() + control + data
@@ -124,37 +150,79 @@ def _unpack(payload: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarr
     return start, [None if z else d for d, z in zip(docs, nulls, strict=True)], lengths, ranks
 
 
+class Deal:
+    """Parts of a table in ascending id order, as even as their cuts: a part ends with the ids that equal its upper cut.
+
+    Ids that equal one or more cuts are dealt by ``nth`` over all parts that such cuts border, in which they are first
+    or last, so that no id is too frequent for a part. Null ids are before all others.
+    """
+
+    def __init__(self, cuts: list[int]):
+        self.cuts = np.sort(np.asarray(cuts, np.int64))
+
+    def parts(self, ids: list[int | None], nth: list[int]) -> np.ndarray:
+        v = np.array([NULL_ID if i is None else i for i in ids], np.int64)
+        low, high = np.searchsorted(self.cuts, v, "left"), np.searchsorted(self.cuts, v, "right")
+        return low + np.asarray(nth, np.int64) % (high - low + 1)
+
+
+NULL_ID = -(1 << 63)
+SUMS = T.StructType([T.StructField("part", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def _starts(dealt: DataFrame, deal: Deal) -> dict[int, int]:
+    """By part, the tokens before it."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        total = np.zeros(len(deal.cuts) + 1, np.int64)
+        for b in batches:
+            np.add.at(total, deal.parts(b.column(0).to_pylist(), b.column(1).to_pylist()), np.asarray(b.column(2).to_pylist(), np.int64))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=SUMS.names)
+
+    sums = {r["part"]: r["n"] for r in dealt.select("doc_id", "nth", "n_tokens").mapInArrow(add, SUMS).groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    starts, total = {}, 0
+    for k in sorted(sums):
+        starts[k], total = total, total + sums[k]
+    return starts
+
+
 def write_token_files(tokens: DataFrame, path: str, partitions: int | None = None, width: int = 2) -> None:
     """Write rows of ``tokenize`` to ``path/blocks`` in ascending doc_id order, with ``path/ranks`` beside.
 
     Ids are renumbered by falling frequency over all rows, so that frequent ones take one byte. Blocks are binary values
-    in Parquet containers, since only Spark's writers reach every store; each is self-contained but for the ranks. Null
+    in Parquet containers, since only Spark's writers reach every store; each is self-contained but for the ranks. There
+    are ``partitions`` parts, by default as many as the tokens ask for (``PART_TOKENS``); each is a task and a file. Null
     ids come first; rows with one id follow each other in any order. The driver gets one count for each id of the
-    vocabulary and one token sum for each output partition, both bounded whatever the rows.
+    vocabulary and one token sum for each part, both bounded whatever the rows.
     """
     spark = tokens.sparkSession
-    ranked = [i for i, _ in _frequencies(tokens, width)]
+    found = _frequencies(tokens, width)
+    ranked = [i for i, _ in found]
     rank = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
     spark.createDataFrame([(r, i) for r, i in enumerate(ranked)], "rank int, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or min(max(1, -(-sum(k for _, k in found) // PART_TOKENS)), MOST_PARTS)
     # Bounds come from the id column alone, so that no text or id list is read twice to sample it.
-    cuts = tokens.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = tokens.withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
-    sums, starts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}, {}
-    total = 0
-    for k in sorted(sums):
-        starts[k], total = total, total + sums[k]
-    ranks, starts = spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(starts)
+    known = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
+    cuts = tokens.select(F.percentile_approx(known, [k / n for k in range(1, n)], max(10_000, 100 * n)).alias("c")).first()["c"] if n > 1 else None
+    deal = Deal(cuts or [])
+    dealt = tokens if "nth" in tokens.columns else tokens.withColumn("nth", F.lit(0))
+    ranks, starts = spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(_starts(dealt, deal))
 
-    def coded():
-        def work(ids, parts, blobs):
-            pairs = [encode_values(ranks.value[np.frombuffer(b, f"<u{width}")]) for b in blobs]
-            return [ids, parts, [len(b) // width for b in blobs], [c for c, _ in pairs], [d for _, d in pairs]]
+    def coded(batches):
+        import pyarrow as pa
 
-        return work
+        def blobs(data: np.ndarray, places: np.ndarray) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype("<i4")), pa.py_buffer(data)])
+
+        for b in small_batches(batches):
+            flat, lengths = _flat(b.column(2), width)
+            control, data, control_places, data_places = _encode(ranks.value[flat], lengths)
+            parts = deal.parts(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.int32()), pa.array(lengths), blobs(control, control_places), blobs(data, data_places)], names=CODED.names)
 
     def blocks(batches):
         import pyarrow as pa
@@ -176,7 +244,7 @@ def write_token_files(tokens: DataFrame, path: str, partitions: int | None = Non
         if held:
             yield flush()
 
-    sent = map_rows(dealt, ["doc_id", "part", "ids"], CODED, coded).repartition(len(cuts or []) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
+    sent = dealt.select("doc_id", "nth", "ids").mapInArrow(coded, CODED).repartitionById(n, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     sent.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
@@ -207,13 +275,21 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode every text of ``documents``, write the token files in doc_id order, read them back and digest what they hold."""
+    """Encode every text of ``documents``, write the token files in doc_id order, read them back and digest what they hold.
+
+    Null and empty texts are the end id alone. Rows with one id follow each other in any order, null ids come first; an
+    empty table gives no rows; very long texts are blocks of their own; other columns are not read. The files are
+    deleted when they have been read.
+    """
     import uuid
 
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/lociflow-token-files-{uuid.uuid4().hex}"
     tokens = write_shared(tokenize(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "tokens")
-    write_token_files(tokens, path)
-    drop_shared(tokens)
-    return read_token_files(spark, path, with_ids=False).drop("ids")
+    try:
+        write_token_files(tokens, path)
+        drop_shared(tokens)
+        return write_shared(read_token_files(spark, path, with_ids=False).drop("ids"), "token-digests")
+    finally:
+        drop_folder(spark, path)
