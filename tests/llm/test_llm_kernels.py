@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import pickle
 import random
@@ -17,15 +18,17 @@ from lociflow.llm.common import local_components
 from lociflow.llm.op1_jaccard import bucket_forest, runs_for, shingle_sets
 from lociflow.llm.op2_multi_index import fit_index, multi_sequence
 from lociflow.llm.op4_bitsliced import BitSlicedBlock
-from lociflow.llm.op5_byte_bpe import ByteBpe
+from lociflow.llm.op5_byte_bpe import ByteBpe, digests
 from lociflow.llm.op6_packing import plan_bins
 from lociflow.llm.op7_toxicity import LevenshteinTrie, Lexicon
-from lociflow.llm.op8_token_files import decode_values, encode_values
+from lociflow.llm.op8_token_files import Deal, decode_values, encode_values
 from lociflow.llm.op10_secrets import find_secrets, redact
 from lociflow.llm.suffix_groups import suffix_array, suffix_arrays
 from lociflow.llm.word_ids import WordIds
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 TEXT = st.text(alphabet=st.sampled_from("aeiothnrsÀéÿß \n\t.,'  \x1cΣİ12%&日本👍"), max_size=60)
 
 
@@ -88,26 +91,55 @@ def reference_bpe():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@given(text=TEXT)
+@given(texts=st.lists(TEXT, max_size=4))
 @settings(max_examples=400, deadline=None)
-def test_bpe_equals_library(bpe, reference_bpe, text):
-    n, ids, blob = bpe.encode(text)
-    want = reference_bpe.encode_ordinary(text)
-    assert (n, ids, np.frombuffer(blob, "<u4").tolist()) == (len(want), ",".join(map(str, want)), want)
-    assert bpe.decode(blob) == text.encode()
+def test_bpe_equals_library(bpe, reference_bpe, texts):
+    want = [reference_bpe.encode_ordinary(t) for t in texts]
+    assert [np.frombuffer(bpe.encode(t), "<u2").tolist() for t in texts] == want
+    counts, ids, data = digests(bpe, texts)
+    assert counts == [len(w) for w in want]
+    assert ids == [hashlib.sha256(",".join(map(str, w)).encode()).hexdigest() for w in want]
+    assert data == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
 
 
 def test_bpe_long_and_null(bpe, reference_bpe):
-    for text in ("ab" * 20_000, " " * 500, "x" * 3_000 + "é" * 3_000):
-        assert np.frombuffer(bpe.encode(text)[2], "<u4").tolist() == reference_bpe.encode_ordinary(text)
-    assert bpe.encode(None) == (0, "", b"")
+    for text in ("ab" * 20_000, " " * 500, "x" * 3_000 + "é" * 3_000, "\n\n\na \n b\t \tc  \n", " a", "\u2003\u2003 a"):
+        assert np.frombuffer(bpe.encode(text), "<u2").tolist() == reference_bpe.encode_ordinary(text)
+    assert bpe.encode(None) == b""
+    assert digests(bpe, []) == [[], [], []]
 
 
-@given(text=TEXT)
+def test_memos_stay_right_when_full(reference_bpe):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("aeinrst.,é", k=rng.randint(1, 9))) for _ in range(30)) for _ in range(40)]
+    small = ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, limit=50)
+    assert [np.frombuffer(small.encode(t), "<u2").tolist() for t in texts] == [reference_bpe.encode_ordinary(t) for t in texts]
+    library, words = Tokenizer.from_file(WORDS), WordIds(WORDS, limit=50)
+    assert [np.frombuffer(w, "<u4").tolist() for w in words.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+#: A library object of our own, which the operator's code never touches.
+LIBRARY = Tokenizer.from_file(WORDS)
+
+
+@given(text=st.lists(st.one_of(TEXT, st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|"])), max_size=4).map("".join))
 @settings(max_examples=400, deadline=None)
 def test_word_ids_equal_library(text):
-    words = WordIds.load(public_tokenizers.path("word_bpe_49k.json"))
-    assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(WordIds.load(WORDS).encode([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_word_ids_of_special_strings():
+    words = WordIds.load(WORDS, 2)
+    for text in ("<|endoftext|>", "hello <|endoftext|> world", "in<|endoftext|>side", "<|startoftext|>a b", "a b<|endoftext|>"):
+        got = np.frombuffer(words.encode([text])[0], "<u2").tolist()
+        assert got == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert {49406, 49407} & set(got)
+
+
+def test_deal_of_parts():
+    deal = Deal([10, 10, 10, 20])
+    assert deal.parts([5, 11, 20, 21, None], [0] * 5).tolist() == [0, 3, 3, 4, 0]
+    assert sorted(set(deal.parts([10] * 8, list(range(8))).tolist())) == [0, 1, 2, 3]
 
 
 @given(st.integers(1, 90), st.integers(1, 5), st.integers(0, 2**32), st.integers(1, 7))

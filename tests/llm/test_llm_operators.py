@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ from lociflow.llm import op1_jaccard, op2_multi_index, op3_suffix_dedup, op4_bit
 from lociflow.llm.common import connected_components
 from lociflow.llm.op1_jaccard import jaccard_links, shingle_sets
 from lociflow.llm.op5_byte_bpe import decode_ids, encode_documents
-from lociflow.llm.op6_packing import pack_pieces, token_pieces
+from lociflow.llm.op6_packing import pack_pieces, plan_bins, token_pieces
 from lociflow.llm.op7_toxicity import fit_toxicity, held_out, score_toxicity
 from lociflow.llm.op8_token_files import read_token_files, tokenize, write_token_files
 from lociflow.llm.op10_secrets import scan_secrets
@@ -128,18 +129,43 @@ def _cut(rows):
     return {d: sorted(v) for d, v in out.items()}
 
 
+def _cut_of(df, unit, hot):
+    got = defaultdict(list)
+    for r in op3_suffix_dedup.remove_repeats(df, unit_bytes=unit, hot_windows=hot).collect():
+        got[r["rest"]["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+    return {d: sorted(v) for d, v in got.items()}
+
+
 @pytest.mark.parametrize(("unit", "hot"), [(30_000, 1024), (2_000, 2)])
-def test_suffix_dedup(spark, small, docs, monkeypatch, unit, hot):
-    monkeypatch.setattr(op3_suffix_dedup, "UNIT_BYTES", unit)
-    monkeypatch.setattr(op3_suffix_dedup, "HOT_WINDOWS", hot)
+def test_suffix_dedup(spark, small, docs, unit, hot):
     for df in (small.filter("doc_id < 60"), docs):
-        got = defaultdict(list)
-        for r in op3_suffix_dedup.remove_repeats(df).collect():
-            got[r["rest"]["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
-        assert {d: sorted(v) for d, v in got.items()} == _cut([(r["doc_id"], r["text"]) for r in df.collect()])
+        assert _cut_of(df, unit, hot) == _cut([(r["doc_id"], r["text"]) for r in df.collect()])
     assert op3_suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "clustered", "some"])
+def test_suffix_dedup_ids(spark, ids):
+    """Ids that no range can tell apart, or that are close together, with passages that many rows share."""
+    rng = random.Random(ids)
+    passage = ["".join(rng.choices("abcd ", k=n)) for n in (60, 90, 200, 49, 50)]
+    name = {"null": lambda k: None, "one": lambda k: 7, "clustered": lambda k: (10**15 if k % 9 == 0 else 0) + k // 3, "some": lambda k: None if k % 3 == 0 else k // 2}[ids]
+    rows = [(name(k), "".join(rng.choice([*passage, "".join(rng.choices("abcd ", k=30))]) for _ in range(rng.randint(0, 8)))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert _cut_of(df, 1_500, 4) == _cut(rows)
+
+
+def test_suffix_dedup_long_text(spark):
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (4_000, 7))])
+    long = " ".join(rng.choice(words, 640_000))
+    assert len(long) > 5_000_000
+    rows = [(1, long), (2, long[1_000_000:1_000_400] + " tail"), (3, long), (0, "x" + long[77_777:77_900])]
+    got = {r["rest"]["doc_id"]: r for r in op3_suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), unit_bytes=1_000_000).collect()}
+    assert (got[0]["n_removed"], got[3]["n_removed"], got[3]["kept"]) == (0, len(long), b"")
+    assert (got[1]["n_removed"], got[1]["n_spans"], bytes(got[1]["kept"])) == (123, 1, (long[:77_777] + long[77_900:]).encode())
+    assert (got[2]["n_removed"], bytes(got[2]["kept"])) == (400, b" tail")
+
+
 @pytest.mark.parametrize(("name", "query", "sql"), [("top_k", op4_bitsliced.op4_bitsliced_topk, op4_bitsliced.ORACLE), ("links", op2_multi_index.op2_embedding_links, op2_multi_index.ORACLE), ("licenses", op9_licenses.op9_license_scan, op9_licenses.ORACLE)])
 def test_against_sql(spark, name, query, sql):
     c = duckdb.connect()
@@ -165,10 +191,13 @@ def test_bpe_documents(spark, docs):
     assert got == sorted((str(d), (t or "").encode()) for d, t, _ in ROWS)
 
 
-def test_packing(spark, docs, small):
+@pytest.mark.parametrize("limits", [{}, {"broadcast_steps": 0, "ranks": 3}])
+def test_packing(spark, docs, small, limits):
     for df in (docs, small, docs.limit(0)):
         pieces = token_pieces(df, WORDS, capacity=256)
-        rows = pack_pieces(pieces, 256).collect()
+        packed = pack_pieces(pieces, 256, **limits)
+        assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+        rows = packed.collect()
         assert len(rows) == pieces.count()
         bins = defaultdict(list)
         for r in rows:
@@ -179,6 +208,8 @@ def test_packing(spark, docs, small):
                 assert offset == at
                 at += length
             assert at <= 256
+        want = plan_bins(Counter(r["length"] for r in rows), 256)
+        assert len(bins) == max((first + n for _, _, n, first, _ in want), default=0)
 
 
 def test_token_files(spark, docs, tmp_path):
