@@ -10,7 +10,7 @@ from ..errors import AlignmentError, AlleleEncodingError, PopulationMapError
 from ..functions import iupac
 from ..genotypes import GenotypeFrame
 
-__all__ = ["attach_populations", "natural_key", "numbered_lines", "read_genepop", "read_phylip", "read_popmap", "read_qmatrix", "read_site_rates", "read_structure", "read_vcf", "subset_populations", "vcf_format_fields"]
+__all__ = ["attach_populations", "natural_key", "numbered_lines", "read_genepop", "read_phylip", "read_popmap", "read_qmatrix", "read_site_rates", "read_structure", "read_vcf", "subset_populations", "vcf_format_fields", "vcf_header"]
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -31,24 +31,65 @@ def _empty_alt() -> Column:
     return F.array().cast("array<string>")
 
 
-def read_vcf(spark: SparkSession, path: str, popmap: DataFrame | None = None, force: bool = False, allele_depth: bool = True) -> GenotypeFrame:
-    """A VCF file or folder. Loci keep the fixed fields and INFO as a map and are numbered in natural order of chromosome
-    and position; a call is the code of its two bases, null if an allele is missing, half missing or no single base."""
-    lines = spark.read.text(path).select("value")
-    header = lines.filter(F.col("value").startswith("#CHROM")).first()
-    if header is None:
+def _rest(fields: Column, first: int) -> Column:
+    """Elements of an array from the ``first``-th on (from 1)."""
+    return F.slice(fields, F.lit(first), F.greatest(F.size(fields) - (first - 1), F.lit(0)))
+
+
+def _ranked(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """``lines(line_no, ..)`` with what numbers them from 0: their own numbers where none is left out, else slots."""
+    from ..operators.resampling import dense_index
+
+    facts = lines.agg(F.count("*").alias("n"), F.min("line_no").alias("low"), F.max("line_no").alias("high")).first()
+    if not facts["n"] or facts["high"] - facts["low"] + 1 == facts["n"]:
+        return lines, F.col("line_no") - F.lit(facts["low"] or 0)
+    return dense_index(lines, "line_no"), F.col("slot")
+
+
+def vcf_header(spark: SparkSession, path: str) -> list[str]:
+    """The ``##`` lines of a VCF file, or of the first file of a folder: definitions that ``write_vcf`` takes."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at")).filter(F.col("value").startswith("##"))
+    first = lines.agg(F.min("f")).first()[0]
+    return [r["value"] for r in lines.filter(F.col("f") == first).orderBy("at").collect()]  # a file's header
+
+
+def _sample_names(lines: DataFrame) -> tuple[list[str], DataFrame | None]:
+    """Sample names in the order of the first file, and where files differ in theirs, each file's own (file, names)."""
+    heads = lines.filter(F.col("value").startswith("#CHROM")).select("file", _rest(F.split("value", "\t"), 10).alias("names"))
+    found = heads.groupBy("names").agg(F.min("file").alias("file")).orderBy("file").collect()  # a row an order of names
+    if not found:
         raise AlignmentError("no #CHROM line")
-    names = header["value"].split("\t")[9:]
+    names = list(found[0]["names"])
     if len(set(names)) != len(names):
         raise AlignmentError("sample names repeat")
-    records = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"))
+    if any(sorted(r["names"]) != sorted(names) for r in found):
+        raise AlignmentError("files hold different samples")
+    return names, heads if len(found) > 1 else None
+
+
+def read_vcf(spark: SparkSession, path: str, popmap: DataFrame | None = None, force: bool = False, allele_depth: bool = True, keep_format: bool = False) -> GenotypeFrame:
+    """A VCF file or folder. Loci keep the fixed fields and INFO as a map and are numbered in natural order of chromosome
+    and position; a call is the code of its two bases, null if an allele is missing, half missing or no single base.
+
+    The files of a folder hold the same samples, in any order of their columns. ``keep_format`` keeps the other FORMAT
+    values of each cell, as text in the order of the locus' ``format``, for ``write_vcf``.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    names, by_file = _sample_names(lines)
+    records = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), "file")
+    fields = _rest(F.col("f"), 10)
+    if by_file is not None:
+        # A file's columns in the order of the first one's names.
+        place = F.transform(F.array(*map(F.lit, names)), lambda name: F.array_position("names", name).cast("int") - 1)
+        records = records.join(F.broadcast(by_file), "file")  # a row a file
+        fields = F.transform(place, lambda k: F.get(_rest(F.col("f"), 10), k))
     f = lambda k: F.get("f", k)
     keys = F.array_distinct(F.transform(F.split(f(7), ";"), lambda x: F.split_part(x, F.lit("="), F.lit(1))))
     value = lambda k: F.coalesce(F.nullif(_info_value(f(7), k), F.lit("")), F.lit("."))
     info = F.when(f(7).isin(".", ""), F.create_map().cast("map<string,string>")).otherwise(F.map_from_arrays(keys, F.transform(keys, value)))
     loci = records.select(
         f(0).alias("chrom"), f(1).cast("long").alias("pos"), f(2).alias("id"), F.upper(f(3)).alias("ref"),
-        F.filter(F.split(F.upper(f(4)), ","), lambda a: a != ".").alias("alt"), F.coalesce(f(5), F.lit(".")).alias("qual"), f(6).alias("filter"), info.alias("info"), f(8).alias("format"), F.slice("f", 10, 1_000_000).alias("fields"),
+        F.filter(F.split(F.upper(f(4)), ","), lambda a: a != ".").alias("alt"), F.coalesce(f(5), F.lit(".")).alias("qual"), f(6).alias("filter"), info.alias("info"), f(8).alias("format"), fields.alias("fields"),
     )
     from ..operators.resampling import dense_index
 
@@ -56,7 +97,12 @@ def read_vcf(spark: SparkSession, path: str, popmap: DataFrame | None = None, fo
     loci = loci.withColumn("marker_name", F.concat_ws(":", "chrom", "pos"))
     cells = loci.select("locus_idx", "ref", "alt", "format", F.posexplode("fields").alias("sample_idx", "field"))
     token = F.get(F.split("field", ":"), F.array_position(F.split("format", ":"), F.lit("GT")).cast("int") - 1)
-    calls = cells.select("locus_idx", F.col("sample_idx").cast("long").alias("sample_idx"), _vcf_call(token).alias("gt"), *([_depth().alias("depth")] if allele_depth else []))
+    more = [_depth().alias("depth")] if allele_depth else []
+    if keep_format:
+        kinds, values = F.split("format", ":"), F.split("field", ":")
+        others = F.filter(F.sequence(F.lit(0), F.size(kinds) - 1), lambda k: F.get(kinds, k) != "GT")
+        more.append(F.array_join(F.transform(others, lambda k: F.coalesce(F.get(values, k), F.lit("."))), ":").alias("extra"))
+    calls = cells.select("locus_idx", F.col("sample_idx").cast("long").alias("sample_idx"), _vcf_call(token).alias("gt"), *more)
     samples = spark.createDataFrame([(k, n, None) for k, n in enumerate(names)], "sample_idx long, sample_id string, population string")
     return attach_populations(GenotypeFrame(calls, loci.drop("fields"), samples), popmap, force)
 
@@ -64,7 +110,7 @@ def read_vcf(spark: SparkSession, path: str, popmap: DataFrame | None = None, fo
 def _info_value(text: Column, key: Column) -> Column:
     """Value of ``key=``; empty for a flag."""
     own = F.filter(F.split(text, ";"), lambda x: F.split_part(x, F.lit("="), F.lit(1)) == key)
-    return F.substring(F.get(own, 0), F.length(key) + 2, F.lit(1_000_000))
+    return F.substring(F.get(own, 0), F.length(key) + 2, F.length(text))
 
 
 def _vcf_call(token: Column) -> Column:
@@ -83,7 +129,7 @@ def _depth() -> Column:
 def vcf_format_fields(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, sample_idx, fields): FORMAT values of each cell but the genotype, as a map of strings."""
     records = spark.read.text(path).filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
-    cells = records.select(F.get("f", 0).alias("chrom"), F.get("f", 1).cast("long").alias("pos"), F.split(F.get("f", 8), ":").alias("k"), F.posexplode(F.slice("f", 10, 1_000_000)).alias("sample_idx", "v"))
+    cells = records.select(F.get("f", 0).alias("chrom"), F.get("f", 1).cast("long").alias("pos"), F.split(F.get("f", 8), ":").alias("k"), F.posexplode(_rest(F.col("f"), 10)).alias("sample_idx", "v"))
     values = F.split("v", ":")
     padded = F.concat(values, F.array_repeat(F.lit("."), F.greatest(F.size("k") - F.size(values), F.lit(0))))
     return cells.select("chrom", "pos", F.col("sample_idx").cast("long").alias("sample_idx"), F.map_filter(F.map_from_arrays("k", F.slice(padded, F.lit(1), F.size("k"))), lambda k, _: k != "GT").alias("fields"))
@@ -127,7 +173,7 @@ def read_phylip(spark: SparkSession, path: str, popmap: DataFrame | None = None,
     bad = rows.filter((F.size("t") != 2) | (F.length(F.get("t", 1)) != n_loci)).limit(1).count()
     if bad or rows.count() != n_samples:
         raise AlignmentError("sequences do not fit the header")
-    rank = F.row_number().over(Window.orderBy("line_no")) - 1  # a row a sample
+    rows, rank = _ranked(rows)
     return _matrix(spark, rows.select(rank.cast("long").alias("sample_idx"), F.get("t", 0).alias("sample_id"), F.lit(None).cast("string").alias("population"), F.split(F.get("t", 1), "").alias("codes")), popmap, force)
 
 
@@ -142,8 +188,8 @@ def read_structure(spark: SparkSession, path: str, has_popids: bool = False, has
     names = [r["value"].split()[0] for r in first[1 if has_marker_names else 0 :][:2]]
     two = len(names) > 1 and names[0] == names[1]
     skip = 2 if has_popids else 1
-    rank = F.row_number().over(Window.orderBy("line_no")) - 1  # a row or two a sample
-    rows = lines.filter(F.col("line_no") >= start).select(rank.alias("r"), F.split(F.trim("value"), r"\s+").alias("t"))
+    rows, rank = _ranked(lines.filter(F.col("line_no") >= start))
+    rows = rows.select(rank.alias("r"), F.split(F.trim("value"), r"\s+").alias("t"))
     rows = rows.select("r", F.get("t", 0).alias("sample_id"), (F.get("t", 1) if has_popids else F.lit(None).cast("string")).alias("population"), F.slice("t", F.lit(skip + 1), F.size("t")).alias("a"))
     unknown = rows.select(F.explode("a").alias("x")).filter(~F.col("x").isin(*table)).limit(1).collect()
     if unknown:
@@ -169,15 +215,17 @@ def read_genepop(spark: SparkSession, path: str, alleles: dict | None = None, po
     table = {str(k): v for k, v in (alleles or {1: "A", 2: "C", 3: "G", 4: "T"}).items()}
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     is_pop = F.upper(F.trim("value")) == "POP"
-    first = lines.filter(is_pop).agg(F.min("line_no").alias("n")).first()["n"]
-    if first is None:
+    pops = [r["line_no"] for r in lines.filter(is_pop).select("line_no").orderBy("line_no").collect()]  # a row a population
+    if not pops:
         raise AlignmentError("no POP line")
+    first = pops[0]
     head = [r["value"] for r in lines.filter(F.col("line_no") < first).orderBy("line_no").collect()][1:]
     names = [x.strip() for line in head for x in line.split(",") if x.strip()]
-    section = F.sum(is_pop.cast("int")).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))  # a row a sample
-    rows = lines.filter(F.col("line_no") >= first).withColumn("section", section).filter(~is_pop)
-    order = F.row_number().over(Window.orderBy("line_no")) - 1
-    split = rows.select(order.cast("long").alias("sample_idx"), F.concat(F.lit("Pop"), "section").alias("population"), F.trim(F.substring_index("value", ",", 1)).alias("sample_id"), F.split(F.trim(F.substring("value", F.instr("value", ",") + 1, F.lit(100_000_000))), r"\s+").alias("t"))
+    section = F.size(F.filter(F.array(*map(F.lit, pops)), lambda p: p <= F.col("line_no")))
+    rows, rank = _ranked(lines.filter(F.col("line_no") >= first))
+    # The lines of sections before a sample are not samples.
+    rows = rows.withColumn("section", section).withColumn("order", rank - F.col("section")).filter(~is_pop)
+    split = rows.select(F.col("order").cast("long").alias("sample_idx"), F.concat(F.lit("Pop"), "section").alias("population"), F.trim(F.substring_index("value", ",", 1)).alias("sample_id"), F.split(F.trim(F.substring("value", F.instr("value", ",") + 1, F.length("value"))), r"\s+").alias("t"))
     if split.filter(F.size("t") != len(names)).limit(1).count():
         raise AlignmentError("individuals do not have one genotype a marker")
 
@@ -192,21 +240,32 @@ def read_genepop(spark: SparkSession, path: str, alleles: dict | None = None, po
     return _matrix(spark, split.select("sample_idx", "sample_id", "population", F.transform("t", code).alias("codes")), popmap, force, marker)
 
 
+# Names that the columns of a population map have where there is a header.
+_SAMPLE_NAMES, _POPULATION_NAMES = ("sampleid", "sampleids"), ("populationid", "populationids", "popid", "popids")
+
+
 def read_popmap(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, population) of a two-column file, comma or white space, with or without a header; a sample's last line wins."""
+    """(sample_id, population) of a file with two columns, comma or white space; a sample's last line wins.
+
+    A first line that names one column of samples and one of populations is a header, in any order and with others.
+    """
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     tokens = F.filter(F.split(F.trim("value"), r"\s*,\s*|\s+"), lambda x: x != "")
     rows = lines.select("line_no", tokens.alias("t"))
-    # Words that tell a header.
-    words = ["sampleid", "sample_id", "sample", "samples", "populationid", "population_id", "population", "pop", "popid", "pop_id", "id"]
     first = rows.orderBy("line_no").first()
     if first is None:
         raise PopulationMapError("the population map is empty")
-    if any(x.lower() in words for x in first["t"]):
+    names = [x.lower() for x in first["t"]]
+    samples, populations = ([k for k, x in enumerate(names) if x in known] for known in (_SAMPLE_NAMES, _POPULATION_NAMES))
+    columns = 2
+    if len(samples) == len(populations) == 1:
+        columns = len(names)
         rows = rows.filter(F.col("line_no") > first["line_no"])
-    if rows.filter(F.size("t") != 2).limit(1).count():
-        raise PopulationMapError("a population map has two columns")
-    return rows.groupBy(F.get("t", 0).alias("sample_id")).agg(F.max_by(F.get("t", 1), "line_no").alias("population"))
+    else:
+        samples, populations = [0], [1]
+    if rows.filter(F.size("t") != columns).limit(1).count():
+        raise PopulationMapError(f"a line of the population map does not have {columns} columns")
+    return rows.groupBy(F.get("t", samples[0]).alias("sample_id")).agg(F.max_by(F.get("t", populations[0]), "line_no").alias("population"))
 
 
 def attach_populations(frame: GenotypeFrame, popmap: DataFrame | None, force: bool = False) -> GenotypeFrame:
@@ -262,7 +321,7 @@ def read_site_rates(spark: SparkSession, path: str, n_loci: int | None = None) -
     column = names.index("Rate") if "Rate" in names else 0
     if "Rate" in names:
         lines = lines.filter(F.col("line_no") > head["line_no"])
-    rank = F.row_number().over(Window.orderBy("line_no")) - 1  # a row a site
+    lines, rank = _ranked(lines)
     rates = lines.select(rank.cast("long").alias("locus_idx"), F.get(F.split("value", "\t"), column).cast("double").alias("rate"))
     if n_loci is not None and rates.count() != n_loci:
         raise AlignmentError("there must be one rate a locus")

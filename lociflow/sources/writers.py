@@ -23,8 +23,8 @@ def output_path(prefix: str, kind: str, operation: str | None = None) -> str:
     return str(PurePosixPath(f"{prefix}_output", kind, *([operation] if operation else [])))
 
 
-def _write_lines(lines: DataFrame, header: list[str], path: str) -> None:
-    """``lines(order.., line)`` in order, after the header, as one text file in the folder ``path``."""
+def _write_lines(lines: DataFrame, header: list[str], path: str, single: bool = True) -> None:
+    """``lines(order.., line)`` in order, after the header, as text in the folder ``path``: one file, or the parts of one in the order of their names."""
     spark = lines.sparkSession
     order = [c for c in lines.columns if c != "line"]
     body = lines.select(F.lit(1).alias("__part"), *order, "line")
@@ -32,8 +32,9 @@ def _write_lines(lines: DataFrame, header: list[str], path: str) -> None:
         top = spark.createDataFrame([(k, h) for k, h in enumerate(header)], "k long, line string")
         names = {c: F.col("k").cast(t) if t in ("bigint", "int") else F.lit(None).cast(t) for c, t in lines.select(*order).dtypes}
         body = body.unionByName(top.select(F.lit(0).alias("__part"), *[v.alias(c) for c, v in names.items()], "line"))
-    # One ordered file is the format's demand; a range sort feeds it, so no task holds all lines.
-    body.orderBy("__part", *order).select("line").coalesce(1).write.mode("overwrite").text(path)
+    # Most programs demand one file; a range sort feeds it, so that no task sorts all lines.
+    ordered = body.orderBy("__part", *order).select("line")
+    (ordered.coalesce(1) if single else ordered).write.mode("overwrite").text(path)
 
 
 def _by_sample(frame: GenotypeFrame, value: Column, join: str) -> DataFrame:
@@ -76,8 +77,12 @@ def write_genepop(frame: GenotypeFrame, path: str, title: str = "Genotypes", by_
         _write_lines(rows.select("sample_idx", "line"), [title, *markers, "Pop"], path)
 
 
-def write_vcf(frame: GenotypeFrame, path: str, header: list[str] | None = None) -> None:
-    """Fixed fields of the loci (synthetic where they have none) and a genotype a sample; calls outside ref and alts are ``./.``."""
+def write_vcf(frame: GenotypeFrame, path: str, header: list[str] | None = None, single: bool = True) -> None:
+    """Fixed fields of the loci (synthetic where they have none) and a genotype a sample; calls outside ref and alts are ``./.``.
+
+    Calls that kept their other FORMAT values (``extra``) are written with them; ``header`` takes the definitions that
+    ``vcf_header`` reads. Not ``single``: parts of the file, each written by a task of its own.
+    """
     alleles = F.concat(F.array("ref"), F.col("alt"))
     own = iupac.bases_of(F.col("gt"))
     index = lambda b: (F.array_position("alleles", b) - 1).cast("int")
@@ -85,14 +90,17 @@ def write_vcf(frame: GenotypeFrame, path: str, header: list[str] | None = None)
     known = F.size(own).between(1, 2) & (F.size(F.array_except(own, F.col("alleles"))) == 0)
     field = F.when(known, F.concat_ws("/", F.least(i, j).cast("string"), F.greatest(i, j).cast("string"))).otherwise("./.")
     cells = frame.calls.join(frame.samples.select("sample_idx"), "sample_idx", "left_semi").join(frame.loci.select("locus_idx", alleles.alias("alleles")), "locus_idx").withColumn("v", F.when(F.size(own) > 0, field).otherwise("./."))
+    kept = "extra" in cells.columns and "format" in frame.loci.columns
+    if kept:
+        cells = cells.withColumn("v", F.concat_ws(":", "v", F.nullif("extra", F.lit(""))))
     lines = cells.groupBy("locus_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "v"))), lambda x: x["v"]), "\t").alias("cells"), F.count("gt").alias("ns"))
     has = lambda c, other: sequences.clean_vcf_id(F.col(c)) if c in frame.loci.columns else other
     loci = frame.loci.join(lines, "locus_idx")
     info = F.when(F.size("info") > 0, F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"] == ".", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))), ";")).otherwise(".") if "info" in frame.loci.columns else F.concat(F.lit("NS="), F.col("ns"))
-    fixed = [F.col("chrom"), F.col("pos").cast("string"), has("id", F.concat(F.lit("locus"), F.col("locus_idx") + 1)), F.coalesce("ref", F.lit("N")), F.when(F.size("alt") > 0, F.array_join("alt", ",")).otherwise("."), has("qual", F.lit(".")), F.coalesce(F.col("filter"), F.lit("PASS")) if "filter" in frame.loci.columns else F.lit("PASS"), info, F.lit("GT"), F.col("cells")]
+    fixed = [F.col("chrom"), F.col("pos").cast("string"), has("id", F.concat(F.lit("locus"), F.col("locus_idx") + 1)), F.coalesce("ref", F.lit("N")), F.when(F.size("alt") > 0, F.array_join("alt", ",")).otherwise("."), has("qual", F.lit(".")), F.coalesce(F.col("filter"), F.lit("PASS")) if "filter" in frame.loci.columns else F.lit("PASS"), info, F.array_join(F.concat(F.array(F.lit("GT")), F.filter(F.split("format", ":"), lambda x: x != "GT")), ":") if kept else F.lit("GT"), F.col("cells")]
     names = [r["sample_id"] for r in frame.samples.orderBy("sample_idx").collect()]
     top = [h for h in header or ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'] if not h.startswith("#CHROM")]
-    _write_lines(loci.select("locus_idx", F.concat_ws("\t", *fixed).alias("line")), [*top, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])], path)
+    _write_lines(loci.select("locus_idx", F.concat_ws("\t", *fixed).alias("line")), [*top, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])], path, single)
 
 
 def write_popmap(frame: GenotypeFrame, path: str) -> None:

@@ -29,9 +29,39 @@ def test_vcf(spark, tmp_path):
     writers.write_vcf(f, str(tmp_path / "out"))
     text = spark.read.text(str(tmp_path / "out")).collect()
     assert [r[0] for r in text][4].split("\t")[3:] == ["C", "T,G", "50", "PASS", "DP=9;DB", "GT", "0/2", "./.", "./."]
-    ingest_vcf_shards(spark, str(tmp_path), str(tmp_path / "calls"), str(tmp_path / "log"))
-    ingest_vcf_shards(spark, str(tmp_path), str(tmp_path / "calls"), str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "calls")).count() == 9
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.vcf").write_text(VCF)
+    ingest_vcf_shards(spark, str(tmp_path / "in"), str(tmp_path / "calls"), str(tmp_path / "log"))
+    ingest_vcf_shards(spark, str(tmp_path / "in"), str(tmp_path / "calls"), str(tmp_path / "log"))
+    got = spark.read.parquet(str(tmp_path / "calls"))
+    assert got.count() == 9
+    # A shard with another order of columns, which comes later.
+    (tmp_path / "in" / "b.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts3\ts1\ts2\nchr1\t1\t.\tA\tG\t.\tPASS\t.\tGT\t1/1\t0/0\t0/1\n")
+    ingest_vcf_shards(spark, str(tmp_path / "in"), str(tmp_path / "calls"), str(tmp_path / "log"))
+    got = spark.read.parquet(str(tmp_path / "calls"))
+    assert {(r["sample_id"], r["gt"]) for r in got.filter("chrom = 'chr1'").collect()} == {("s1", "A"), ("s2", "R"), ("s3", "G")}
+    assert got.count() == 12
+
+
+def test_vcf_folder(spark, tmp_path_factory):
+    tmp_path, out = tmp_path_factory.mktemp("in"), tmp_path_factory.mktemp("out") / "vcf"
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "a.vcf").write_text(f"##fileformat=VCFv4.2\n##FORMAT=<ID=DP>\n{head}s1\ts2\n1\t5\t.\tA\tG\t.\tPASS\t.\tGT:DP\t0/0:3\t0/1:4\n")
+    (tmp_path / "b.vcf").write_text(f"##fileformat=VCFv4.2\n{head}s2\ts1\n1\t2\t.\tC\tT\t.\tPASS\t.\tDP:GT\t9:0/0\t8:1/1\n")
+    f = readers.read_vcf(spark, str(tmp_path), keep_format=True)
+    assert matrix(f) == ["TA", "CR"]
+    assert {(r["locus_idx"], r["sample_idx"], r["extra"]) for r in f.calls.collect()} == {(0, 0, "8"), (0, 1, "9"), (1, 0, "3"), (1, 1, "4")}
+    header = readers.vcf_header(spark, str(tmp_path))
+    assert header == ["##fileformat=VCFv4.2", "##FORMAT=<ID=DP>"]
+    for single in (True, False):
+        writers.write_vcf(f, str(out), header, single)
+        again = readers.read_vcf(spark, str(out), keep_format=True)
+        assert matrix(again) == matrix(f)
+        assert readers.vcf_header(spark, str(out)) == header
+        assert sorted(map(tuple, again.calls.select("locus_idx", "sample_idx", "extra").collect())) == sorted(map(tuple, f.calls.select("locus_idx", "sample_idx", "extra").collect()))
+    (tmp_path / "b.vcf").write_text(f"{head}s2\n1\t2\t.\tC\tT\t.\tPASS\t.\tGT\t0/0\n")
+    with pytest.raises(AlignmentError):
+        readers.read_vcf(spark, f"{tmp_path}/*.vcf")
 
 
 def test_phylip_round_trip(spark, tmp_path):
@@ -78,6 +108,22 @@ def test_popmap(spark, tmp_path):
         readers.subset_populations(f, exclude=["q"])
 
 
+@pytest.mark.parametrize(("text", "want"), [("a pop\nb q\n", {("a", "pop"), ("b", "q")}), ("sampleids popids\nx p\n", {("x", "p")}), ("PopID,note,SampleID\np,1,x\n", {("x", "p")}), ("id1,population\nid2,sample\n", {("id1", "population"), ("id2", "sample")})])
+def test_popmap_headers(spark, tmp_path, text, want):
+    (tmp_path / "m").write_text(text)
+    assert {(r["sample_id"], r["population"]) for r in readers.read_popmap(spark, str(tmp_path / "m")).collect()} == want
+
+
+def test_blank_lines(spark, tmp_path):
+    """Files whose lines are not numbered without gaps."""
+    (tmp_path / "a.phy").write_text("2 4\n\nx ACRN\n\ny GGTT\n\n")
+    assert matrix(readers.read_phylip(spark, str(tmp_path / "a.phy"))) == ["ACRN", "GGTT"]
+    (tmp_path / "a.gen").write_text("title\nL1, L2\nPop\n\na , 0101 0202\n\nPOP\nb , 0102 0303\n")
+    f = readers.read_genepop(spark, str(tmp_path / "a.gen"))
+    assert matrix(f) == ["AC", "MG"]
+    assert [r["population"] for r in f.samples.orderBy("sample_idx").collect()] == ["Pop1", "Pop2"]
+
+
 def test_rates(spark, tmp_path):
     (tmp_path / "q").write_text("Rate matrix Q:\n\n  A -1 0.2 0.3 0.5\n  C 0.1 -1 0.4 0.5\n  G 0.1 0.2 -1 0.7\n  T 0.3 0.3 0.4 -1\n")
     assert readers.read_qmatrix(spark, str(tmp_path / "q")).filter("base = 'C'").first()["G"] == 0.4
