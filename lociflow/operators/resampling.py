@@ -68,25 +68,37 @@ def jackknife_blocks(n_loci: int, block_size: int = 500) -> tuple[int, int]:
     return size, n_loci // size
 
 
+#: Ranks that a task of ``adjust_pvalues`` takes.
+RANKS = 100_000
+
+
 def adjust_pvalues(rows: DataFrame, p: str, method: str, *keys: str) -> DataFrame:
-    """``rows`` with ``p_adj``: bonferroni, holm or fdr_bh within ``keys``; a null p stays null and counts nowhere."""
+    """``rows`` with ``p_adj``: bonferroni, holm or fdr_bh within ``keys``; a null p stays null and counts nowhere.
+
+    Values get their ranks from ``dense_index``; the running extremes go through parts of ``RANKS`` ranks, and on from
+    part to part by each part's own extreme, so that no task holds all values of a key.
+    """
     if method not in ("bonferroni", "holm", "fdr_bh"):
         raise ValueError(f"unknown correction: {method}")
-    group = [*keys, F.col(p).isNull()]
-    n = F.count(p).over(Window.partitionBy(*group))
+    none = rows.filter(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double"))
+    known = dense_index(rows.filter(F.col(p).isNotNull()).withColumn("__key", F.struct(F.lit(0), *keys)), "__key", p)
+    facts = known.groupBy("__key").agg(F.count("*").alias("__n"), F.min("slot").alias("__first"))  # a row a key
+    ranked = known.join(F.broadcast(facts), "__key").withColumn("__rank", F.col("slot") - F.col("__first")).withColumn("__part", F.floor(F.col("__rank") / RANKS))
     if method == "bonferroni":
-        adjusted = F.least(F.lit(1.0), F.col(p) * n)
-    elif method == "holm":
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy(p))
-        rows = rows.withColumn("__x", F.col(p) * (n - rank + 1))
-        adjusted = F.least(F.lit(1.0), F.max("__x").over(Window.partitionBy(*group).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)))
+        ranked = ranked.withColumn("__best", F.col(p) * F.col("__n"))
     else:
-        rank = F.rank().over(Window.partitionBy(*group).orderBy(F.desc(p)))
-        same = F.count(F.lit(1)).over(Window.partitionBy(*group, p))
-        # Rank from below of the last of equal values.
-        rows = rows.withColumn("__x", F.col(p) * n / (n - rank + 1)).withColumn("__x", F.when(same > 0, F.col("__x")))
-        adjusted = F.least(F.lit(1.0), F.min("__x").over(Window.partitionBy(*group).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("p_adj", F.when(F.col(p).isNotNull(), adjusted)).drop("__x")
+        down = method == "fdr_bh"
+        # Of equal values, the last rank is the one that counts for fdr_bh, the first for holm; the running extreme spreads it.
+        value = F.col(p) * F.col("__n") / (F.col("__rank") + 1) if down else F.col(p) * (F.col("__n") - F.col("__rank"))
+        pick, order = (F.min, F.desc) if down else (F.max, F.asc)
+        within = Window.partitionBy("__key", "__part").orderBy(order("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy("__key").orderBy(order("__part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+        ranked = ranked.withColumn("__x", value)
+        parts = ranked.groupBy("__key", "__part").agg(pick("__x").alias("__e")).withColumn("__outer", pick("__e").over(before)).drop("__e")
+        ranked = ranked.withColumn("__best", pick("__x").over(within)).join(F.broadcast(parts), ["__key", "__part"])
+        ranked = ranked.withColumn("__best", (F.least if down else F.greatest)("__best", "__outer"))
+    found = ranked.withColumn("p_adj", F.least(F.lit(1.0), F.col("__best")))
+    return found.select(*rows.columns, "p_adj").unionByName(none)
 
 
 def largest_remainder(rows: DataFrame, weight: str, total: int, order: str, *by: str) -> DataFrame:

@@ -177,3 +177,21 @@ def test_significance_of_statistics(spark):
     for r in introgression.d_significance(f, list("wxyz"), "patterson", 20, 1).collect():
         assert r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)))
         assert r["p_chi2"] == pytest.approx(math.erfc(math.sqrt(r["chi2"] / 2)))
+
+
+@pytest.mark.parametrize("method", ["bonferroni", "holm", "fdr_bh"])
+def test_corrections_in_parts(spark, monkeypatch, method):
+    monkeypatch.setattr(resampling, "RANKS", 7)
+    rng = np.random.default_rng(1)
+    rows = [(str(k % 3), None if k % 11 == 0 else float(np.round(rng.random() ** 2, 2)), k) for k in range(150)]
+    got = {r["k"]: r["p_adj"] for r in resampling.adjust_pvalues(spark.createDataFrame(rows, "g string, p double, k int"), "p", method, "g").collect()}
+    assert len(got) == 150
+    for g in "012":
+        p = sorted((v, k) for h, v, k in rows if h == g and v is not None)
+        n, best = len(p), 0.0
+        for rank, (v, k) in enumerate(p):
+            if method == "holm":
+                best = max(best, v * (n - rank))
+            want = {"bonferroni": v * n, "holm": best, "fdr_bh": min(w * n / (r + 1) for r, (w, _) in enumerate(p) if r >= rank)}[method]
+            assert got[k] == pytest.approx(min(1.0, want))
+    assert all(got[k] is None for _, v, k in rows if v is None)
