@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..genotypes import GenotypeFrame
+from ..errors import ConfigurationError
+from ..genotypes import GenotypeFrame, portable_hash
 from .encodings import encode_012
 from .resampling import adjust_pvalues, chi2_tail, dense_index, jackknife_blocks, locus_weights, normal_tail
 
-__all__ = ["METHODS", "d_jackknife", "d_per_combination", "d_significance", "d_statistics", "estimability", "least_missing_samples", "role_frequencies", "significance_counts", "site_patterns"]
+__all__ = ["METHODS", "d_jackknife", "d_per_combination", "d_significance", "d_statistics", "estimability", "least_missing_samples", "role_frequencies", "select_individuals", "significance_counts", "site_patterns"]
 
 # Which patterns make each statistic, ancestral A and derived B by role (P1, P2, P3.., outgroup).
 METHODS = {
@@ -113,23 +115,46 @@ def least_missing_samples(frame: GenotypeFrame, k: int) -> DataFrame:
     return missing.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def d_per_combination(frame: GenotypeFrame, roles: list[str], method: str, individuals: int = 2, selection: str = "least_missing", seed: int = 0) -> DataFrame:
-    """Statistics of each combination of one individual a role; individuals are chosen per population first.
+def select_individuals(frame: GenotypeFrame, roles: list[str], individuals: int | None = None, selection: str | dict[str, list[str]] = "least_missing", seed: int = 0) -> DataFrame:
+    """(sample_idx, population) of the individuals that stand for each population of ``roles``.
 
-    ``selection``: least_missing, random (hash order of ``seed``) or all. Combinations are the product of the chosen few.
+    ``selection``: least_missing, random (hash order of ``seed``), all, or lists of sample names by population, each in full.
+    A population takes ``individuals`` of them at most, all if there is no such number.
     """
+    samples = frame.samples.filter(F.col("population").isin(roles))
+    if isinstance(selection, dict):
+        if set(selection) != set(roles):
+            raise ConfigurationError("individuals must be named for each population")
+        named = [(p, n) for p, names in selection.items() for n in names]
+        chosen = samples.join(F.broadcast(frame.spark.createDataFrame(named, "population string, sample_id string")), ["population", "sample_id"])
+        if not all(selection.values()) or chosen.count() != len(set(named)):
+            raise ConfigurationError("individuals that are not samples of their population")
+        return chosen.select("sample_idx", "population")
+    if selection not in ("least_missing", "random", "all"):
+        raise ConfigurationError(f"unknown selection: {selection}")
+    if individuals is not None and individuals < 1:
+        raise ConfigurationError("at least one individual is needed")
+    if selection == "all" or individuals is None:
+        return samples.select("sample_idx", "population")
     if selection == "least_missing":
-        chosen = least_missing_samples(frame, individuals)
-    elif selection == "random":
-        from ..genotypes import portable_hash
-
-        rank = F.row_number().over(Window.partitionBy("population").orderBy(portable_hash(F.col("sample_idx"), seed), "sample_idx"))
-        chosen = frame.samples.withColumn("rank", rank).filter(F.col("rank") <= individuals)
-    elif selection == "all":
-        chosen = frame.samples
-    else:
-        raise ValueError(f"unknown selection: {selection}")
-    chosen = chosen.filter(F.col("population").isin(roles)).select("sample_idx", "population")
+        return least_missing_samples(frame, individuals).filter(F.col("population").isin(roles)).select("sample_idx", "population")
+    rank = F.row_number().over(Window.partitionBy("population").orderBy(portable_hash(F.col("sample_idx"), seed), "sample_idx"))
+    return samples.withColumn("rank", rank).filter(F.col("rank") <= individuals).select("sample_idx", "population")
+
+
+#: Combinations of individuals that are compared at most: beyond, choose fewer individuals.
+MAX_COMBINATIONS = 1_000_000
+
+
+def d_per_combination(frame: GenotypeFrame, roles: list[str], method: str, individuals: int | None = 2, selection: str | dict[str, list[str]] = "least_missing", seed: int = 0) -> DataFrame:
+    """Statistics of each combination of one individual a role; individuals are chosen as in ``select_individuals``.
+
+    Combinations are the product of the chosen; more than ``MAX_COMBINATIONS`` of them are an error, not a sample.
+    """
+    chosen = select_individuals(frame, roles, individuals, selection, seed)
+    sizes = [r["count"] for r in chosen.groupBy("population").count().collect()]  # a row a population
+    if math.prod(sizes) > MAX_COMBINATIONS:
+        raise ConfigurationError(f"{math.prod(sizes)} combinations: choose fewer individuals")
     calls = encode_012(frame).join(F.broadcast(chosen), "sample_idx").filter("dosage is not null")
     joined = None
     for k, role in enumerate(roles):

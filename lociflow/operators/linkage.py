@@ -23,7 +23,7 @@ from ..shared import write_shared
 from .encodings import encode_012
 from .resampling import dense_index, largest_remainder, locus_weights, percentile_interval
 
-__all__ = ["aggregate_ld", "block_sums", "budget_allocation", "ld_bootstrap", "ld_summary", "locus_blocks", "ne_from_r2d", "two_locus_counts", "two_locus_sums", "unbiased_d", "with_statistics"]
+__all__ = ["aggregate_ld", "block_sums", "budget_allocation", "informative_share", "ld_bootstrap", "ld_summary", "locus_blocks", "ne_from_r2d", "two_locus_counts", "two_locus_sums", "unbiased_d", "with_statistics"]
 
 STATES = [f"n{k}" for k in range(9)]
 MIN_SAMPLES = 4
@@ -368,6 +368,13 @@ def ld_summary(sums: DataFrame, n_reps: int = 100, seed: int = 0, mating: str =
     return out.select("*", ne_from_r2d(F.col("r2d_upper"), mating).alias("ne_lower"), upper.alias("ne_upper"), status.alias("ne_status"))
 
 
+def informative_share(sums: DataFrame) -> DataFrame:
+    """(population, block_a, block_b, n_pairs, pair_share, signal_share): what each pair of blocks adds to a population's pairs and to its sum of D squared."""
+    total = sums.groupBy("population").agg(F.sum("n_pairs").alias("__n"), F.sum("sum_d2").alias("__s"))
+    share = lambda c, t: F.when(F.col(t) != 0, F.col(c) / F.col(t))
+    return sums.join(total, "population").select("population", "block_a", "block_b", "n_pairs", share("n_pairs", "__n").alias("pair_share"), share("sum_d2", "__s").alias("signal_share"))
+
+
 def budget_allocation(counts: DataFrame, total: int, *by: str) -> DataFrame:
     """``total`` pairs (for each value of ``by``, if given) dealt over pairs of blocks in proportion to the pairs they have."""
     sizes = counts.groupBy(*by, (F.least("block_a", "block_b") * 1000 + F.greatest("block_a", "block_b")).alias("pair")).agg(F.count("*").alias("n"))

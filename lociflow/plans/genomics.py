@@ -198,12 +198,12 @@ _add("rev_comp", lambda s, d: _docs(s, d).select("doc_id", F.md5(iupac.complemen
 
 
 def queries() -> dict:
-    from . import genomics_more  # noqa: F401
+    from . import files, genomics_more  # noqa: F401
 
     return dict(_Q)
 
 
 def oracle_sql() -> dict:
-    from . import genomics_more  # noqa: F401
+    from . import files, genomics_more  # noqa: F401
 
     return dict(_O)

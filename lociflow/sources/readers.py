@@ -245,16 +245,17 @@ _SAMPLE_NAMES, _POPULATION_NAMES = ("sampleid", "sampleids"), ("populationid", "
 
 
 def read_popmap(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, population) of a file with two columns, comma or white space; a sample's last line wins.
+    """(sample_id, population) of a file with two columns; a sample's last line wins. Commas part them if the first line has one, else white space.
 
     A first line that names one column of samples and one of populations is a header, in any order and with others.
     """
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
-    tokens = F.filter(F.split(F.trim("value"), r"\s*,\s*|\s+"), lambda x: x != "")
+    head = lines.orderBy("line_no").first()
+    if head is None:
+        raise PopulationMapError("the population map is empty")
+    tokens = F.filter(F.split(F.trim("value"), r"\s*,\s*" if "," in head["value"] else r"\s+"), lambda x: x != "")
     rows = lines.select("line_no", tokens.alias("t"))
     first = rows.orderBy("line_no").first()
-    if first is None:
-        raise PopulationMapError("the population map is empty")
     names = [x.lower() for x in first["t"]]
     samples, populations = ([k for k, x in enumerate(names) if x in known] for known in (_SAMPLE_NAMES, _POPULATION_NAMES))
     columns = 2
