@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from .errors import EmptyLocusSetError, InvalidThresholdError
 from .functions.iupac import BASES, copies, is_het
+from .shared import write_shared
 
 __all__ = ["GenotypeFrame", "portable_hash"]
 
@@ -63,6 +64,10 @@ class GenotypeFrame:
         """Calls of kept samples with their population. Samples are few next to calls, but not bounded: Spark picks the join."""
         return self.calls.join(self.samples.select("sample_idx", "population"), "sample_idx")
 
+    def stored(self) -> GenotypeFrame:
+        """The bundle with its tables written to the shared folder: what follows reads them instead of making them again."""
+        return GenotypeFrame(write_shared(self.calls, "calls"), write_shared(self.loci, "loci"), write_shared(self.samples, "samples"))
+
     def register(self) -> None:
         """Temporary views ``calls``, ``loci`` and ``samples``."""
         for name in ("calls", "loci", "samples"):
@@ -101,6 +106,8 @@ class GenotypeFrame:
     def _judged(self) -> tuple[list[tuple], list[Column]]:
         """Audit rows of the pending steps and the predicates that take effect: one job, and one more for each step that keeps none."""
         if self._found is None:
+            # A row a locus, read by every count and by what the chain keeps.
+            self._base = write_shared(self._base, "metrics") if self._pending else self._base
             rows, effective, todo, total = [], [], list(self._pending), None
             while todo:
                 sums, conjunction = [F.count("*").alias("c0")] if total is None else [F.lit(total).alias("c0")], F.lit(True)

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..genotypes import GenotypeFrame
+from ..shared import write_shared
 
 __all__ = ["BRIDGE", "bridge"]
 
@@ -44,7 +45,7 @@ _TABLES = ("supplier", "nation", "region", "part", "lineitem")
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> GenotypeFrame:
-    """The bundle: ``calls`` holds every cell, with total allele depth where there is a call."""
+    """The bundle: ``calls`` holds every cell, with total allele depth where there is a call; they are made once, in a table."""
     text = BRIDGE
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES}
     for t in _TABLES:
@@ -54,4 +55,4 @@ def bridge(spark: SparkSession, sf_dir: str) -> GenotypeFrame:
     loci = read("SELECT locus_id AS locus_idx, CAST(chrom AS STRING) AS chrom, pos, ref, alt, alt2 FROM loc")
     loci = loci.select("locus_idx", "chrom", "pos", "ref", F.when(F.col("locus_idx") % 17 == 0, F.array("alt", "alt2")).otherwise(F.array("alt")).alias("alt"), F.concat_ws(":", "chrom", "pos").alias("marker_name"))
     samples = read("SELECT sample_id AS sample_idx, CAST(sample_id AS STRING) AS sample_id, population FROM smp")
-    return GenotypeFrame(calls, loci, samples)
+    return GenotypeFrame(write_shared(calls, "bridge"), loci, samples)
