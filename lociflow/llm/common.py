@@ -5,6 +5,7 @@ Everything here is distributed: no helper collects rows of a table to the driver
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..deploy import ship
 from ..shared import drop_folder, drop_shared, shared_dir, write_shared
 
-__all__ = ["Memo", "add_columns", "connected_components", "drop_folder", "drop_shared", "local_components", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
+__all__ = ["Memo", "add_columns", "connected_components", "drop_folder", "drop_shared", "give_back", "local_components", "map_rows", "read_table", "shared_dir", "small_batches", "write_shared"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system: Python workers serve one operator after another."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes, so that what Python makes of one stays small; a row is never cut."""
     for batch in batches:
@@ -44,6 +55,7 @@ def map_rows(df: DataFrame, columns: list, schema: T.StructType, factory: Callab
         for batch in small_batches(batches):
             out = work(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -64,6 +76,7 @@ def add_columns(df: DataFrame, column: str, added: T.StructType, factory: Callab
             out = work(batch.column(place).to_pylist())
             new = [pa.array(v, f.type) for v, f in zip(out, list(arrow)[batch.num_columns :], strict=True)]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), *new], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

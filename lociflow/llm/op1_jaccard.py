@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..deploy import ship
-from .common import connected_components, local_components, map_rows, read_table, small_batches, write_shared
+from .common import connected_components, give_back, local_components, map_rows, read_table, small_batches, write_shared
 
 __all__ = ["jaccard_links", "op1_jaccard_join", "runs_for", "shingle_sets"]
 
@@ -26,8 +26,8 @@ SLACK = 4.0
 #: Splits below the first that a pair is allowed for when runs are counted.
 DEPTH = 2
 SMALL_BUCKET, TASK_BUCKET = 64, 16_384
-#: Sets, and bytes of sets, in one side of a verification task.
-CHUNK_SETS, CHUNK_BYTES = 3_072, 16_000_000
+#: Sets, and bytes of sets, in one side of a verification task, and rows of pairs that are judged at once.
+CHUNK_SETS, CHUNK_BYTES, SLICE = 3_072, 8_000_000, 256
 #: Cluster members up to which their ids are broadcast to the documents' scan.
 BROADCAST_IDS = 1_000_000
 
@@ -179,7 +179,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     flat = out.reshape(-1)
     for d in np.unique(counts[(counts > 1) & (counts < 48)]):
         groups = starts[counts == d]
-        step = max(1, 2_000_000 // (d * d))
+        step = max(1, 1_000_000 // (d * d))
         for at in range(0, len(groups), step):
             own = owner[groups[at : at + step, None] + np.arange(d)]
             pairs = (own[:, :, None] < len(left)) & (own[:, None, :] >= len(left))
@@ -200,15 +200,21 @@ def _verified(ids: np.ndarray, copies: np.ndarray, left: list[np.ndarray], right
     both = left + (right or [])
     sizes = np.array([len(s) for s in both], float)
     common = _overlaps(left, right if right is not None else left)
-    a, b = np.nonzero(common)
-    shared = common[a, b]
-    b = b + (len(left) if right is not None else 0)
-    keep = (ids[a] != ids[b]) & (shared >= threshold * (sizes[a] + sizes[b] - shared) * (1 - 1e-12))
-    a, b = a[keep], b[keep]
-    links = np.bincount(a, copies[b], len(ids))
-    if right is not None:
-        links += np.bincount(b, copies[a], len(ids))
-    root = local_components(len(ids), a, b)
+    links, forest = np.zeros(len(ids)), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    root = np.arange(len(ids))
+    # A slice of rows at a time, of whose links a forest is kept: a cluster of copies links nearly all pairs.
+    for at in range(0, len(left), SLICE):
+        a, b = np.nonzero(common[at : at + SLICE])
+        shared = common[at : at + SLICE][a, b]
+        a, b = a + at, b + (len(left) if right is not None else 0)
+        keep = (ids[a] != ids[b]) & (shared >= threshold * (sizes[a] + sizes[b] - shared) * (1 - 1e-12))
+        a, b = a[keep], b[keep]
+        links += np.bincount(a, copies[b], len(ids))
+        if right is not None:
+            links += np.bincount(b, copies[a], len(ids))
+        root = local_components(len(ids), np.concatenate([forest[0], a]), np.concatenate([forest[1], b]))
+        other = np.flatnonzero(root != np.arange(len(ids)))
+        forest = root[other], other
     some, edge = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(ids)))
     return [(int(ids[i]), None, int(links[i])) for i in some] + [(int(ids[i]), int(ids[root[i]]), 0) for i in edge]
 
@@ -331,6 +337,7 @@ def _bucket_edges(held: DataFrame, need: int, name: str) -> DataFrame:
             a, b = bucket_forest(sketches, need, np.random.default_rng(abs(key[0])))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=PAIR.names)
+        give_back()
 
     sent = held.select("path", "i", "j", "rep", "mins").repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
     return write_shared(sent.mapInArrow(run, PAIR), name)
@@ -378,6 +385,7 @@ def _verify(rows: DataFrame, reps: DataFrame, clusters: DataFrame, threshold: fl
             found = _verified(ids, copies, decode(left), None if i == j else decode(right), threshold)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=FOUND.names)
+        give_back()
 
     return spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, FOUND)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..deploy import ship
-from .common import read_table
+from .common import give_back, read_table
 from .suffix_groups import suffix_array, suffix_arrays
 
 __all__ = ["Units", "Windows", "first_orders", "op3_suffix_dedup", "remove_repeats"]
@@ -460,13 +460,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     steps = Units(max(1, -(-total // unit_bytes)), ranges, alone, hot_windows)
     kinds = [T.LongType()] * 3 + [T.StringType(), T.StringType() if as_text else T.BinaryType()]
     out = T.StructType([*(T.StructField(c, k) for c, k in zip(CUT, kinds, strict=True)), T.StructField("rest", units.schema["rest"].dataType)])
+
+    def run(step, *tables, **options):
+        made = step(*tables, **options)
+        give_back()
+        return made
+
     # Functions of the steps, as Spark tells the number of tables by the signature.
-    told = units.groupBy("unit").applyInArrow(lambda docs: steps.tell(docs), KEYS)
-    shared = told.groupBy("bucket").applyInArrow(lambda rows: steps.judge(rows), SHARED)
-    sent = units.groupBy("unit").cogroup(shared.groupBy("unit")).applyInArrow(lambda docs, shared: steps.send(docs, shared), PIECES)
-    sorted_ = sent.groupBy("bucket").applyInArrow(lambda rows: steps.sort(rows), SHARED)
+    told = units.groupBy("unit").applyInArrow(lambda docs: run(steps.tell, docs), KEYS)
+    shared = told.groupBy("bucket").applyInArrow(lambda rows: run(steps.judge, rows), SHARED)
+    sent = units.groupBy("unit").cogroup(shared.groupBy("unit")).applyInArrow(lambda docs, shared: run(steps.send, docs, shared), PIECES)
+    sorted_ = sent.groupBy("bucket").applyInArrow(lambda rows: run(steps.sort, rows), SHARED)
     answers = shared.unionByName(sorted_)
-    return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(lambda docs, shared: steps.cut(docs, shared, as_text), out)
+    return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(lambda docs, shared: run(steps.cut, docs, shared, as_text=as_text), out)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -46,15 +47,16 @@ class LevenshteinTrie:
 
     A state is the set of (trie node, edits so far) that some spelling of an entry may be in. Each state and letter is
     worked out once and then remembered, so a word costs a look-up a letter, and most words die after a few. An entry
-    allows one edit, two from 8 letters on. ``stems`` are entries that one letter more at least must follow.
+    allows one edit, two from 8 letters on. ``stems`` are entries that one letter more at least must follow. What is
+    remembered is forgotten at ``limit`` steps or ``limit_bytes`` of states; a state is packed, as there are many.
     """
 
-    def __init__(self, weights: dict[str, float], limit: int = 200_000, stems: dict[str, float] | None = None):
+    def __init__(self, weights: dict[str, float], limit: int = 200_000, stems: dict[str, float] | None = None, limit_bytes: int = 32_000_000):
         self.children: list[dict[str, int]] = [{}]
         self.weight: list[float | None] = [None]
         #: What follows a stem: a node that any letter leads to, and stays in.
         self.tail: list[int] = [0]
-        self.own, self.reach, self.limit = [0], [0], limit
+        self.own, self.reach, self.limit, self.limit_bytes = [0], [0], limit, limit_bytes
         for word, weight in weights.items():
             at, allowed = self._insert(word)
             self.weight[at], self.own[at] = weight, allowed
@@ -85,8 +87,9 @@ class LevenshteinTrie:
         return at, allowed
 
     def _forget(self) -> None:
-        self.ids: dict[frozenset, int] = {frozenset(): 0}
-        self.states: list[frozenset] = [frozenset()]
+        self.ids: dict[bytes, int] = {b"": 0}
+        self.states: list[bytes] = [b""]
+        self.size = 0
         self.steps: dict[tuple[int, str], int] = {}
         self.best: list[float | None] = [None]
         self.start = self._state({0: 0} if self.reach[0] else {})
@@ -102,11 +105,12 @@ class LevenshteinTrie:
                 if e + 1 <= self.reach[child] and e + 1 < edits.get(child, 99):
                     edits[child] = e + 1
                     todo.append((child, e + 1))
-        key = frozenset(edits.items())
+        key = array("Q", sorted(node << 2 | e for node, e in edits.items())).tobytes()
         if key not in self.ids:
             self.ids[key] = len(self.states)
             self.states.append(key)
-            self.best.append(max((self.weight[n] for n, e in key if self.weight[n] is not None and e <= self.own[n]), default=None))
+            self.size += len(key)
+            self.best.append(max((self.weight[n] for n, e in edits.items() if self.weight[n] is not None and e <= self.own[n]), default=None))
         return self.ids[key]
 
     def _step(self, state: int, char: str) -> int:
@@ -116,7 +120,8 @@ class LevenshteinTrie:
             if e <= self.reach[node] and e < edits.get(node, 99):
                 edits[node] = e
 
-        for node, e in self.states[state]:
+        for code in array("Q", self.states[state]):
+            node, e = code >> 2, code & 3
             put(node, e + 1)
             if self.tail[node]:
                 put(self.tail[node], e)
@@ -126,7 +131,7 @@ class LevenshteinTrie:
 
     def find(self, word: str) -> float | None:
         """The heaviest entry that the word may be a spelling of."""
-        if len(self.steps) > self.limit:
+        if len(self.steps) > self.limit or self.size > self.limit_bytes:
             self._forget()
         state, steps = self.start, self.steps
         for c in word:
@@ -139,6 +144,18 @@ class LevenshteinTrie:
         return self.best[state]
 
 
+#: The last trie of this process, by its entries: copies of a lexicon and its variants have one.
+_TRIE: dict[tuple, LevenshteinTrie] = {}
+
+
+def _trie(words: dict[str, float], stems: dict[str, float]) -> LevenshteinTrie:
+    key = (frozenset(words.items()), frozenset(stems.items()))
+    if key not in _TRIE:
+        _TRIE.clear()
+        _TRIE[key] = LevenshteinTrie(words, stems=stems)
+    return _TRIE[key]
+
+
 @dataclass
 class Lexicon:
     """Whole words and stems with weights. ``find`` gives a word's (weight, kind), kinds: 0 word, 1 stem, 2 misspelling of either.
@@ -157,7 +174,7 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         long = lambda entries: {t: v for t, v in entries.items() if len(t) >= MIN_FUZZY}
-        self.trie = LevenshteinTrie(long(self.covered | self.words), stems=long(self.covered_stems | self.stems))
+        self.trie = _trie(long(self.covered | self.words), long(self.covered_stems | self.stems))
 
     def __getstate__(self) -> dict:
         return {"words": self.words, "stems": self.stems, "covered": self.covered, "covered_stems": self.covered_stems, "known": self.known}
@@ -168,7 +185,7 @@ class Lexicon:
     def find(self, word: str) -> tuple[float, int] | None:
         if word in self.memo:
             return self.memo[word]
-        if len(self.memo) > 300_000:
+        if len(self.memo) > 200_000:
             self.memo.clear()
         out = None
         if word in self.words:
