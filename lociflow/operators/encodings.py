@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import ConfigurationError
 from ..functions import iupac
 from ..genotypes import GenotypeFrame
 
-__all__ = ["decode_012", "encode_012", "encode_int", "encode_onehot", "observed_bases", "predicates", "reference_alleles", "reference_alleles_by_homozygotes", "two_channel"]
+__all__ = ["decode_frame", "decode_012", "encode_012", "encode_int", "encode_onehot", "observed_bases", "predicates", "reference_alleles", "reference_alleles_by_homozygotes", "resolved_alleles", "two_channel", "with_calls"]
 
 
 def _kept(frame: GenotypeFrame) -> DataFrame:
@@ -34,6 +35,41 @@ def decode_012(dosages: DataFrame, loci: DataFrame) -> DataFrame:
     return joined.select("locus_idx", "sample_idx", F.coalesce(gt, F.lit("N")).alias("gt"))
 
 
+def resolved_alleles(frame: GenotypeFrame) -> DataFrame:
+    """(locus_idx, ref, alt): one base each for decoding. A base of the locus stays; an ambiguous code gives the most frequent of
+    its bases in the calls, then the first by name; what is lacking comes from the calls' bases by their number."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("copies")).alias("n"), "base")))
+    seen = _base_rows(frame).groupBy("locus_idx").agg(F.transform(ranked, lambda x: x["base"]).alias("seen"))
+    loci = frame.loci.select("locus_idx", "ref", F.get("alt", 0).alias("alt")).join(seen, "locus_idx", "left")
+    bases = F.coalesce("seen", F.array().cast("array<string>"))
+
+    def pick(code: Column, other: Column | None) -> Column:
+        own = F.coalesce(iupac.bases_of(code), F.array().cast("array<string>"))
+        first = F.get(F.concat(F.filter(bases, lambda b: F.array_contains(own, b)), own), 0)
+        left = F.filter(bases, lambda b: F.coalesce(b != other, F.lit(True))) if other is not None else bases
+        return F.coalesce(first, F.get(left, 0))
+
+    loci = loci.withColumn("ref", pick(F.col("ref"), None))
+    return loci.select("locus_idx", "ref", pick(F.col("alt"), F.col("ref")).alias("alt"))
+
+
+def decode_frame(frame: GenotypeFrame, dosages: DataFrame) -> DataFrame:
+    """Codes of ``dosages(locus_idx, sample_idx, dosage)`` with the resolved alleles of the frame's loci."""
+    return decode_012(dosages, resolved_alleles(frame).withColumn("alt", F.array("alt")))
+
+
+def with_calls(frame: GenotypeFrame, rows: DataFrame, value: str, kind: str) -> GenotypeFrame:
+    """The frame with its calls replaced by decoded ``rows(locus_idx, sample_idx, value)``; ``kind``: 012, onehot, int or code."""
+    if kind == "012":
+        made = decode_frame(frame, rows.withColumnRenamed(value, "dosage"))
+    else:
+        decoders = {"onehot": iupac.onehot_to_code, "int": iupac.int_to_code, "code": iupac.normalise}
+        if kind not in decoders:
+            raise ConfigurationError(f"unknown encoding: {kind}")
+        made = rows.select("locus_idx", "sample_idx", decoders[kind](F.col(value)).alias("gt"))
+    return GenotypeFrame(made.withColumn("gt", F.when(F.col("gt") != "N", F.col("gt"))), frame.loci, frame.samples)
+
+
 def encode_onehot(frame: GenotypeFrame, het_value: float = 1.0) -> DataFrame:
     if not 0 < het_value <= 1:
         raise ValueError("het_value must be in (0, 1]")

@@ -14,7 +14,7 @@ from ..genotypes import GenotypeFrame, portable_hash
 from .encodings import encode_012
 from .resampling import adjust_pvalues, chi2_tail, dense_index, jackknife_blocks, locus_weights, normal_tail
 
-__all__ = ["METHODS", "d_jackknife", "d_per_combination", "d_significance", "d_statistics", "estimability", "least_missing_samples", "role_frequencies", "select_individuals", "significance_counts", "site_patterns"]
+__all__ = ["METHODS", "combination_table", "d_jackknife", "d_per_combination", "d_significance", "d_statistics", "estimability", "least_missing_samples", "role_frequencies", "select_individuals", "significance_counts", "site_patterns"]
 
 # Which patterns make each statistic, ancestral A and derived B by role (P1, P2, P3.., outgroup).
 METHODS = {
@@ -172,6 +172,14 @@ def significance_counts(rows: DataFrame, raw: str = "p", bonferroni: str = "p_bo
     return rows.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
 
 
+def combination_table(rows: DataFrame, method: str) -> DataFrame:
+    """Long rows (method, combination, statistic, value) for plots: each combination once, those without any value left out."""
+    names = list(METHODS[method])
+    known = rows.filter(F.coalesce(*[F.nanvl(F.col(n), F.lit(None).cast("double")) for n in names]).isNotNull()).dropDuplicates(["combination"])
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.col(n).alias("value")) for n in names)))
+    return known.select(F.lit(method).alias("method"), "combination", pairs.alias("x")).select("method", "combination", "x.*")
+
+
 def estimability(rows: DataFrame, *statistics: str) -> DataFrame:
     """Rows without a value, by statistic."""
     return rows.agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in statistics))

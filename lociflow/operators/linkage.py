@@ -23,7 +23,7 @@ from ..shared import write_shared
 from .encodings import encode_012
 from .resampling import dense_index, largest_remainder, locus_weights, percentile_interval
 
-__all__ = ["aggregate_ld", "block_sums", "budget_allocation", "informative_share", "ld_bootstrap", "ld_summary", "locus_blocks", "ne_from_r2d", "two_locus_counts", "two_locus_sums", "unbiased_d", "with_statistics"]
+__all__ = ["aggregate_ld", "block_shares", "block_sums", "budget_allocation", "informative_share", "ld_bootstrap", "ld_summary", "locus_blocks", "ne_from_r2d", "two_locus_counts", "two_locus_sums", "unbiased_d", "with_r2", "with_statistics"]
 
 STATES = [f"n{k}" for k in range(9)]
 MIN_SAMPLES = 4
@@ -368,7 +368,18 @@ def ld_summary(sums: DataFrame, n_reps: int = 100, seed: int = 0, mating: str =
     return out.select("*", ne_from_r2d(F.col("r2d_upper"), mating).alias("ne_lower"), upper.alias("ne_upper"), status.alias("ne_status"))
 
 
-def informative_share(sums: DataFrame) -> DataFrame:
+def informative_share(statistics: DataFrame) -> DataFrame:
+    """(population, n_pairs, informative): the share of pairs whose pi2 is not zero."""
+    fine = statistics.filter((F.col("n") >= MIN_SAMPLES) & ~F.isnan("pi2"))
+    return fine.groupBy("population").agg(F.count("*").alias("n_pairs"), F.avg((F.col("pi2") != 0).cast("double")).alias("informative"))
+
+
+def with_r2(statistics: DataFrame) -> DataFrame:
+    """Pairs with ``r2_star``, their D squared over pi2."""
+    return statistics.withColumn("r2_star", F.when(F.col("pi2") != 0, F.col("d2") / F.col("pi2")))
+
+
+def block_shares(sums: DataFrame) -> DataFrame:
     """(population, block_a, block_b, n_pairs, pair_share, signal_share): what each pair of blocks adds to a population's pairs and to its sum of D squared."""
     total = sums.groupBy("population").agg(F.sum("n_pairs").alias("__n"), F.sum("sum_d2").alias("__s"))
     share = lambda c, t: F.when(F.col(t) != 0, F.col(c) / F.col(t))

@@ -11,7 +11,7 @@ from ..genotypes import GenotypeFrame
 
 __all__ = [
     "allele_summary", "bootstrap_summary", "convergence_summary", "genotype_distribution", "het_rate_locus", "het_rate_sample", "heterozygosity", "heterozygosity_per_population",
-    "missing_per_locus", "missing_per_population", "missing_per_population_locus", "missing_per_sample", "missing_summary", "pooled_ratio", "population_sizes", "token_audit",
+    "missing_per_locus", "missing_per_population", "missing_per_population_locus", "missing_per_population_sample", "missing_per_sample", "missing_summary", "pooled_ratio", "population_sizes", "token_audit",
 ]
 
 
@@ -36,6 +36,11 @@ def missing_per_population_locus(frame: GenotypeFrame) -> DataFrame:
     return _missing(frame, "population", "locus_idx")
 
 
+def missing_per_population_sample(frame: GenotypeFrame) -> DataFrame:
+    """(population, sample_idx, locus_idx, missing) of the cells without a call, as the long form of a table of flags."""
+    return frame.with_population().filter("gt is null").select("population", "sample_idx", "locus_idx", F.lit(True).alias("missing"))
+
+
 def missing_summary(frame: GenotypeFrame, digits: int = 4) -> DataFrame:
     """Mean, median and maximum of each missingness table; all tables from one pass by grouping sets."""
     calls = frame.with_population().withColumn("m", F.col("gt").isNull().cast("int"))
@@ -168,8 +173,24 @@ def pooled_ratio(rows: DataFrame, top: str, bottom: str, *keys: str) -> DataFram
     return sums.select(*keys, "n", r.alias("ratio"), se.alias("se"))
 
 
-def rolling_mean(rows: DataFrame, value: str, order: str, *keys: str, width: int = 5) -> DataFrame:
-    """Centred rolling mean; null where the window is not full."""
+def rolling_mean(rows: DataFrame, value: str, order: str, *keys: str, width: int = 5, interpolate: bool = False, every: int = 1) -> DataFrame:
+    """Centred rolling mean; null where the window is not full.
+
+    ``interpolate`` fills gaps on the line between the means around them (at an end, with the nearest one); ``every`` keeps
+    each so many-th row, the first included.
+    """
     half = width // 2
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)
-    return rows.withColumn("rolling", F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
+    own = Window.partitionBy(*keys).orderBy(order)
+    w = own.rowsBetween(-half, half)
+    out = rows.withColumn("rolling", F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
+    if not interpolate and every == 1:
+        return out
+    out = out.withColumn("__row", F.row_number().over(own) - 1)
+    if interpolate:
+        there = F.when(F.col("rolling").isNotNull(), F.struct(F.col("__row").alias("at"), F.col("rolling").alias("v")))
+        out = out.withColumn("__a", F.last(there, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn("__b", F.first(there, ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing)))
+        a, b = F.col("__a"), F.col("__b")
+        line = a["v"] + (b["v"] - a["v"]) * (F.col("__row") - a["at"]) / (b["at"] - a["at"])
+        out = out.withColumn("rolling", F.coalesce("rolling", line, a["v"], b["v"])).drop("__a", "__b")
+    return out.filter(F.col("__row") % every == 0).drop("__row")

@@ -12,7 +12,7 @@ from ..shared import _path, shared_dir
 from ..sources import readers, writers
 from ..streaming.ingest import ingest_vcf_shards
 from .bridge import bridge
-from .genomics import _COPIES, _add
+from .genomics import _CHAIN, _COPIES, METRICS, _add
 
 
 def _folder(spark: SparkSession, kind: str) -> str:
@@ -100,3 +100,14 @@ def _report(s, d, kind: str):
 
 for _kind in ("csv", "json"):
     _add(f"report_{_kind}", lambda s, d, k=_kind: _report(s, d, k), "SELECT population, count(*) AS n, max(sample_id) AS last FROM smp GROUP BY 1")
+
+
+def _saved(s, d):
+    """Filtered, saved over the whole bundle, and loaded."""
+    path = _folder(s, "bundle")
+    writers.save_frame(bridge(s, d), path)
+    writers.save_frame(readers.load_frame(s, path).filter_missing(0.3).filter_maf(0.05).filter_biallelic().filter_singletons().resolve(), path)
+    return readers.load_frame(s, path).calls.groupBy("locus_idx").agg(F.count("gt").alias("n_called"))
+
+
+_add("bundle_saved_again", _saved, _CHAIN + "SELECT locus_id AS locus_idx, c AS n_called FROM s4", METRICS)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..genotypes import portable_hash
 from ..functions.two_locus import sql_terms as two_locus_sql
-from ..operators import distances, introgression, linkage, outliers, resampling
+from ..operators import distances, encodings, introgression, linkage, outliers, resampling, statistics
 from .bridge import bridge
 from .genomics import HASH, _add, _rounded
 
@@ -316,3 +316,25 @@ for _name, _kind, _column, _alpha in (("fst_outliers_permutation", None, "p", 0.
         _OUT + f" SELECT locus_id AS locus_idx, pop1 || '_' || pop2 AS population_pair, round(fst, 6) AS fst, round({_column}, 6) AS q_value FROM qv WHERE {_column} <= {_alpha}",
     )
 _add("pca_scores", lambda s, d: outliers.pca(bridge(s, d), 2))
+
+# -- plot data and round trips of encodings --------------------------------------------------------------------------------
+_add("missing_cells", lambda s, d: statistics.missing_per_population_sample(bridge(s, d)), "SELECT population, sample_id AS sample_idx, locus_id AS locus_idx, true AS missing FROM calls WHERE gt IS NULL")
+_add(
+    "rolling_missing",
+    lambda s, d: _rounded(statistics.rolling_mean(bridge(s, d).calls.groupBy("locus_idx").agg(F.avg(F.col("gt").isNull().cast("double")).alias("m")), "m", "locus_idx", interpolate=True, every=50), "m", "rolling"),
+    """, m AS (SELECT locus_id, avg((gt IS NULL)::INT) AS m FROM calls GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY locus_id) - 1 AS i, CASE WHEN count(*) OVER w = 5 THEN avg(m) OVER w END AS v FROM m WINDOW w AS (ORDER BY locus_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    e AS (SELECT min_by(v, i) AS lo, max_by(v, i) AS hi FROM r WHERE v IS NOT NULL) SELECT locus_id AS locus_idx, round(m, 6) AS m, round(coalesce(v, CASE WHEN i < 2 THEN lo ELSE hi END), 6) AS rolling FROM r, e WHERE i % 50 = 0""",
+)
+for _kind, _encode, _value in (("012", encodings.encode_012, "dosage"), ("onehot", encodings.encode_onehot, "onehot"), ("int", encodings.encode_int, "code")):
+    # Dosages know one alternative: two different ones decode as the first.
+    _gt = "gt" if _kind != "012" else "CASE WHEN gt IS NULL THEN NULL WHEN a1 = ref AND a2 = ref THEN ref WHEN a1 = ref OR a2 = ref THEN substr('ACMGRSVTWYHKDBN', {0} | {1}, 1) ELSE alt END AS gt".format(*(_M.format(x) for x in ("ref", "alt")))
+    _add(
+        f"calls_from_{_kind}",
+        lambda s, d, k=_kind, e=_encode, v=_value: encodings.with_calls(bridge(s, d), e(bridge(s, d)), v, k).calls.select("locus_idx", "sample_idx", "gt"),
+        f" SELECT locus_id AS locus_idx, sample_id AS sample_idx, {_gt} FROM (SELECT c.locus_id, c.sample_id, c.a1, c.a2, c.gt, l.ref, l.alt FROM calls c JOIN loc l USING (locus_id))",
+    )
+_add(
+    "ld_informative_share",
+    lambda s, d: _rounded(linkage.informative_share(linkage.with_statistics(_all_counts(s, d))), "informative"),
+    _FULL + " SELECT population, count(*) AS n_pairs, round(avg((pi2 <> 0)::INT), 6) AS informative FROM us WHERE n >= 4 GROUP BY 1",
+)

@@ -88,6 +88,7 @@ class PopGen:
             out["jackknife"] = introgression.d_jackknife(frame, roles, method, block_size)
         if per_combination:
             out["combinations"] = introgression.d_per_combination(frame, roles, method, selection="all")
+            out["combination_table"] = introgression.combination_table(out["combinations"], method)
             out["estimability"] = introgression.estimability(out["combinations"], *introgression.METHODS[method])
         return out
 
@@ -98,8 +99,11 @@ class PopGen:
         """Unbiased linkage moments and effective size with intervals; ``pairwise`` gives each pair's statistics too."""
         options = {"populations": populations, "groups": groups, "n_blocks": n_blocks, "seed": seed, "assume_unlinked": assume_unlinked, "max_pairs": max_pairs, "overall": overall, "blocks": blocks}
         sums = write_shared(linkage.two_locus_sums(self.frame, **options), "linkage")
-        out = {"blocks": sums, "summary": linkage.ld_summary(sums, n_reps, seed, mating, bootstrap), "bootstrap": linkage.ld_bootstrap(sums, n_reps, seed, bootstrap), "shares": linkage.informative_share(sums)}
-        return out | ({"pairs": linkage.with_statistics(linkage.two_locus_counts(self.frame, **options))} if pairwise else {})
+        out = {"blocks": sums, "summary": linkage.ld_summary(sums, n_reps, seed, mating, bootstrap), "bootstrap": linkage.ld_bootstrap(sums, n_reps, seed, bootstrap), "shares": linkage.block_shares(sums)}
+        if pairwise:
+            pairs = linkage.with_r2(linkage.with_statistics(linkage.two_locus_counts(self.frame, **options)))
+            out |= {"pairs": pairs, "informative": linkage.informative_share(pairs)}
+        return out
 
     def outliers(self, method: str = "permutation", correction: str | None = None, alpha: float = 0.05, n_reps: int = 1000, seed: int = 0, neighbours: int = 5) -> dict[str, DataFrame]:
         """Loci of outlying Fst and the pairs of populations in which they are; ``method``: permutation or neighbours."""

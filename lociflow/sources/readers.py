@@ -10,7 +10,7 @@ from ..errors import AlignmentError, AlleleEncodingError, PopulationMapError
 from ..functions import iupac
 from ..genotypes import GenotypeFrame
 
-__all__ = ["attach_populations", "natural_key", "numbered_lines", "read_genepop", "read_phylip", "read_popmap", "read_qmatrix", "read_site_rates", "read_structure", "read_vcf", "subset_populations", "vcf_format_fields", "vcf_header"]
+__all__ = ["attach_populations", "load_frame", "natural_key", "numbered_lines", "read_genepop", "read_phylip", "read_popmap", "read_qmatrix", "read_site_rates", "read_structure", "read_vcf", "subset_populations", "vcf_format_fields", "vcf_header"]
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -284,6 +284,11 @@ def attach_populations(frame: GenotypeFrame, popmap: DataFrame | None, force: bo
     return GenotypeFrame(frame.calls.join(samples.select("sample_idx"), "sample_idx", "left_semi"), frame.loci, samples)
 
 
+def load_frame(spark: SparkSession, path: str) -> GenotypeFrame:
+    """A bundle of ``save_frame``."""
+    return GenotypeFrame(*(spark.read.parquet(f"{path}/{name}") for name in ("calls", "loci", "samples")))
+
+
 def subset_populations(frame: GenotypeFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> GenotypeFrame:
     """Include first, then exclude; a population in both, or nothing left, raises."""
     if set(include or []) & set(exclude or []):

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import iupac, sequences
 from ..genotypes import GenotypeFrame
+from ..shared import _path
 
-__all__ = ["output_path", "write_genepop", "write_phylip", "write_popmap", "write_report", "write_structure", "write_vcf"]
+__all__ = ["output_path", "save_frame", "write_genepop", "write_phylip", "write_popmap", "write_report", "write_structure", "write_vcf"]
 
 
 def output_path(prefix: str, kind: str, operation: str | None = None) -> str:
@@ -103,6 +104,18 @@ def write_vcf(frame: GenotypeFrame, path: str, header: list[str] | None = None,
     _write_lines(loci.select("locus_idx", F.concat_ws("\t", *fixed).alias("line")), [*top, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])], path, single)
 
 
+def save_frame(frame: GenotypeFrame, path: str) -> None:
+    """The bundle as Parquet tables below ``path``: calls and loci that are kept, and samples. An older bundle there is replaced as a whole."""
+    spark = frame.spark
+    fresh, target = f"{path}.new", path
+    kept = frame.calls.join(frame.loci.select("locus_idx"), "locus_idx", "left_semi").join(frame.samples.select("sample_idx"), "sample_idx", "left_semi")
+    for name, table in (("calls", kept), ("loci", frame.loci), ("samples", frame.samples)):
+        table.write.mode("overwrite").parquet(f"{fresh}/{name}")
+    old, files = _path(spark, target)
+    files.delete(old, True)
+    files.rename(_path(spark, fresh)[0], old)
+
+
 def write_popmap(frame: GenotypeFrame, path: str) -> None:
     """``sample,population`` lines by population."""
     _write_lines(frame.samples.select("population", "sample_idx", F.concat_ws(",", "sample_id", "population").alias("line")), [], path)

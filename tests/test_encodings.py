@@ -1,8 +1,10 @@
 from __future__ import annotations
 
-from helpers import frame_of
+import pytest
+from helpers import frame_of, matrix
 from pyspark.sql import functions as F
 
+from lociflow.errors import ConfigurationError
 from lociflow.functions import iupac, sequences
 from lociflow.operators import encodings
 
@@ -43,3 +45,14 @@ def test_sequences(spark):
     assert tuple(got[2]) == (None, None, None)
     row = spark.range(1).select(sequences.safe_divide(F.lit(1), F.lit(0)).alias("a"), sequences.safe_divide(F.lit(1), F.lit(4)).alias("b"), sequences.allele_counts(F.array(F.lit("A"), F.lit("M"), F.lit("C"), F.lit("C"))).alias("c"), sequences.n_alleles(F.array(F.lit("A"), F.lit("V"))).alias("d")).first()
     assert tuple(row) == (None, 0.25, ["C", "A"], 3)
+
+
+def test_resolved_alleles(spark):
+    """Bases stay; an ambiguous code gives its most frequent base; what is lacking comes from the calls."""
+    rows = ["AGACN", "RGACN", "GTAMN", "GTCAN"]
+    f = frame_of(spark, rows, ref="ARNCN", alt=[["G"], ["K"], [], ["A"], []])
+    got = {r["locus_idx"]: (r["ref"], r["alt"]) for r in encodings.resolved_alleles(f).collect()}
+    assert {k: got[k] for k in range(4)} == {0: ("A", "G"), 1: ("G", "T"), 2: ("A", "C"), 3: ("C", "A")}
+    with pytest.raises(ConfigurationError):
+        encodings.with_calls(f, f.calls, "gt", "other")
+    assert matrix(encodings.with_calls(f, encodings.encode_int(f), "code", "int")) == rows
