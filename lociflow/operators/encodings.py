@@ -44,10 +44,10 @@ def resolved_alleles(frame: GenotypeFrame) -> DataFrame:
     bases = F.coalesce("seen", F.array().cast("array<string>"))
 
     def pick(code: Column, other: Column | None) -> Column:
-        own = F.coalesce(iupac.bases_of(code), F.array().cast("array<string>"))
-        first = F.get(F.concat(F.filter(bases, lambda b: F.array_contains(own, b)), own), 0)
-        left = F.filter(bases, lambda b: F.coalesce(b != other, F.lit(True))) if other is not None else bases
-        return F.coalesce(first, F.get(left, 0))
+        free = lambda b: F.coalesce(b != other, F.lit(True)) if other is not None else F.lit(True)
+        own = F.filter(F.coalesce(iupac.bases_of(code), F.array().cast("array<string>")), free)
+        left = F.filter(bases, free)
+        return F.coalesce(F.get(F.concat(F.filter(left, lambda b: F.array_contains(own, b)), own), 0), F.get(left, 0))
 
     loci = loci.withColumn("ref", pick(F.col("ref"), None))
     return loci.select("locus_idx", "ref", pick(F.col("alt"), F.col("ref")).alias("alt"))
