@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import pickle
 import random
 from collections import Counter, defaultdict
@@ -279,9 +278,6 @@ def test_local_components(links):
     assert root.tolist() == [min(reach[i]) for i in range(16)]
 
 
-assert itertools and random
-
-
 def test_placeholder_beside_a_key():
     key = "9fK2mQ7xLp4Zt8Rw3Vb6Yc1N"
     for text in (f"example_client_id={key}", f"examples/cfg/{key}", f"{key}/xxxx"):

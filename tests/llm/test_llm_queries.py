@@ -283,3 +283,43 @@ def test_pipeline_runs(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].__fields__)
     assert None in {r["doc_id"] for r in rows}
+
+
+def _all_links(texts):
+    """Ids of documents with their number of links, by an exact join: two sets of Jaccard 0.8 share one of the rarest fifth of their tokens."""
+    sets = {k: set(s.tolist()) for k, s in enumerate(shingle_sets([t for _, t in texts]))}
+    counts = Counter(x for s in sets.values() for x in s)
+    classes = defaultdict(list)
+    for k, s in sets.items():
+        if s and texts[k][0] is not None:
+            classes[frozenset(s)].append(k)
+    members = list(classes)
+    by_token, links = defaultdict(list), Counter()
+    for c, s in enumerate(members):
+        for k in classes[s]:
+            links[k] += len(classes[s]) - 1
+        seen = set()
+        for x in sorted(s, key=lambda x: (counts[x], x))[: len(s) - math.ceil(0.8 * len(s)) + 1]:
+            seen.update(by_token[x])
+            by_token[x].append(c)
+        for o in seen:
+            both = len(s & members[o])
+            if both >= 0.8 * (len(s) + len(members[o]) - both):
+                for k in classes[s]:
+                    links[k] += len(classes[members[o]])
+                for k in classes[members[o]]:
+                    links[k] += len(classes[s])
+    return links
+
+
+@pytest.mark.parametrize("scale", ["sf0.1"])
+def test_jaccard_recall(spark, scale):
+    """Share of all links of Jaccard 0.8 or more that the join finds; it finds no others."""
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet").select("doc_id", "text")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = _all_links(texts)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_links(docs).collect()}
+    assert all(got[d] <= want[k] for k, (d, _) in enumerate(texts))
+    recall = sum(got.values()) / sum(want.values())
+    print(f"recall at {scale}: {sum(got.values())} of {sum(want.values())} link ends, {recall:.6f}")
+    assert recall >= 0.999
