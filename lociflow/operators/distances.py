@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.iupac import BASES, copies, is_het, mask_of_code
 from ..genotypes import GenotypeFrame
+from .packed import packed, unpacked
 from .resampling import dense_index, locus_weights, percentile_interval, permuted_labels
 
 __all__ = [
@@ -118,23 +121,136 @@ def _permuted(frame: GenotypeFrame, n_reps: int, seed: int, observed: bool = Fal
     return table.groupBy("pop1", "pop2", "rep", "locus_idx").agg(*(F.coalesce(F.sum(F.when(F.col("side") == k, F.col(v))), F.lit(0)).alias(f"{v}{k}") for v in values for k in (1, 2)))
 
 
+#: Labels of samples in pairs and replicates up to which they are a broadcast matrix; more are joined to the calls.
+MAX_LABELS = 5_000_000
+
+
+class _Labels:
+    """Sides (0: neither) of the samples in each replicate of each pair, the labels as they are first."""
+
+    def __init__(self, frame: GenotypeFrame, n_reps: int, seed: int):
+        samples = _pair_samples(frame)
+        labels = permuted_labels(samples, n_reps, seed, "pop1", "pop2").unionByName(samples.withColumn("rep", F.lit(-1)))
+        side = F.when(F.col("population") == F.col("pop1"), 1).otherwise(2).cast("tinyint")
+        rows = labels.select("pop1", "pop2", "rep", "sample_idx", side.alias("side")).toArrow()  # MAX_LABELS at most
+        names = list(zip(rows.column("pop1").to_pylist(), rows.column("pop2").to_pylist(), strict=True))
+        self.pairs, self.reps = sorted(set(names)), n_reps + 1
+        self.samples = np.unique(np.asarray(rows.column("sample_idx")))
+        number = {p: k for k, p in enumerate(self.pairs)}
+        self.sides = np.zeros((len(self.pairs) * self.reps, len(self.samples)), np.int8)
+        row = np.array([number[p] for p in names], np.int64) * self.reps + np.asarray(rows.column("rep")) + 1
+        self.sides[row, np.searchsorted(self.samples, np.asarray(rows.column("sample_idx")))] = np.asarray(rows.column("side"))
+
+    def components(self, masks: np.ndarray) -> np.ndarray:
+        """(a, b, c) by pair, replicate and locus for calls as sets of bases (-1: none); NaN where not estimable."""
+        calls = masks.T
+        homozygous = [(calls == 1 << k).astype(np.float32) for k in range(4)]
+        pairs = np.isin(calls, [m for m in range(16) if m.bit_count() == 2])
+        carriers = [(pairs & (calls >> k & 1 > 0)).astype(np.float32) for k in range(4)]
+        counts = []
+        for side in (1, 2):
+            own = (self.sides == side).astype(np.float32)
+            het = [(own @ h).astype(float) for h in carriers]
+            counts.append(([2 * (own @ x).astype(float) + h for x, h in zip(homozygous, het, strict=True)], het))
+        n1, n2 = (sum(c) / 2 for c, _ in counts)
+        total, out, present = n1 + n2, np.zeros((3, *n1.shape)), np.zeros(n1.shape)
+        with np.errstate(all="ignore"):
+            nc = total - (n1 * n1 + n2 * n2) / total
+            for c1, h1, c2, h2 in zip(*counts[0], *counts[1], strict=True):
+                p1, p2, m1, m2 = c1 / (2 * n1), c2 / (2 * n2), (c1 - h1) / 2, (c2 - h2) / 2
+                mean = (n1 * p1 + n2 * p2) / total
+                msg = (n1 * p1 - m1 + n2 * p2 - m2) / total
+                msi = (n1 * (p1 - 2 * p1 * p1) + m1 + n2 * (p2 - 2 * p2 * p2) + m2) / (total - 2)
+                msp = 2 * (n1 * (p1 - mean) * (p1 - mean) + n2 * (p2 - mean) * (p2 - mean))
+                seen = c1 + c2 > 0
+                present += seen
+                out += np.where(seen, np.stack([(msp - msi) / (2 * nc), (msi - msg) / 2, msg]), 0.0)
+            usable = (n1 > 0) & (n2 > 0) & (total > 2) & (nc > 0)
+        out[:, present < 2] = 0.0
+        out[:, ~usable] = np.nan
+        return out.reshape(3, len(self.pairs), self.reps, -1)
+
+
+def _packed_labels(frame: GenotypeFrame, n_reps: int, seed: int) -> tuple[_Labels, DataFrame] | None:
+    """Labels and packed calls, or nothing if there are too many labels for a broadcast."""
+    if _pair_samples(frame).count() * (n_reps + 1) > MAX_LABELS:
+        return None
+    labels = _Labels(frame, n_reps, seed)
+    kept = frame.calls.join(frame.loci.select("locus_idx"), "locus_idx", "left_semi").join(_pair_samples(frame).select("sample_idx").distinct(), "sample_idx", "left_semi")
+    cells = kept.select("locus_idx", "sample_idx", mask_of_code(F.col("gt")).alias("value")).filter("value is not null")
+    return labels, packed(cells, labels.samples.tolist(), frame.loci.count(), "codes")
+
+
 def fst_permutation(frame: GenotypeFrame, n_reps: int = 99, seed: int = 0) -> DataFrame:
-    """(pop1, pop2, fst, p): share of relabelled replicates at or above the observed value, both counts plus one."""
-    sums = _components(_permuted(frame, n_reps, seed), "pop1", "pop2", "rep", "locus_idx").groupBy("pop1", "pop2", "rep").agg(F.sum("a").alias("a"), F.sum(F.col("a") + F.col("b") + F.col("c")).alias("t"))
-    reps = sums.select("pop1", "pop2", _ratio().alias("rep_fst"))
-    joined = fst_observed(frame).join(reps, ["pop1", "pop2"])
-    p = (F.count_if(F.col("rep_fst") >= F.col("fst") - 1e-12) + 1) / (F.count("rep_fst") + 1)
-    return joined.groupBy("pop1", "pop2", "fst").agg(p.alias("p"))
+    """(pop1, pop2, fst, p): share of relabelled replicates at or above the observed value, both counts plus one.
+
+    Counts of all replicates are matrix products of the labels with packed calls; with more than ``MAX_LABELS`` labels,
+    the calls are joined to them instead.
+    """
+    found = _packed_labels(frame, n_reps, seed)
+    if found is None:
+        parts = _components(_permuted(frame, n_reps, seed, observed=True), "pop1", "pop2", "rep", "locus_idx")
+        sums = parts.groupBy("pop1", "pop2", "rep").agg(F.sum("a").alias("a"), F.sum(F.col("a") + F.col("b") + F.col("c")).alias("t"))
+    else:
+        labels, rows = found
+        shared = frame.spark.sparkContext.broadcast(labels)
+
+        def add(batches):
+            labels, total = shared.value, None
+            for batch in batches:
+                for _, masks in unpacked(batch, len(labels.samples)):
+                    a, b, c = labels.components(masks)
+                    made = np.stack([np.nansum(a, -1), np.nansum(a + b + c, -1), np.isfinite(a).sum(-1)])
+                    total = made if total is None else total + made
+            for k, (one, two) in enumerate(labels.pairs if total is not None else []):
+                n = labels.reps
+                columns = [[one] * n, [two] * n, pa.array(np.arange(-1, n - 1), pa.int32()), total[0, k], total[1, k], pa.array(total[2, k].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pop1", "pop2", "rep", "a", "t", "n"])
+
+        sums = rows.mapInArrow(add, "pop1 string, pop2 string, rep int, a double, t double, n long").groupBy("pop1", "pop2", "rep").agg(*(F.sum(c).alias(c) for c in ("a", "t", "n")))
+        sums = sums.select("pop1", "pop2", "rep", "a", F.when(F.col("n") > 0, F.col("t")).alias("t"))
+    values = sums.select("pop1", "pop2", "rep", _ratio().alias("f"))
+    # A row a pair: its own value and those of its replicates.
+    both = values.groupBy("pop1", "pop2").agg(F.max(F.when(F.col("rep") < 0, F.col("f"))).alias("fst"), F.collect_list(F.when(F.col("rep") >= 0, F.col("f"))).alias("reps"))
+    return both.select("pop1", "pop2", "fst", ((F.size(F.filter("reps", lambda f: f >= F.col("fst") - 1e-12)) + 1) / (F.size("reps") + 1)).alias("p"))
+
+
+_PERMUTED = "pop1 string, pop2 string, locus_idx long, fst double, n int, up int, down int, sd double"
 
 
 def fst_permuted_per_locus(frame: GenotypeFrame, n_reps: int, seed: int = 0) -> DataFrame:
     """(pop1, pop2, locus_idx, fst, n, up, down, sd): observed Fst of a locus, and of its replicates with one: how many,
-    how many at or above and at or below the observed value, and their standard deviation. One aggregate gives both."""
+    how many at or above and at or below the observed value, and their standard deviation. Made as in ``fst_permutation``."""
+    found = _packed_labels(frame, n_reps, seed)
+    if found is not None:
+        labels, rows = found
+        shared = frame.spark.sparkContext.broadcast(labels)
+
+        def judge(batches):
+            labels = shared.value
+            for batch in batches:
+                for loci, masks in unpacked(batch, len(labels.samples)):
+                    a, b, c = labels.components(masks)
+                    with np.errstate(all="ignore"):
+                        r = np.where(a + b + c != 0, a / (a + b + c), np.nan)
+                    for (one, two), values in zip(labels.pairs, r, strict=True):
+                        own = np.flatnonzero(np.isfinite(values[0]))
+                        fst, reps = values[0, own], values[1:, own]
+                        there = np.isfinite(reps)
+                        n = there.sum(0)
+                        mean = np.where(there, reps, 0.0).sum(0) / np.maximum(n, 1)
+                        sd = np.sqrt((np.where(there, reps - mean, 0.0) ** 2).sum(0) / np.maximum(n, 1))
+                        up, down = (np.where(there, reps, -np.inf) >= fst - 1e-12).sum(0), (np.where(there, reps, np.inf) <= fst + 1e-12).sum(0)
+                        whole = [pa.array(x.astype(np.int32)) for x in (n, up, down)]
+                        columns = [pa.array([one] * len(own), pa.string()), pa.array([two] * len(own), pa.string()), pa.array(loci[own]), pa.array(fst), *whole, pa.array(np.where(sd < 1e-15, 0.0, sd))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["pop1", "pop2", "locus_idx", "fst", "n", "up", "down", "sd"])
+
+        return rows.mapInArrow(judge, _PERMUTED)
     bottom = F.col("a") + F.col("b") + F.col("c")
     parts = _components(_permuted(frame, n_reps, seed, observed=True), "pop1", "pop2", "rep", "locus_idx")
     own, other = (F.when(F.col("rep") < 0, F.col("r")), F.when(F.col("rep") >= 0, F.col("r")))
-    found = parts.select("pop1", "pop2", "rep", "locus_idx", F.when(bottom != 0, F.col("a") / bottom).alias("r")).filter("r is not null")
-    both = found.groupBy("pop1", "pop2", "locus_idx").agg(F.max(own).alias("fst"), F.collect_list(other).alias("reps"), F.stddev_pop(other).alias("sd")).filter("fst is not null")
+    values = parts.select("pop1", "pop2", "rep", "locus_idx", F.when(bottom != 0, F.col("a") / bottom).alias("r")).filter("r is not null")
+    both = values.groupBy("pop1", "pop2", "locus_idx").agg(F.max(own).alias("fst"), F.collect_list(other).alias("reps"), F.stddev_pop(other).alias("sd")).filter("fst is not null")
     count = lambda f: F.size(F.filter("reps", f))
     return both.select("pop1", "pop2", "locus_idx", "fst", F.size("reps").alias("n"), count(lambda r: r >= F.col("fst") - 1e-12).alias("up"), count(lambda r: r <= F.col("fst") + 1e-12).alias("down"), "sd")
 

@@ -195,3 +195,20 @@ def test_corrections_in_parts(spark, monkeypatch, method):
             want = {"bonferroni": v * n, "holm": best, "fdr_bh": min(w * n / (r + 1) for r, (w, _) in enumerate(p) if r >= rank)}[method]
             assert got[k] == pytest.approx(min(1.0, want))
     assert all(got[k] is None for _, v, k in rows if v is None)
+
+
+def test_permutations_both_ways(spark, monkeypatch):
+    """Labels as a matrix and labels joined to the calls give the same."""
+    rng = np.random.default_rng(9)
+    f = frame_of(spark, ["".join(rng.choice(list("AAMCTKN"), 25)) for _ in range(14)], list("xxxxyyyyyzzzzz"))
+
+    def run():
+        pairs = {(r["pop1"], r["pop2"]): (r["fst"], r["p"]) for r in distances.fst_permutation(f, 7, 2).collect()}
+        loci = {(r["pop1"], r["pop2"], r["locus_idx"]): (r["fst"], r["n"], r["up"], r["down"], r["sd"]) for r in distances.fst_permuted_per_locus(f, 7, 2).collect()}
+        return pairs, loci
+
+    matrix = run()
+    monkeypatch.setattr(distances, "MAX_LABELS", 0)
+    for got, want in zip(matrix, run(), strict=True):
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
