@@ -36,6 +36,12 @@ def _rest(fields: Column, first: int) -> Column:
     return F.slice(fields, F.lit(first), F.greatest(F.size(fields) - (first - 1), F.lit(0)))
 
 
+def _cells_of(rows: DataFrame) -> DataFrame:
+    """``rows`` exploded from arrays, which Spark takes for no larger than the rows with the arrays: their join merges, so that
+    they are not the side that is broadcast."""
+    return rows.hint("merge")
+
+
 def _ranked(lines: DataFrame) -> tuple[DataFrame, Column]:
     """``lines(line_no, ..)`` with what numbers them from 0: their own numbers where none is left out, else slots."""
     from ..operators.resampling import dense_index
@@ -104,7 +110,7 @@ def read_vcf(spark: SparkSession, path: str, popmap: DataFrame | None = None, fo
         more.append(F.array_join(F.transform(others, lambda k: F.coalesce(F.get(values, k), F.lit("."))), ":").alias("extra"))
     calls = cells.select("locus_idx", F.col("sample_idx").cast("long").alias("sample_idx"), _vcf_call(token).alias("gt"), *more)
     samples = spark.createDataFrame([(k, n, None) for k, n in enumerate(names)], "sample_idx long, sample_id string, population string")
-    return attach_populations(GenotypeFrame(calls, loci.drop("fields"), samples), popmap, force)
+    return attach_populations(GenotypeFrame(_cells_of(calls), loci.drop("fields"), samples), popmap, force)
 
 
 def _info_value(text: Column, key: Column) -> Column:
@@ -147,7 +153,7 @@ def _matrix(spark: SparkSession, rows: DataFrame, popmap: DataFrame | None, forc
     else:
         loci = loci.withColumn("marker_name", F.lit(None).cast("string"))
     loci = loci.withColumn("marker_name", F.coalesce("marker_name", F.concat(F.lit("locus_"), F.col("locus_idx") + 1)))
-    frame = GenotypeFrame(calls, loci.withColumn("chrom", F.lit("1")).withColumn("pos", F.col("locus_idx") + 1).withColumn("ref", F.lit(None).cast("string")).withColumn("alt", _empty_alt()), rows.select("sample_idx", "sample_id", "population"))
+    frame = GenotypeFrame(_cells_of(calls), loci.withColumn("chrom", F.lit("1")).withColumn("pos", F.col("locus_idx") + 1).withColumn("ref", F.lit(None).cast("string")).withColumn("alt", _empty_alt()), rows.select("sample_idx", "sample_id", "population"))
     return attach_populations(_with_alleles(frame), popmap, force)
 
 
@@ -281,7 +287,7 @@ def attach_populations(frame: GenotypeFrame, popmap: DataFrame | None, force: bo
     samples = frame.samples.drop("population").join(popmap, "sample_id").select("sample_idx", "sample_id", "population")
     if samples.isEmpty():
         raise PopulationMapError("no sample is in the population map")
-    return GenotypeFrame(frame.calls.join(samples.select("sample_idx"), "sample_idx", "left_semi"), frame.loci, samples)
+    return GenotypeFrame(_cells_of(frame.calls.join(samples.select("sample_idx"), "sample_idx", "left_semi")), frame.loci, samples)
 
 
 def load_frame(spark: SparkSession, path: str) -> GenotypeFrame:

@@ -64,6 +64,16 @@ def test_vcf_folder(spark, tmp_path_factory):
         readers.read_vcf(spark, f"{tmp_path}/*.vcf")
 
 
+def test_exploded_calls_are_not_broadcast(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text(VCF)
+    f = readers.read_vcf(spark, str(tmp_path / "a.vcf"))
+    writers.write_phylip(f, str(tmp_path / "phy"))
+    popmap = spark.createDataFrame([("s1", "a"), ("s2", "a"), ("s3", "b")], "sample_id string, population string")
+    for frame in (f, readers.read_vcf(spark, str(tmp_path / "a.vcf"), popmap), readers.read_phylip(spark, str(tmp_path / "phy"))):
+        assert "SortMergeJoin [sample_idx" in frame.with_population()._jdf.queryExecution().executedPlan().toString()
+        assert frame.with_population().count() == 9
+
+
 def test_phylip_round_trip(spark, tmp_path):
     (tmp_path / "a.phy").write_text("2 4\nx ACRN\ny GGTT\n")
     f = readers.read_phylip(spark, str(tmp_path / "a.phy"))
