@@ -72,6 +72,11 @@ def test_exploded_calls_are_not_broadcast(spark, tmp_path):
     for frame in (f, readers.read_vcf(spark, str(tmp_path / "a.vcf"), popmap), readers.read_phylip(spark, str(tmp_path / "phy"))):
         assert "SortMergeJoin [sample_idx" in frame.with_population()._jdf.queryExecution().executedPlan().toString()
         assert frame.with_population().count() == 9
+    # The parts of one file are read as it is.
+    writers.write_vcf(f, str(tmp_path / "parts"), single=False)
+    again = readers.read_vcf(spark, str(tmp_path / "parts"))
+    assert "SortMergeJoin [sample_idx" in again.with_population()._jdf.queryExecution().executedPlan().toString()
+    assert again.with_population().count() == 9
 
 
 def test_phylip_round_trip(spark, tmp_path):
