@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..errors import AlignmentError, AlleleEncodingError, PopulationMapError
 from ..functions import iupac
 from ..genotypes import GenotypeFrame
+from ..shared import write_shared
 
 __all__ = ["attach_populations", "load_frame", "natural_key", "numbered_lines", "read_genepop", "read_phylip", "read_popmap", "read_qmatrix", "read_site_rates", "read_structure", "read_vcf", "subset_populations", "vcf_format_fields", "vcf_header"]
 
@@ -142,7 +143,9 @@ def vcf_format_fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, rows: DataFrame, popmap: DataFrame | None, force: bool, marker: DataFrame | None = None) -> GenotypeFrame:
-    """A bundle from (sample_idx, sample_id, population, codes array)."""
+    """A bundle from (sample_idx, sample_id, population, codes array), which is written to the shared folder: calls, loci, alleles
+    and samples read it there instead of the text."""
+    rows = write_shared(rows, "matrix")
     repeated = rows.groupBy("sample_id").count().filter("count > 1").limit(1).count()
     if repeated:
         raise AlignmentError("sample names repeat")
@@ -197,18 +200,21 @@ def read_structure(spark: SparkSession, path: str, has_popids: bool = False, has
     rows, rank = _ranked(lines.filter(F.col("line_no") >= start))
     rows = rows.select(rank.alias("r"), F.split(F.trim("value"), r"\s+").alias("t"))
     rows = rows.select("r", F.get("t", 0).alias("sample_id"), (F.get("t", 1) if has_popids else F.lit(None).cast("string")).alias("population"), F.slice("t", F.lit(skip + 1), F.size("t")).alias("a"))
-    unknown = rows.select(F.explode("a").alias("x")).filter(~F.col("x").isin(*table)).limit(1).collect()
-    if unknown:
-        raise AlleleEncodingError(f"unknown allele: {unknown[0]['x']}")
+    strange = F.get(F.filter("a", lambda x: ~x.isin(*table)), 0)
+    facts = rows.agg(F.min(strange).alias("unknown"), F.count_if(F.size("a") % 2 == 1).alias("odd")).first()
+    if facts["unknown"] is not None:
+        raise AlleleEncodingError(f"unknown allele: {facts['unknown']}")
     if two:
         pairs = rows.groupBy(F.floor(F.col("r") / 2).alias("sample_idx")).agg(F.min_by("sample_id", "r").alias("sample_id"), F.min_by("population", "r").alias("population"), F.min_by("a", "r").alias("a1"), F.max_by("a", "r").alias("a2"))
     else:
-        if rows.filter(F.size("a") % 2 == 1).limit(1).count():
+        if facts["odd"]:
             raise AlleleEncodingError("an odd number of alleles")
-        every = lambda k: F.transform(F.sequence(F.lit(0), (F.size("a") / 2).cast("int") - 1), lambda i: F.get("a", 2 * i + k))
+        # The array stands outside the functions of its elements: inside, Spark would split the line anew for each of them.
+        every = lambda k: F.filter("a", lambda _, i: i % 2 == k)
         pairs = rows.select(F.col("r").alias("sample_idx"), "sample_id", "population", every(0).alias("a1"), every(1).alias("a2"))
-    base = lambda x: iupac.map_lookup(x, table)
-    codes = F.zip_with("a1", "a2", lambda x, y: F.coalesce(iupac.from_pair(base(x), base(y)), F.lit("N")))
+    places = {k: iupac.BASES.index(v) for k, v in table.items() if v in tuple(iupac.BASES)}
+    known = {f"{x} {y}": iupac.CODES[(1 << i | 1 << j) - 1] for x, i in places.items() for y, j in places.items()} or {"": "N"}
+    codes = F.zip_with("a1", "a2", lambda x, y: F.coalesce(iupac.map_lookup(F.concat_ws(" ", x, y), known), F.lit("N")))
     marker = None
     if has_marker_names:
         marker = spark.createDataFrame([(k, n) for k, n in enumerate(first[0]["value"].split())], "locus_idx long, marker_name string")

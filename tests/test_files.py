@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from helpers import matrix
 
@@ -101,6 +103,17 @@ def test_structure_round_trip(spark, tmp_path, onerow):
         readers.read_structure(spark, str(tmp_path / "out"), has_popids=True, has_marker_names=True, alleles={1: "A", -9: "N"})
 
 
+def test_structure_of_long_rows(spark, tmp_path):
+    n = 5_000
+    rows = ["\t".join([f"s{k}", *(x for j in range(n) for x in (str((j + k) % 4 + 1), "-9" if j == k else str(j % 4 + 1)))]) for k in range(10)]
+    (tmp_path / "a.str").write_text("\n".join(rows) + "\n")
+    start = time.monotonic()
+    got = matrix(readers.read_structure(spark, str(tmp_path / "a.str")))
+    assert time.monotonic() - start < 60  # each allele once, not each line once an allele
+    codes = {frozenset("A"): "A", frozenset("C"): "C", frozenset("G"): "G", frozenset("T"): "T", **{frozenset(p): c for p, c in zip(("AC", "AG", "AT", "CG", "CT", "GT"), "MRWSYK", strict=True)}}
+    assert got == ["".join("N" if j == k else codes[frozenset(("ACGT"[(j + k) % 4], "ACGT"[j % 4]))] for j in range(n)) for k in range(10)]
+
+
 def test_genepop(spark, tmp_path):
     (tmp_path / "a.gen").write_text("title\nL1\nL2\nL3\nPop\na , 0101 0202 0304\nPOP\nb , 0102 0303 0404\nc , 0000 9999 001001\n")
     f = readers.read_genepop(spark, str(tmp_path / "a.gen"))
