@@ -13,14 +13,15 @@ from ..shared import write_shared
 __all__ = ["PACKED", "packed", "unpacked"]
 
 PACKED = "part int, loci binary, data binary"
-#: Loci that are packed together.
-PACKED_LOCI = 512
+#: Loci that are packed together at most, and cells: many samples make parts of fewer loci.
+PACKED_LOCI, PACKED_CELLS = 512, 1 << 22
 
 
 def packed(cells: DataFrame, samples: list[int], n_loci: int, name: str) -> DataFrame:
     """A table of ``PACKED`` rows from ``cells(locus_idx, sample_idx, value)`` with small whole values; -1 where there is no cell."""
     known = np.array(samples, np.int64)
-    part = F.pmod(F.xxhash64("locus_idx"), F.lit(max(1, -(-n_loci // PACKED_LOCI)))).cast("int")
+    together = max(1, min(PACKED_LOCI, PACKED_CELLS // max(1, len(known))))
+    part = F.pmod(F.xxhash64("locus_idx"), F.lit(max(1, -(-n_loci // together)))).cast("int")
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         loci, own = np.unique(np.asarray(rows.column("locus_idx")), return_inverse=True)

@@ -212,3 +212,18 @@ def test_permutations_both_ways(spark, monkeypatch):
     for got, want in zip(matrix, run(), strict=True):
         assert set(got) == set(want)
         assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+
+
+@pytest.mark.parametrize("options", [{}, {"scale": True}, {"center": False}])
+def test_pca_of_many_samples(spark, monkeypatch, options):
+    """Components from the loci's square are those from the samples' square."""
+    rng = np.random.default_rng(4)
+    x = rng.choice(list("AAAMCNNN"), (60, 12))
+    x[:, 3], x[5] = "A", "N"
+    f = frame_of(spark, ["".join(r) for r in x])
+    few = np.array([tuple(r) for r in outliers.pca(f, 2, k=4, **options).orderBy("sample_idx").collect()])
+    monkeypatch.setattr(outliers, "MAX_SAMPLES", 50)
+    for nearest in (4, 1024):
+        monkeypatch.setattr(outliers, "NEAREST", nearest)
+        many = np.array([tuple(r) for r in outliers.pca(f, 2, k=4, **options).orderBy("sample_idx").collect()])
+        assert np.abs(few - many).max() < 1e-9
