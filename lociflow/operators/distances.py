@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.iupac import BASES, copies, is_het, mask_of_code
-from ..genotypes import GenotypeFrame
+from ..genotypes import GenotypeFrame, portable_hash
+from ..shared import write_shared
 from .packed import packed, unpacked
-from .resampling import dense_index, locus_weights, percentile_interval, permuted_labels
+from .resampling import _STEP, dense_index, locus_weights, percentile_interval, permuted_labels
 
 __all__ = [
     "amova", "amova_bootstrap", "fst_bootstrap", "fst_components", "fst_observed", "fst_permutation", "fst_permuted_per_locus", "nei_bootstrap", "nei_components", "nei_observed", "nei_permutation", "per_locus_fst",
@@ -108,21 +111,92 @@ def _pair_samples(frame: GenotypeFrame) -> DataFrame:
     return both.join(s, (F.col("population") == F.col("pop1")) | (F.col("population") == F.col("pop2")))
 
 
-def _permuted(frame: GenotypeFrame, n_reps: int, seed: int, observed: bool = False) -> DataFrame:
-    """Allele counts of the two sides of each pair in each replicate, side by side, by locus; ``observed`` adds the labels as they are, as replicate -1."""
-    samples = _pair_samples(frame)
-    labels = permuted_labels(samples, n_reps, seed, "pop1", "pop2")
+#: Samples, loci and labelled rows (a pair in a replicate) of which a task multiplies one block at a time.
+BLOCK_SAMPLES, BLOCK_LOCI, BLOCK_ROWS = 8_192, 256, 256
+_COUNTED = ["n", *(f"{x}{b}" for x in "ch" for b in BASES)]
+
+
+def _side_counts(masks: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
+    """For both sides: calls, copies and heterozygous carriers by base (rows of ``sides``, loci) of calls as sets of bases, (samples, loci), -1: none."""
+    homozygous = [(masks == 1 << k).astype(np.float32) for k in range(4)]
+    pairs = np.isin(masks, [m for m in range(16) if m.bit_count() == 2])
+    carriers = [(pairs & (masks >> k & 1 > 0)).astype(np.float32) for k in range(4)]
+    out = []
+    for side in (1, 2):
+        own = (sides == side).astype(np.float32)
+        het = [own @ h for h in carriers]
+        copies = [2 * (own @ x) + h for x, h in zip(homozygous, het, strict=True)]
+        out.append([sum(copies) / 2, *copies, *het])
+    return out
+
+
+def _label_blocks(slots: DataFrame, pairs: DataFrame, n_reps: int, seed: int, observed: bool) -> DataFrame:
+    """(chunk, rows, sides): matrices of sides, 0 for neither, of a chunk of samples in some rows. Labels are dealt as by
+    ``permuted_labels``: of a pair, whose labels in id order are the first population's, then the second's, the first samples
+    in hash order get the first's."""
+    members = slots.join(F.broadcast(pairs), (F.col("population") == F.col("pop1")) | (F.col("population") == F.col("pop2")))
+    n = n_reps + observed
+    reps = slots.sparkSession.range(n_reps).select(F.col("id").cast("int").alias("rep"))
+    by_hash = Window.partitionBy("pair", "rep").orderBy(portable_hash(F.col("rep") * _STEP + F.col("sample_idx"), seed), "sample_idx")
+    dealt = members.select("pair", "slot", "sample_idx", "n1").crossJoin(F.broadcast(reps)).withColumn("side", F.when(F.row_number().over(by_hash) <= F.col("n1"), 1).otherwise(2))
+    labels = dealt.select((F.col("pair") * n + F.col("rep") + int(observed)).alias("row"), "slot", "side")
     if observed:
-        labels = labels.unionByName(samples.withColumn("rep", F.lit(-1)))
-    side = F.when(F.col("population") == F.col("pop1"), 1).otherwise(2)
-    cells = frame.calls.join(frame.loci.select("locus_idx"), "locus_idx", "left_semi").join(labels.withColumn("side", side), "sample_idx")
-    table = population_alleles(cells, "pop1", "pop2", "rep", "side")
-    values = ["n", *(f"{x}{b}" for x in "ch" for b in BASES)]
-    return table.groupBy("pop1", "pop2", "rep", "locus_idx").agg(*(F.coalesce(F.sum(F.when(F.col("side") == k, F.col(v))), F.lit(0)).alias(f"{v}{k}") for v in values for k in (1, 2)))
+        labels = labels.unionByName(members.select((F.col("pair") * n).alias("row"), "slot", F.when(F.col("population") == F.col("pop1"), 1).otherwise(2).alias("side")))
+
+    def block(key: tuple, rows: pa.Table) -> pa.Table:
+        own, at = np.unique(np.asarray(rows.column("row")), return_inverse=True)
+        sides = np.zeros((len(own), BLOCK_SAMPLES), np.int8)
+        sides[at, np.asarray(rows.column("place"))] = np.asarray(rows.column("side"))
+        return pa.table([pa.array([key[0].as_py()]), pa.array([own.astype("<i8").tobytes()]), pa.array([sides.tobytes()])], names=["chunk", "rows", "sides"])
+
+    chunk, place = F.floor(F.col("slot") / BLOCK_SAMPLES).cast("long").alias("chunk"), (F.col("slot") % BLOCK_SAMPLES).cast("int").alias("place")
+    dealt = labels.select(chunk, F.floor(F.col("row") / BLOCK_ROWS).alias("part"), "row", place, F.col("side").cast("tinyint").alias("side"))
+    return write_shared(dealt.groupBy("chunk", "part").applyInArrow(lambda key, rows: block(key, rows), "chunk long, rows binary, sides binary"), "labels")
 
 
-#: Labels of samples in pairs and replicates up to which they are a broadcast matrix; more are joined to the calls.
-MAX_LABELS = 5_000_000
+def _permuted(frame: GenotypeFrame, n_reps: int, seed: int, observed: bool = False) -> DataFrame:
+    """Allele counts of the two sides of each pair in each replicate, side by side, by locus; ``observed`` adds the labels as they are, as replicate -1.
+
+    Counts are matrix products of blocks of labels with blocks of calls, summed over chunks of samples: no call is copied
+    for a replicate, and no task or driver holds all samples.
+    """
+    spark = frame.spark
+    sizes = {r["population"]: r["count"] for r in frame.samples.filter("population is not null").groupBy("population").count().collect()}  # a row a population
+    rows = [(k, one, two, sizes[one]) for k, (one, two) in enumerate(combinations(sorted(sizes), 2))]
+    pairs = spark.createDataFrame(rows, "pair long, pop1 string, pop2 string, n1 long")
+    slots = dense_index(frame.samples.filter("population is not null").select("sample_idx", "population"), "sample_idx")
+    labels = _label_blocks(slots, pairs, n_reps, seed, observed)
+    part = F.pmod(F.xxhash64("locus_idx"), F.lit(max(1, -(-frame.loci.count() // BLOCK_LOCI)))).cast("int").alias("part")
+    kept = frame.calls.join(frame.loci.select("locus_idx"), "locus_idx", "left_semi").join(slots.select("sample_idx", "slot"), "sample_idx")
+    cells = kept.select(part, F.floor(F.col("slot") / BLOCK_SAMPLES).cast("long").alias("chunk"), F.col("locus_idx").cast("long").alias("locus_idx"), (F.col("slot") % BLOCK_SAMPLES).cast("int").alias("place"), mask_of_code(F.col("gt")).cast("tinyint").alias("mask"))
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        loci, at = np.unique(np.asarray(rows.column("locus_idx")), return_inverse=True)
+        masks = np.full((BLOCK_SAMPLES, len(loci)), -1, np.int8)
+        masks[np.asarray(rows.column("place")), at] = np.asarray(rows.column("mask"))
+        return pa.table([pa.array([key[1].as_py()]), pa.array([loci.astype("<i8").tobytes()]), pa.array([masks.tobytes()])], names=["chunk", "loci", "masks"])
+
+    calls = write_shared(cells.filter("mask is not null").groupBy("part", "chunk").applyInArrow(lambda key, rows: pack(key, rows), "chunk long, loci binary, masks binary"), "codes")
+    names = [f"{v}{k}" for k in (1, 2) for v in _COUNTED]
+
+    def count(batches):
+        for batch in batches:
+            for own, sides, loci, masks in zip(*(batch.column(c) for c in ("rows", "sides", "loci", "masks")), strict=True):
+                own, loci = np.frombuffer(own.as_py(), "<i8"), np.frombuffer(loci.as_py(), "<i8")
+                made = _side_counts(np.frombuffer(masks.as_py(), np.int8).reshape(BLOCK_SAMPLES, -1), np.frombuffer(sides.as_py(), np.int8).reshape(-1, BLOCK_SAMPLES))
+                there = (made[0][0] + made[1][0] > 0).ravel()
+                columns = [np.repeat(own, len(loci))[there], np.tile(loci, len(own))[there], *(v.ravel()[there].astype(np.int64) for side in made for v in side)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "locus_idx", *names])
+
+    counted = labels.join(calls, "chunk").mapInArrow(count, ", ".join(f"{c} long" for c in ("row", "locus_idx", *names)))
+    sums = counted.groupBy("row", "locus_idx").agg(*(F.sum(c).alias(c) for c in names))
+    n = n_reps + observed
+    named = sums.withColumn("pair", F.floor(F.col("row") / n).cast("long")).withColumn("rep", (F.col("row") % n - int(observed)).cast("int")).join(F.broadcast(pairs.drop("n1")), "pair")  # a row a pair
+    return named.select("pop1", "pop2", "rep", "locus_idx", *names)
+
+
+#: Labels of samples in pairs and replicates up to which they are a broadcast matrix; more stay in blocks of a table.
+MAX_LABELS = 500_000
 
 
 class _Labels:
@@ -143,15 +217,7 @@ class _Labels:
 
     def components(self, masks: np.ndarray) -> np.ndarray:
         """(a, b, c) by pair, replicate and locus for calls as sets of bases (-1: none); NaN where not estimable."""
-        calls = masks.T
-        homozygous = [(calls == 1 << k).astype(np.float32) for k in range(4)]
-        pairs = np.isin(calls, [m for m in range(16) if m.bit_count() == 2])
-        carriers = [(pairs & (calls >> k & 1 > 0)).astype(np.float32) for k in range(4)]
-        counts = []
-        for side in (1, 2):
-            own = (self.sides == side).astype(np.float32)
-            het = [(own @ h).astype(float) for h in carriers]
-            counts.append(([2 * (own @ x).astype(float) + h for x, h in zip(homozygous, het, strict=True)], het))
+        counts = [([x.astype(float) for x in own[1:5]], [x.astype(float) for x in own[5:]]) for own in _side_counts(masks.T, self.sides)]
         n1, n2 = (sum(c) / 2 for c, _ in counts)
         total, out, present = n1 + n2, np.zeros((3, *n1.shape)), np.zeros(n1.shape)
         with np.errstate(all="ignore"):
@@ -185,7 +251,7 @@ def fst_permutation(frame: GenotypeFrame, n_reps: int = 99, seed: int = 0) -> Da
     """(pop1, pop2, fst, p): share of relabelled replicates at or above the observed value, both counts plus one.
 
     Counts of all replicates are matrix products of the labels with packed calls; with more than ``MAX_LABELS`` labels,
-    the calls are joined to them instead.
+    of blocks of both.
     """
     found = _packed_labels(frame, n_reps, seed)
     if found is None:
@@ -252,6 +318,7 @@ def fst_permuted_per_locus(frame: GenotypeFrame, n_reps: int, seed: int = 0) ->
     values = parts.select("pop1", "pop2", "rep", "locus_idx", F.when(bottom != 0, F.col("a") / bottom).alias("r")).filter("r is not null")
     both = values.groupBy("pop1", "pop2", "locus_idx").agg(F.max(own).alias("fst"), F.collect_list(other).alias("reps"), F.stddev_pop(other).alias("sd")).filter("fst is not null")
     count = lambda f: F.size(F.filter("reps", f))
+    both = both.withColumn("sd", F.when(F.col("sd") < 1e-15, 0.0).otherwise(F.col("sd")))  # as above
     return both.select("pop1", "pop2", "locus_idx", "fst", F.size("reps").alias("n"), count(lambda r: r >= F.col("fst") - 1e-12).alias("up"), count(lambda r: r <= F.col("fst") + 1e-12).alias("down"), "sd")
 
 

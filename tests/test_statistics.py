@@ -227,3 +227,21 @@ def test_pca_of_many_samples(spark, monkeypatch, options):
         monkeypatch.setattr(outliers, "NEAREST", nearest)
         many = np.array([tuple(r) for r in outliers.pca(f, 2, k=4, **options).orderBy("sample_idx").collect()])
         assert np.abs(few - many).max() < 1e-9
+
+
+def test_permutations_in_blocks(spark, monkeypatch):
+    """Blocks of samples, loci and labels smaller than the frame give what whole ones give."""
+    rng = np.random.default_rng(11)
+    f = frame_of(spark, ["".join(rng.choice(list("AAMCTKN"), 9)) for _ in range(14)], list("xxxxyyyyyzzzzz"))
+    found = lambda: sorted(map(tuple, distances._permuted(f, 3, 2, True).collect()))
+    whole = found()
+    labels = {(r["pop1"], r["pop2"], r["rep"], r["sample_idx"]): r["population"] for r in resampling.permuted_labels(distances._pair_samples(f), 3, 2, "pop1", "pop2").collect()}
+    calls = [r for r in f.calls.collect() if r["gt"] is not None]
+    for one, two, rep, locus, *counts in whole:
+        if rep >= 0:
+            sides = [[r["gt"] for r in calls if r["locus_idx"] == locus and labels.get((one, two, rep, r["sample_idx"])) == p] for p in (one, two)]
+            assert [counts[0], counts[9]] == list(map(len, sides))
+            assert [counts[1], counts[10]] == [sum(2 * (g == "A") + (g == "M") for g in side) for side in sides]
+    for name, size in (("BLOCK_SAMPLES", 4), ("BLOCK_LOCI", 2), ("BLOCK_ROWS", 5)):
+        monkeypatch.setattr(distances, name, size)
+    assert found() == whole
