@@ -10,7 +10,7 @@ from helpers import frame_of
 from pyspark.sql import functions as F
 
 from lociflow.functions.two_locus import unbiased
-from lociflow.operators import distances, introgression, linkage, outliers, resampling, statistics
+from lociflow.operators import distances, introgression, linkage, outliers, packed, resampling, statistics
 
 
 def test_heterozygosity(spark):
@@ -245,3 +245,11 @@ def test_permutations_in_blocks(spark, monkeypatch):
     for name, size in (("BLOCK_SAMPLES", 4), ("BLOCK_LOCI", 2), ("BLOCK_ROWS", 5)):
         monkeypatch.setattr(distances, name, size)
     assert found() == whole
+
+
+def test_packed_parts_are_bounded(spark, monkeypatch):
+    """Many samples make parts of fewer loci."""
+    f = frame_of(spark, ["ACGT" * 10] * 20)
+    monkeypatch.setattr(packed, "PACKED_CELLS", 100)
+    parts = packed.packed(f.calls.withColumn("value", F.lit(1)), list(range(20)), 40, "test").collect()
+    assert len(parts) >= 4 and sum(len(r["data"]) for r in parts) == 800
