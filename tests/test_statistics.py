@@ -253,3 +253,12 @@ def test_packed_parts_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(packed, "PACKED_CELLS", 100)
     parts = packed.packed(f.calls.withColumn("value", F.lit(1)), list(range(20)), 40, "test").collect()
     assert len(parts) >= 4 and sum(len(r["data"]) for r in parts) == 800
+
+
+def test_permutation_never_brings_many_labels_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    f = frame_of(spark, ["".join(rng.choice(list("AAMCN"), 6)) for _ in range(12)], list("xxxxxxyyyyyy"))
+    want = [(r["pop1"], r["pop2"], pytest.approx(r["fst"]), r["p"]) for r in distances.fst_permutation(f, 3, 1).collect()]
+    monkeypatch.setattr(distances, "MAX_LABELS", 10)
+    monkeypatch.setattr(distances, "permuted_labels", None)  # not even made there
+    assert [tuple(r) for r in distances.fst_permutation(f, 3, 1).collect()] == want
