@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -113,9 +114,27 @@ def _pair_samples(frame: GenotypeFrame) -> DataFrame:
 
 #: Samples, loci and labelled rows (a pair in a replicate) of which a task multiplies one block at a time.
 BLOCK_SAMPLES, BLOCK_LOCI, BLOCK_ROWS = 8_192, 256, 256
+#: Blocks that are tasks of their own; beyond, tasks get several.
+MOST_BLOCKS = 1 << 16
 _COUNTED = ["n", *(f"{x}{b}" for x in "ch" for b in BASES)]
 
 
+def _by_block(rows: DataFrame, blocks: int, make: Callable, schema: str, name: str) -> DataFrame:
+    """A table of what ``make`` gives of the rows ``(block, ..)`` of each of so many blocks. A block is dealt to a task of
+    its own and gathered there in arrays: no task sorts rows, or has those of several blocks because they are few."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            at, *values = (np.asarray(c) for c in batch.columns)
+            for k in np.unique(at).tolist():
+                held.setdefault(k, []).append([v[at == k] for v in values])
+        for k in sorted(held):
+            yield make(k, *map(np.concatenate, zip(*held.pop(k), strict=True)))
+
+    return write_shared(rows.repartitionById(min(max(1, blocks), MOST_BLOCKS), "block").mapInArrow(run, schema), name)
+
+
 def _side_counts(masks: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
     """For both sides: calls, copies and heterozygous carriers by base (rows of ``sides``, loci) of calls as sets of bases, (samples, loci), -1: none."""
     homozygous = [(masks == 1 << k).astype(np.float32) for k in range(4)]
@@ -130,7 +149,7 @@ def _side_counts(masks: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _label_blocks(slots: DataFrame, pairs: DataFrame, n_reps: int, seed: int, observed: bool) -> DataFrame:
+def _label_blocks(slots: DataFrame, pairs: DataFrame, chunks: int, parts: int, n_reps: int, seed: int, observed: bool) -> DataFrame:
     """(chunk, rows, sides): matrices of sides, 0 for neither, of a chunk of samples in some rows. Labels are dealt as by
     ``permuted_labels``: of a pair, whose labels in id order are the first population's, then the second's, the first samples
     in hash order get the first's."""
@@ -143,15 +162,15 @@ def _label_blocks(slots: DataFrame, pairs: DataFrame, n_reps: int, seed: int, ob
     if observed:
         labels = labels.unionByName(members.select((F.col("pair") * n).alias("row"), "slot", F.when(F.col("population") == F.col("pop1"), 1).otherwise(2).alias("side")))
 
-    def block(key: tuple, rows: pa.Table) -> pa.Table:
-        own, at = np.unique(np.asarray(rows.column("row")), return_inverse=True)
+    def block(k: int, row: np.ndarray, place: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        own, at = np.unique(row, return_inverse=True)
         sides = np.zeros((len(own), BLOCK_SAMPLES), np.int8)
-        sides[at, np.asarray(rows.column("place"))] = np.asarray(rows.column("side"))
-        return pa.table([pa.array([key[0].as_py()]), pa.array([own.astype("<i8").tobytes()]), pa.array([sides.tobytes()])], names=["chunk", "rows", "sides"])
+        sides[at, place] = side
+        return pa.RecordBatch.from_arrays([pa.array([k // parts]), pa.array([own.astype("<i8").tobytes()]), pa.array([sides.tobytes()])], names=["chunk", "rows", "sides"])
 
-    chunk, place = F.floor(F.col("slot") / BLOCK_SAMPLES).cast("long").alias("chunk"), (F.col("slot") % BLOCK_SAMPLES).cast("int").alias("place")
-    dealt = labels.select(chunk, F.floor(F.col("row") / BLOCK_ROWS).alias("part"), "row", place, F.col("side").cast("tinyint").alias("side"))
-    return write_shared(dealt.groupBy("chunk", "part").applyInArrow(lambda key, rows: block(key, rows), "chunk long, rows binary, sides binary"), "labels")
+    at = (F.floor(F.col("slot") / BLOCK_SAMPLES) * parts + F.floor(F.col("row") / BLOCK_ROWS)).cast("int").alias("block")
+    dealt = labels.select(at, "row", (F.col("slot") % BLOCK_SAMPLES).cast("int").alias("place"), F.col("side").cast("tinyint").alias("side"))
+    return _by_block(dealt, chunks * parts, block, "chunk long, rows binary, sides binary", "labels")
 
 
 def _permuted(frame: GenotypeFrame, n_reps: int, seed: int, observed: bool = False) -> DataFrame:
@@ -165,18 +184,21 @@ def _permuted(frame: GenotypeFrame, n_reps: int, seed: int, observed: bool = Fal
     rows = [(k, one, two, sizes[one]) for k, (one, two) in enumerate(combinations(sorted(sizes), 2))]
     pairs = spark.createDataFrame(rows, "pair long, pop1 string, pop2 string, n1 long")
     slots = dense_index(frame.samples.filter("population is not null").select("sample_idx", "population"), "sample_idx")
-    labels = _label_blocks(slots, pairs, n_reps, seed, observed)
-    part = F.pmod(F.xxhash64("locus_idx"), F.lit(max(1, -(-frame.loci.count() // BLOCK_LOCI)))).cast("int").alias("part")
+    n = n_reps + observed
+    chunks = -(-sum(sizes.values()) // BLOCK_SAMPLES)
+    labels = _label_blocks(slots, pairs, chunks, -(-len(rows) * n // BLOCK_ROWS), n_reps, seed, observed)
+    parts = max(1, -(-frame.loci.count() // BLOCK_LOCI))
     kept = frame.calls.join(frame.loci.select("locus_idx"), "locus_idx", "left_semi").join(slots.select("sample_idx", "slot"), "sample_idx")
-    cells = kept.select(part, F.floor(F.col("slot") / BLOCK_SAMPLES).cast("long").alias("chunk"), F.col("locus_idx").cast("long").alias("locus_idx"), (F.col("slot") % BLOCK_SAMPLES).cast("int").alias("place"), mask_of_code(F.col("gt")).cast("tinyint").alias("mask"))
+    at = (F.floor(F.col("slot") / BLOCK_SAMPLES) * parts + F.pmod(F.xxhash64("locus_idx"), F.lit(parts))).cast("int").alias("block")
+    cells = kept.select(at, F.col("locus_idx").cast("long").alias("locus_idx"), (F.col("slot") % BLOCK_SAMPLES).cast("int").alias("place"), mask_of_code(F.col("gt")).cast("tinyint").alias("mask"))
 
-    def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        loci, at = np.unique(np.asarray(rows.column("locus_idx")), return_inverse=True)
+    def pack(k: int, locus: np.ndarray, place: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+        loci, at = np.unique(locus, return_inverse=True)
         masks = np.full((BLOCK_SAMPLES, len(loci)), -1, np.int8)
-        masks[np.asarray(rows.column("place")), at] = np.asarray(rows.column("mask"))
-        return pa.table([pa.array([key[1].as_py()]), pa.array([loci.astype("<i8").tobytes()]), pa.array([masks.tobytes()])], names=["chunk", "loci", "masks"])
+        masks[place, at] = mask
+        return pa.RecordBatch.from_arrays([pa.array([k // parts]), pa.array([loci.astype("<i8").tobytes()]), pa.array([masks.tobytes()])], names=["chunk", "loci", "masks"])
 
-    calls = write_shared(cells.filter("mask is not null").groupBy("part", "chunk").applyInArrow(lambda key, rows: pack(key, rows), "chunk long, loci binary, masks binary"), "codes")
+    calls = _by_block(cells.filter("mask is not null"), chunks * parts, pack, "chunk long, loci binary, masks binary", "codes")
     names = [f"{v}{k}" for k in (1, 2) for v in _COUNTED]
 
     def count(batches):
@@ -190,7 +212,6 @@ def _permuted(frame: GenotypeFrame, n_reps: int, seed: int, observed: bool = Fal
 
     counted = labels.join(calls, "chunk").mapInArrow(count, ", ".join(f"{c} long" for c in ("row", "locus_idx", *names)))
     sums = counted.groupBy("row", "locus_idx").agg(*(F.sum(c).alias(c) for c in names))
-    n = n_reps + observed
     named = sums.withColumn("pair", F.floor(F.col("row") / n).cast("long")).withColumn("rep", (F.col("row") % n - int(observed)).cast("int")).join(F.broadcast(pairs.drop("n1")), "pair")  # a row a pair
     return named.select("pop1", "pop2", "rep", "locus_idx", *names)
 

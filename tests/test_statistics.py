@@ -262,3 +262,13 @@ def test_permutation_never_brings_many_labels_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(distances, "MAX_LABELS", 10)
     monkeypatch.setattr(distances, "permuted_labels", None)  # not even made there
     assert [tuple(r) for r in distances.fst_permutation(f, 3, 1).collect()] == want
+
+
+def test_a_task_packs_one_block(spark, monkeypatch):
+    """Blocks that Spark would put together, since they are small, are still tasks and files of their own."""
+    f, tables, kept = frame_of(spark, ["ACGTMCTK"] * 14, list("xxxxxxxyyyyyyy")), {}, distances.write_shared
+    monkeypatch.setattr(distances, "write_shared", lambda df, name: tables.setdefault(name, kept(df, name)))
+    monkeypatch.setattr(distances, "BLOCK_SAMPLES", 4)
+    distances._permuted(f, 3, 2)
+    for name in ("codes", "labels"):
+        assert [r["count"] for r in tables[name].groupBy(F.input_file_name()).count().collect()] == [1] * 4
