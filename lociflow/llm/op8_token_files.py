@@ -18,14 +18,15 @@ __all__ = ["decode_values", "encode_values", "op8_token_files", "read_token_file
 
 MAGIC = b"LFTK\x01"
 END_ID = 1
+#: Words that a worker remembers; other operators, which share workers within the pipeline, remember fewer.
+MEMO_WORDS = 2_000_000
 #: Tokens that a block holds at most, unless one document alone has more.
 BLOCK_TOKENS = 1 << 20
 #: Tokens of a part, which one task sorts and writes; beyond ``MOST_PARTS`` parts, these grow instead.
 PART_TOKENS, MOST_PARTS = 1 << 23, 1 << 16
 
-_CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
-#: By control byte: bytes that each of its four values takes.
-_LENGTHS = (_CODES + 1).astype(np.uint8)
+#: By control byte: bytes that each of its four values takes, less one.
+_VALUES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -37,35 +38,47 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
 def _encode(v: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Control and data bytes of the values of some documents, with the places between documents in each. The control
     bytes of each document start on a byte of their own."""
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    code = (v > 0xFF).astype(np.uint8)
+    wide = 4 if v.max(initial=0) > 0xFFFF else 2
+    if wide > 2:
+        code += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
     groups = -(-lengths // 4)
     ends, group_ends = np.cumsum(lengths), np.cumsum(groups)
     padded = np.zeros(4 * int(groups.sum()), np.uint8)
-    padded[np.arange(len(v)) + np.repeat(4 * (group_ends - groups) - ends + lengths, lengths)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    places = np.concatenate([[0], np.cumsum(code + 1, dtype=np.int64)])
-    data = np.empty(int(places[-1]), np.uint8)
-    data[places[:-1]] = v & np.uint32(0xFF)
+    padded[_filled(lengths, groups)] = code
+    control = padded[::4].copy()
     for k in (1, 2, 3):
-        more = np.flatnonzero(code >= k)
-        if len(more):
-            data[places[more] + k] = v[more] >> np.uint32(8 * k) & np.uint32(0xFF)
-    return control, data, np.concatenate([[0], group_ends]), places[np.concatenate([[0], ends])]
+        control |= padded[k::4] << np.uint8(2 * k)
+    data = v.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)[_taken(code, wide)]
+    return control, data, np.concatenate([[0], group_ends]), np.concatenate([[0], ends + np.concatenate([[0], np.cumsum(code, dtype=np.int64)])[ends]])
 
 
-def decode_values(control: bytes, data: bytes, slots: int | np.ndarray) -> np.ndarray:
-    """The values at ``slots`` (or the first so many): lengths by table lookup of the control bytes, offsets by their sums, a gather."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)
-    lengths = lengths[:slots] if isinstance(slots, int) else lengths[slots]
-    ends = np.cumsum(lengths, dtype=np.int64)
-    at = ends - lengths
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = raw[at].astype(np.uint32)
+def _filled(lengths: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Marks of the places in groups of four that values take; the last group of a document may have up to three others."""
+    marks, ends = np.ones(4 * int(groups.sum()), bool), 4 * np.cumsum(groups)
+    spare = 4 * groups - lengths
     for k in (1, 2, 3):
-        more = np.flatnonzero(lengths > k)
-        if len(more):
-            out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+        marks[ends[spare >= k] - k] = False
+    return marks
+
+
+def _taken(code: np.ndarray, wide: int) -> np.ndarray:
+    """Marks of the bytes, of ``wide`` each value has, that are written of it: one more than its code."""
+    marks = np.empty((len(code), wide), bool)
+    marks[:, 0] = True
+    for k in range(1, wide):
+        np.greater_equal(code, k, out=marks[:, k])
+    return marks
+
+
+def decode_values(control: bytes, data: bytes, slots: int | np.ndarray) -> np.ndarray:
+    """The values at ``slots`` (or the first so many): lengths by table lookup of the control bytes, which tell whose each data byte is."""
+    codes = _VALUES[np.frombuffer(control, np.uint8)].reshape(-1)
+    codes = codes[:slots] if isinstance(slots, int) else codes[slots]
+    wide = 4 if codes.max(initial=0) > 1 else 2
+    out, taken = np.zeros((len(codes), wide), np.uint8), _taken(codes, wide)
+    out[taken] = np.frombuffer(data, np.uint8)[: np.count_nonzero(taken)]
+    return out.view(f"<u{wide}").ravel().astype(np.uint32, copy=False)
 
 
 TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -81,7 +94,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     kind = f"<u{width}"
 
     def factory():
-        words = WordIds.load(path, width)
+        words = WordIds.load(path, width, MEMO_WORDS)
         if width < 4 and words.tokenizer.get_vocab_size() > 1 << 8 * width:
             raise ValueError("ids of this vocabulary need a width of 4")
         end, seen = np.asarray([end_id], kind).tobytes(), itertools.count()
@@ -145,8 +158,7 @@ def _unpack(payload: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarr
     lengths = np.frombuffer(payload, "<i8", n, at + 9 * n)
     at += 17 * n
     # The last control byte of a document may have unused values; they take no data.
-    slots = np.repeat(np.cumsum(-(-lengths // 4) * 4) - np.cumsum(lengths) - (-(-lengths // 4) * 4 - lengths), lengths) + np.arange(lengths.sum())
-    ranks = decode_values(payload[at : at + n_control], payload[at + n_control : at + n_control + n_data], slots)
+    ranks = decode_values(payload[at : at + n_control], payload[at + n_control : at + n_control + n_data], _filled(lengths, -(-lengths // 4)))
     return start, [None if z else d for d, z in zip(docs, nulls, strict=True)], lengths, ranks
 
 

@@ -53,26 +53,31 @@ class WordIds:
         self.tails: dict[str, bytes] = {}
 
     @classmethod
-    def load(cls, path: str, width: int = 4) -> WordIds:
-        """One instance per Python worker, so that reused workers keep what they know."""
+    def load(cls, path: str, width: int = 4, limit: int = 500_000) -> WordIds:
+        """One instance per Python worker, so that reused workers keep what they know; the last ``limit`` holds."""
         if (path, width) not in _LOADED:
-            _LOADED[path, width] = cls(path, width)
+            _LOADED[path, width] = cls(path, width, limit)
+        _LOADED[path, width].memo.limit = limit
         return _LOADED[path, width]
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
 
     def _learn(self, word: str) -> bytes:
-        """Ids of an unknown word; one that ends in a letter and marks of punctuation is two parts, as marks are one piece."""
+        """Ids of an unknown word; one that ends in a letter and marks of punctuation is two parts, as marks are one piece.
+
+        Most words come once: of a new one, the plain lower case alone is remembered, and other forms when they come again.
+        """
         memo = self.memo
         if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
             low = word.lower()
-            if low != word and (low in memo or low in memo.old):
-                ids = memo[low]
-            else:
-                # One piece: the model alone gives what the whole tokenizer would.
-                packed = self.packed
-                ids = b"".join([packed[t.id] for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
+            if low != word and (ids := memo.get(low) or memo.old.get(low)) is not None:
+                memo[word] = ids
+                return ids
+            # One piece: the model alone gives what the whole tokenizer would.
+            packed = self.packed
+            ids = b"".join([packed[t.id] for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
+            word = low
         # The lower case of one letter ends in a mark, hence the last character of it.
         elif word[-1] in _MARKS and (core := word.rstrip(_MARKS)) and core[-1].lower()[-1].isalpha():
             tail = word[len(core) :]
@@ -81,7 +86,10 @@ class WordIds:
                 after = self._whole(tail)
                 if len(tail) <= 3:  # of which there are few
                     self.tails[tail] = after
-            ids = memo[core] + after
+            ids = memo.get(core) or memo.old.get(core)
+            if ids is None:
+                return self._learn(core) + after
+            ids += after
         else:
             ids = self._whole(word)
         if len(word) <= 64:  # very long words are not kept

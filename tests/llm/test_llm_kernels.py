@@ -285,3 +285,31 @@ def test_placeholder_beside_a_key():
         assert key not in redact(text)
     for text in ("example-9fK2mQ7xLp4Zt", "9fK2mQ7xLpxxxx4Zt8Rw3Vb6", "example/550e8400-e29b-41d4-a716-446655440000"):
         assert find_secrets(text)[1] == []
+
+
+def test_forms_of_a_word_are_remembered_when_they_come_again():
+    words = WordIds(WORDS, 2)
+    want = np.asarray(LIBRARY.encode("Qwzrtéx, vbnmkl", add_special_tokens=False).ids, "<u2").tobytes()
+    for known in ({"qwzrtéx", "vbnmkl"}, {"qwzrtéx", "vbnmkl", "Qwzrtéx"}, {"qwzrtéx", "vbnmkl", "Qwzrtéx", "Qwzrtéx,"}):
+        assert words.encode(["Qwzrtéx, vbnmkl"]) == [want]
+        assert set(words.memo) <= known and {"qwzrtéx", "vbnmkl"} <= set(words.memo)
+    words.encode(["Qwzrtéx, Qwzrtéx,"] * 2)
+    assert "Qwzrtéx," in words.memo and words.encode(["Qwzrtéx, vbnmkl"]) == [want]
+
+
+def test_token_codes_need_few_bytes_a_value():
+    import tracemalloc
+
+    from lociflow.llm.op8_token_files import _encode, _pack, _unpack
+
+    values, lengths = (np.arange(200_000) * 7 % 40_000).astype(np.uint32), np.array([0, 1, 99_998, 5, 99_996])
+    tracemalloc.start()
+    control, data, at, places = _encode(values, lengths)
+    coding = tracemalloc.get_traced_memory()[1]
+    block = _pack([(k, int(n), control[at[k] : at[k + 1]].tobytes(), data[places[k] : places[k + 1]].tobytes()) for k, n in enumerate(lengths)], 0)
+    tracemalloc.reset_peak()
+    before, got = tracemalloc.get_traced_memory()[0], _unpack(block)[3]
+    decoding = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert np.array_equal(got, values)
+    assert coding < 24 * len(values) and decoding < 16 * len(values), (coding, decoding)
