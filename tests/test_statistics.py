@@ -272,3 +272,12 @@ def test_a_task_packs_one_block(spark, monkeypatch):
     distances._permuted(f, 3, 2)
     for name in ("codes", "labels"):
         assert [r["count"] for r in tables[name].groupBy(F.input_file_name()).count().collect()] == [1] * 4
+
+
+def test_permutation_blocks_are_not_sorted(spark, monkeypatch):
+    f, plans, kept = frame_of(spark, ["ACGTMCTK", "AMGTACTT"] * 4, list("xxxxyyyy")), {}, distances.write_shared
+    want = [tuple(r) for r in distances.fst_permutation(f, 3, 2).collect()]
+    monkeypatch.setattr(distances, "MAX_LABELS", 0)
+    monkeypatch.setattr(distances, "write_shared", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and kept(df, name))
+    assert [tuple(r) for r in distances.fst_permutation(f, 3, 2).collect()] == [(a, b, pytest.approx(fst), p) for a, b, fst, p in want]
+    assert sorted(plans) == ["codes", "labels"] and not any("FlatMapGroups" in plan for plan in plans.values())
