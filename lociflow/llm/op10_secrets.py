@@ -50,7 +50,7 @@ def _level(text: str) -> float | None:
 
 
 def entropy_windows(text: str, level: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Maximal runs of windows whose Shannon entropy is at least ``level`` bits a character.
+    """Maximal runs of consecutive windows whose Shannon entropy is at least ``level`` bits a character; runs may overlap.
 
     One pass: the sum of ``n log2 n`` over the counts changes by two terms for each step, so a window costs constant time.
     """
@@ -66,11 +66,10 @@ def entropy_windows(text: str, level: float, window: int = WINDOW) -> list[tuple
             total += _NLOGN[n - 1] - _NLOGN[n]
             counts[old] = n - 1
         if i >= window - 1 and math.log2(window) - total / window >= level - 1e-9:
-            start = i - window + 1
-            if found and found[-1][1] >= start:
+            if found and found[-1][1] == i:  # the window before is of the run
                 found[-1] = (found[-1][0], i + 1)
             else:
-                found.append((start, i + 1))
+                found.append((i - window + 1, i + 1))
     return found
 
 

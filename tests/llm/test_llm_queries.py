@@ -181,6 +181,15 @@ def test_base_secrets(text):
     assert redact(text, "") == "".join(c for c, g in zip(text, gone, strict=True) if not g)
 
 
+def test_a_run_of_windows_has_no_gap():
+    text = "0123456789abcdef" * 2 + "password" * 3 + "0123456789abcdef" * 2  # low in the middle
+    _, added = find_secrets(text)
+    bits = lambda i: -sum(n / 20 * math.log2(n / 20) for n in Counter(text[i : i + 20]).values())
+    high = {i for i in range(len(text) - 19) if bits(i) >= 3.6 - 1e-9}
+    assert {i for a, b, _ in added for i in range(a, b - 19)} == high
+    assert added == [(0, 43, "entropy"), (43, 88, "entropy")]
+
+
 def test_many_secrets_in_one_text():
     text = "token=abcdefgh12345678 " * 20_000 + "q9Zk3Lw8Xv7Tb2Np5Rj4Hs6Gd " * 20_000
     base, added = find_secrets(text)
